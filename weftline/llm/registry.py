@@ -5,6 +5,17 @@ from __future__ import annotations
 from .common import table
 from .decontamination import ORACLE_SQL as OP6_SQL
 from .decontamination import op6_query
+from .license_scan import ORACLE_SQL as OP10_SQL
+from .license_scan import op10_query
+from .packing import op1_query
+from .token_files import op8_query
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file; it is never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _docs(spark, sf_dir):
@@ -13,9 +24,12 @@ def _docs(spark, sf_dir):
 
 def queries():
     return {
+        "op1_pack": lambda s, d: op1_query(_docs(s, d), vocabulary("word_bpe_49k.json")),
         "op6_decontaminate": lambda s, d: op6_query(_docs(s, d), table(s, d, "benchmark")),
+        "op8_token_files": lambda s, d: op8_query(s, _docs(s, d), vocabulary("byte_bpe_50k.json")),
+        "op10_license_scan": lambda s, d: op10_query(_docs(s, d)),
     }
 
 
 def oracle_sql():
-    return {"op6_decontaminate": OP6_SQL}
+    return {"op6_decontaminate": OP6_SQL, "op10_license_scan": OP10_SQL}
