@@ -5,9 +5,11 @@ from __future__ import annotations
 from .common import table
 from .decontamination import ORACLE_SQL as OP6_SQL
 from .decontamination import op6_query
+from .language_id import op7_query
 from .license_scan import ORACLE_SQL as OP10_SQL
 from .license_scan import op10_query
 from .packing import op1_query
+from .quality import op3_query
 from .token_files import op8_query
 
 
@@ -25,7 +27,9 @@ def _docs(spark, sf_dir):
 def queries():
     return {
         "op1_pack": lambda s, d: op1_query(_docs(s, d), vocabulary("word_bpe_49k.json")),
+        "op3_quality": lambda s, d: op3_query(_docs(s, d), table(s, d, "labels")),
         "op6_decontaminate": lambda s, d: op6_query(_docs(s, d), table(s, d, "benchmark")),
+        "op7_language_id": lambda s, d: op7_query(_docs(s, d)),
         "op8_token_files": lambda s, d: op8_query(s, _docs(s, d), vocabulary("byte_bpe_50k.json")),
         "op10_license_scan": lambda s, d: op10_query(_docs(s, d)),
     }
