@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import table
 from .decontamination import ORACLE_SQL as OP6_SQL
 from .decontamination import op6_query
+from .jaccard_join import op4_query
 from .language_id import op7_query
 from .license_scan import ORACLE_SQL as OP10_SQL
 from .license_scan import op10_query
@@ -28,6 +29,7 @@ def queries():
     return {
         "op1_pack": lambda s, d: op1_query(_docs(s, d), vocabulary("word_bpe_49k.json")),
         "op3_quality": lambda s, d: op3_query(_docs(s, d), table(s, d, "labels")),
+        "op4_jaccard_join": lambda s, d: op4_query(_docs(s, d)),
         "op6_decontaminate": lambda s, d: op6_query(_docs(s, d), table(s, d, "benchmark")),
         "op7_language_id": lambda s, d: op7_query(_docs(s, d)),
         "op8_token_files": lambda s, d: op8_query(s, _docs(s, d), vocabulary("byte_bpe_50k.json")),
