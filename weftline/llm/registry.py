@@ -12,6 +12,8 @@ from .license_scan import op10_query
 from .packing import op1_query
 from .quality import op3_query
 from .token_files import op8_query
+from .topk_search import ORACLE_SQL as OP2_SQL
+from .topk_search import op2_query
 
 
 def vocabulary(name: str) -> str:
@@ -28,6 +30,7 @@ def _docs(spark, sf_dir):
 def queries():
     return {
         "op1_pack": lambda s, d: op1_query(_docs(s, d), vocabulary("word_bpe_49k.json")),
+        "op2_topk_search": lambda s, d: op2_query(table(s, d, "embeddings")),
         "op3_quality": lambda s, d: op3_query(_docs(s, d), table(s, d, "labels")),
         "op4_jaccard_join": lambda s, d: op4_query(_docs(s, d)),
         "op6_decontaminate": lambda s, d: op6_query(_docs(s, d), table(s, d, "benchmark")),
@@ -38,4 +41,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op6_decontaminate": OP6_SQL, "op10_license_scan": OP10_SQL}
+    return {"op2_topk_search": OP2_SQL, "op6_decontaminate": OP6_SQL, "op10_license_scan": OP10_SQL}
