@@ -10,6 +10,7 @@ from .language_id import op7_query
 from .license_scan import ORACLE_SQL as OP10_SQL
 from .license_scan import op10_query
 from .packing import op1_query
+from .pii import op5_query
 from .quality import op3_query
 from .token_files import op8_query
 from .topk_search import ORACLE_SQL as OP2_SQL
@@ -33,6 +34,7 @@ def queries():
         "op2_topk_search": lambda s, d: op2_query(table(s, d, "embeddings")),
         "op3_quality": lambda s, d: op3_query(_docs(s, d), table(s, d, "labels")),
         "op4_jaccard_join": lambda s, d: op4_query(_docs(s, d)),
+        "op5_pii": lambda s, d: op5_query(_docs(s, d)),
         "op6_decontaminate": lambda s, d: op6_query(_docs(s, d), table(s, d, "benchmark")),
         "op7_language_id": lambda s, d: op7_query(_docs(s, d)),
         "op8_token_files": lambda s, d: op8_query(s, _docs(s, d), vocabulary("byte_bpe_50k.json")),
