@@ -22,6 +22,10 @@ from .common import materialise, words
 N = 13
 #: Up to so many distinct anchors are sent as a literal set; beyond it they are joined.
 MAX_LITERAL_ANCHORS = 20_000
+#: Rows of hits broadcast to change texts; beyond it they are joined.
+MAX_BROADCAST_ROWS = 200_000
+WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+NOT_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = N, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -53,13 +57,18 @@ def _anchored(w: Column, n: int, anchors: list[str] | None) -> Column:
     )
 
 
-def find_windows(docs: DataFrame, windows: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text"):
-    """(scan, hits): scan has (row, doc_id, n_words); hits has (row, item_id, start, len), start from 0."""
-    spark = docs.sparkSession
+def find_windows(
+    docs: DataFrame, windows: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(scan, hits): scan has (row, doc_id, n_words); hits has (row, item_id, start, len), start from 0.
+
+    ``row`` names rows; by default they are numbered as they are read.
+    """
+    row = F.monotonically_increasing_id() if row is None else row
     found = windows.select("anchor").distinct().limit(MAX_LITERAL_ANCHORS + 1).collect()
     anchors = [r[0] for r in found] if len(found) <= MAX_LITERAL_ANCHORS else None
     d = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")
+        row.alias("row"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")
     )
     scan = materialise(
         d.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), _anchored(F.col("w"), n, anchors).alias("places")),
@@ -78,7 +87,7 @@ def find_windows(docs: DataFrame, windows: DataFrame, n: int = N, id_col: str =
         .filter((F.xxhash64(gram) == F.col("hash")) & (gram == F.col("want")))
         .select("row", "item_id", (begin - 1).alias("start"), "len")
     )
-    return scan.select("row", "doc_id", "n_words"), hits, spark
+    return scan.select("row", "doc_id", "n_words"), hits
 
 
 def decontaminate(
@@ -89,8 +98,10 @@ def decontaminate(
     A word inside any occurrence of a window is hit; a text is contaminated if it
     has hits and ``share * n_hit >= n_words``.
     """
-    windows = benchmark_windows(benchmark, n)
-    scan, hits, _ = find_windows(docs, windows, n, id_col, text_col)
+    return _judged(*find_windows(docs, benchmark_windows(benchmark, n), n, id_col, text_col), share).drop("row")
+
+
+def _judged(scan: DataFrame, hits: DataFrame, share: int) -> DataFrame:
     ends = F.struct(F.col("start"), (F.col("start") + F.col("len")).alias("end"))
     per = hits.groupBy("row").agg(
         F.array_sort(F.collect_set(ends)).alias("spans"),
@@ -107,9 +118,9 @@ def decontaminate(
         lambda a: a["n"],
     )
     per = per.withColumn("n_hit", added.cast("long"))
-    out = scan.join(per, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select(
+    return scan.join(per, "row", "left").select(
+        "row",
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
@@ -119,6 +130,36 @@ def decontaminate(
     )
 
 
+def without_words(text: Column, spans: Column) -> Column:
+    """The text without the words of the spans and the signs before each of them."""
+    own = F.filter(F.split(text, NOT_WORD_ANY_CASE), lambda w: w != "")
+    between = F.split(text, WORD_ANY_CASE)
+    kept = F.transform(
+        own,
+        lambda w, i: F.when(F.exists(spans, lambda s: (s["start"] <= i) & (i < s["end"])), "").otherwise(
+            F.concat(F.element_at(between, i + 1), w)
+        ),
+    )
+    return F.concat(F.array_join(kept, ""), F.element_at(between, -1))
+
+
+def remove(
+    docs: DataFrame, benchmark: DataFrame, n: int = N, share: int = 20, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """docs without contaminated rows; from rows with fewer hits the hit words go. All columns stay."""
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    judged = _judged(*find_windows(docs, benchmark_windows(benchmark, n), n, id_col, text_col, key), share)
+    # rows of one key are equal, and so are their hits
+    found = judged.filter("n_hit > 0").select(F.col("row").alias("_row"), F.col("spans").alias("_spans"), F.col("contaminated").alias("_out"))
+    found = materialise(found.dropDuplicates(["_row"]), "hits")
+    if found.count() <= MAX_BROADCAST_ROWS:
+        found = F.broadcast(found)
+    out = docs.withColumn("_key", key).join(found, F.col("_key") == F.col("_row"), "left").filter("_out is null or not _out")
+    text = F.col(text_col)
+    changed = F.when(F.col("_spans").isNull(), text).otherwise(without_words(text, F.col("_spans")))
+    return out.select(*[changed.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+
+
 def op6_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = decontaminate(docs, benchmark)
     return out.select(

@@ -421,5 +421,20 @@ def near_duplicates(
     )
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component, that of the smallest doc_id. All columns stay.
+
+    Rows of a null doc_id stay if any of them links with no row of an id.
+    """
+    found = materialise(near_duplicates(docs, id_col=id_col, text_col=text_col), "components")
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
+    rows, ids = kept.agg(F.count("*"), F.count_distinct("_kept")).first()
+    kept = kept.distinct()
+    if ids <= MAX_WANTED:
+        kept = F.broadcast(kept)
+    out = docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    return out if rows == ids else out.dropDuplicates([id_col])
+
+
 def op4_query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import table
 from .decontamination import ORACLE_SQL as OP6_SQL
 from .decontamination import op6_query
+from .html_text import op9_query
 from .jaccard_join import op4_query
 from .language_id import op7_query
 from .license_scan import ORACLE_SQL as OP10_SQL
@@ -38,6 +39,7 @@ def queries():
         "op6_decontaminate": lambda s, d: op6_query(_docs(s, d), table(s, d, "benchmark")),
         "op7_language_id": lambda s, d: op7_query(_docs(s, d)),
         "op8_token_files": lambda s, d: op8_query(s, _docs(s, d), vocabulary("byte_bpe_50k.json")),
+        "op9_html_text": lambda s, d: op9_query(table(s, d, "pages")),
         "op10_license_scan": lambda s, d: op10_query(_docs(s, d)),
     }
 
