@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .udfs import arrow
+
 _FENCE = re.compile(r"\s*(`{3,}|~{3,})")
 _HEADING = re.compile(r"(#{1,3})\s+(.*)", re.S)
 
@@ -165,37 +167,37 @@ def _blocks_of(text: pd.Series) -> pd.Series:
     return text.map(split_blocks, na_action=None)
 
 
-@F.pandas_udf("array<string>")
+@arrow("array<string>")
 def _split_blocks(text: pd.Series) -> pd.Series:
     return _blocks_of(text)
 
 
-@F.pandas_udf("array<struct<heading:string,text:string>>")
+@arrow("array<struct<heading:string,text:string>>")
 def _sections(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"heading": h, "text": x} for h, x in sections(t)], na_action=None)
 
 
-@F.pandas_udf("array<struct<heading:string,text:string>>")
+@arrow("array<struct<heading:string,text:string>>")
 def _page_sections(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"heading": h, "text": x} for h, x in sections(t, 100, True)], na_action=None)
 
 
-@F.pandas_udf("array<struct<level:int,text:string>>")
+@arrow("array<struct<level:int,text:string>>")
 def _headings(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"level": n, "text": x} for n, x in headings(t)], na_action=None)
 
 
-@F.pandas_udf("array<array<string>>")
+@arrow("array<array<string>>")
 def _paths(blocks: pd.Series) -> pd.Series:
     return blocks.map(lambda b: section_paths(list(b) if b is not None else []), na_action=None)
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def _repaired(text: pd.Series) -> pd.Series:
     return text.map(repair_tables, na_action=None)
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def _cleaned(text: pd.Series) -> pd.Series:
     return text.map(cleanup_lines, na_action=None)
 
@@ -293,12 +295,12 @@ def unverified(markdown: str | None, sources: list[str], allow: str | None = "")
     return len(claimed), missing
 
 
-@F.pandas_udf("array<struct<value:string,kind:string>>")
+@arrow("array<struct<value:string,kind:string>>")
 def _atoms(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"value": v, "kind": k} for v, k in atoms(t)], na_action=None)
 
 
-@F.pandas_udf("struct<total:int,unverified:array<string>>")
+@arrow("struct<total:int,unverified:array<string>>")
 def _checked(text: pd.Series, sources: pd.Series, allow: pd.Series) -> pd.DataFrame:
     rows = [unverified(t, list(s) if s is not None else [], a) for t, s, a in zip(text, sources, allow, strict=True)]
     return pd.DataFrame({"total": [n for n, _ in rows], "unverified": [m for _, m in rows]})

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .url import url_words
+from .udfs import arrow
 
 #: Words that say nothing of a topic.
 STOP_WORDS = frozenset(
@@ -50,12 +51,12 @@ def task_terms(task: str | None) -> list[str]:
     return list(dict.fromkeys(tokenize(task)))
 
 
-@F.pandas_udf("array<string>")
+@arrow("array<string>")
 def _tokens(text: pd.Series) -> pd.Series:
     return text.map(tokenize, na_action=None)
 
 
-@F.pandas_udf("array<string>")
+@arrow("array<string>")
 def _link_tokens(href: pd.Series, label: pd.Series, context: pd.Series) -> pd.Series:
     rows = zip(href, label, context, strict=True)
     return pd.Series([list(dict.fromkeys([*tokenize(url_words(h or "")), *tokenize(a), *tokenize(c)])) for h, a, c in rows])

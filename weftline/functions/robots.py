@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .udfs import arrow
+
 
 def applicable(text: str | None, agent: str) -> tuple[list[tuple[str, str]], float | None]:
     """(rules, crawl delay) of the group whose agent name is the longest one within ours, else of ``*``."""
@@ -54,7 +56,7 @@ def rule_pattern(path: str) -> str:
 
 
 def rules_of(text: Column, agent: str) -> Column:
-    @F.pandas_udf("array<struct<type:string,path:string,pattern:string>>")
+    @arrow("array<struct<type:string,path:string,pattern:string>>")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"type": k, "path": p, "pattern": rule_pattern(p)} for k, p in applicable(t, agent)[0] if p], na_action=None)
 

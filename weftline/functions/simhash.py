@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .udfs import arrow
+
 #: Seeds of the two halves, and the hash's constants.
 SEED_HIGH, SEED_LOW = 0x9747B28C, 0x01000193
 C1, C2, ADD = 0xCC9E2D51, 0x1B873593, 0xE6546B64
@@ -52,7 +54,7 @@ def fingerprint(text: str | None, shingle: int = 2) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-@F.pandas_udf("long")
+@arrow("long")
 def _fingerprints(text: pd.Series) -> pd.Series:
     return text.map(fingerprint, na_action=None)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.markdown import headings
 from ..functions.text import slug
 from ..functions.url import host_of, path_of
+from ..functions.udfs import arrow
 
 #: Words that name no file.
 NAME_STOP_WORDS = "extract get the a an of all from and to for me please only list every their its in on with".split()
@@ -98,7 +99,7 @@ def assemble_documents(pages: DataFrame) -> DataFrame:
 
     ids = p.select("scan_id", "seq", "_base").groupBy("scan_id").applyInPandas(number, f"scan_id {kinds['scan_id']}, seq {kinds['seq']}, id string")
 
-    @F.pandas_udf("array<struct<level:int,text:string>>")
+    @arrow("array<struct<level:int,text:string>>")
     def outline(md: pd.Series) -> pd.Series:
         return md.map(lambda t: [{"level": n, "text": x} for n, x in headings(t)], na_action=None)
 
