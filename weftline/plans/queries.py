@@ -262,7 +262,7 @@ def frontier_bfs(s, d):
 
 
 @query(
-    "WITH a AS (SELECT user_id, event_id, epoch_ms(ts) AS arrival, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events) "
+    "WITH a AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS arrival, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events) "
     "SELECT event_id, max(arrival - n * 60000) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) + n * 60000 AS start_ms FROM a"
 )
 def host_pacing(s, d):
