@@ -101,10 +101,13 @@ class Parser:
         for lang in ranked:
             text = np.concatenate([np.zeros(0, np.uint8), *[np.append(self.symbols([t])[0], 0) for t in samples[lang]]])
             goto = suffix_automaton(text.tolist(), self.width)
-            root = goto[0].copy()
-            root[root < 0] = 0  # a symbol that the sample lacks is a phrase of its own
-            # without a transition a phrase ends and the next one starts with this symbol
-            step = np.where(goto >= 0, goto.astype(np.uint32) * np.uint32(self.width), (root.astype(np.uint32) * np.uint32(self.width)) | _NEW)
+            # a further state: after a symbol that the sample lacks, which is a phrase of its own
+            lone = len(goto)
+            after = np.where(goto[0] >= 0, goto[0], lone).astype(np.uint32) * np.uint32(self.width)
+            # without a transition a phrase ends, and the next one starts with this symbol
+            step = np.where(goto >= 0, goto.astype(np.uint32) * np.uint32(self.width), after | _NEW)
+            step[0] = after  # at the start no phrase ends
+            step = np.vstack((step, after | _NEW))
             self.tables.append(step.ravel())
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
