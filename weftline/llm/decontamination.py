@@ -133,11 +133,13 @@ def _judged(scan: DataFrame, hits: DataFrame, share: int) -> DataFrame:
 def without_words(text: Column, spans: Column) -> Column:
     """The text without the words of the spans and the signs before each of them."""
     own = F.filter(F.split(text, NOT_WORD_ANY_CASE), lambda w: w != "")
-    between = F.split(text, WORD_ANY_CASE)
+    between = F.split(text, WORD_ANY_CASE)  # one more than words
+    # both are zipped first: what stands in a function of elements is evaluated for each of them
+    pairs = F.zip_with(F.slice(between, 1, F.size(own)), own, lambda sep, w: F.struct(sep.alias("sep"), w.alias("w")))
     kept = F.transform(
-        own,
-        lambda w, i: F.when(F.exists(spans, lambda s: (s["start"] <= i) & (i < s["end"])), "").otherwise(
-            F.concat(F.element_at(between, i + 1), w)
+        pairs,
+        lambda p, i: F.when(F.exists(spans, lambda s: (s["start"] <= i) & (i < s["end"])), "").otherwise(
+            F.concat(p["sep"], p["w"])
         ),
     )
     return F.concat(F.array_join(kept, ""), F.element_at(between, -1))
