@@ -13,7 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import guards, html, markdown, relevance, robots, simhash, text, url
-from ..operators import assemble, blocks, dedup, incremental, links, metrics, retrieve
+from ..functions.options import Options
+from ..operators import assemble, blocks, dedup, incremental, links, metrics, pages, retrieve
+from . import site
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -569,3 +571,53 @@ def scale_join(s, d):
     o, c, n = (_t(s, d, t) for t in ("orders", "customer", "nation"))
     j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     return j.groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("price"))
+
+
+# --- pages between fetch and file --------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT doc_id, NOT (doc_id % 9 = 0 AND length(" + f"trim(regexp_replace(regexp_replace(coalesce(text, ''), '[#>|`*_~+\\-]', ' ', 'g'), '{SPACE}+', ' ', 'g'))" + ") < 200) AS kept FROM documents"
+)
+def error_pages(s, d):
+    p = _t(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 9 == 0, 404).otherwise(200).alias("status"), F.col("text").alias("markdown"))
+    return pages.without_error_pages(p).select("doc_id", "kept")
+
+
+@query()
+def enriched_blocks(s, d):
+    return pages.enriched_blocks(_extracted(s, d)).select("page_id", "ord", "type", "has_image", F.size("section_path").alias("depth"))
+
+
+@query(
+    "WITH f AS (SELECT 'https://www.site.example/p/' || (doc_id % 40) AS url, min_by(source, doc_id) AS file FROM documents GROUP BY 1) SELECT url, file FROM f"
+)
+def first_files(s, d):
+    files = _scan_pages(s, d).select(F.col("scan_id").alias("filename"), F.col("seq").alias("pos"), F.array("url").alias("pages"))
+    return pages.first_files(files, _scan_pages(s, d).select("url").distinct())
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'purchase')")
+def trace_events(s, d):
+    kind = F.when(F.col("event_type") == "purchase", "page").otherwise(F.col("event_type"))
+    return metrics.trace(_t(s, d, "events").withColumn("type", kind)).select("event_id", "event_type")
+
+
+@query(
+    "SELECT e.event_id, c.v AS cached FROM events e LEFT JOIN (SELECT event_type, max(user_id) % 2 = 0 AS v FROM events GROUP BY event_type) c ON e.event_type = c.event_type"
+)
+def cached_verdicts(s, d):
+    e = _t(s, d, "events").withColumnRenamed("event_type", "label")
+    cache = e.groupBy("label").agg((F.max("user_id") % 2 == 0).alias("verdict"))
+    return pages.with_cache(e, cache, "label").select("event_id", "cached")
+
+
+@query()
+def site_run(s, d):
+    """All pages of one site, as a crawl would leave them: scope, challenges, Markdown, duplicates, files."""
+    p = _t(s, d, "pages").select(
+        F.lit("01").alias("scan_id"), F.col("page_id").alias("seq"), F.lit("").alias("task"), "url", F.lit(200).alias("status"), F.lit("").alias("mitigated"), "html",
+        F.lit("2024-01-01T00:00:00.000Z").alias("fetched_at"),
+    )
+    out = site.run(p, "https://example.com/", Options.of(mode="complete"), "2024-01-01T00:00:00.000Z")
+    return out.fates.join(out.pages.select("scan_id", "seq", "url"), ["scan_id", "seq"], "left")
