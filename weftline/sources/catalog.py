@@ -6,7 +6,6 @@ import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 STATE = "struct<label:string,provenance:string,order:int,markdown:string>"
