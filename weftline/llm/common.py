@@ -38,7 +38,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialise(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
+def materialise(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, what)
     df.write.option("compression", codec).parquet(path)

@@ -125,6 +125,7 @@ def pack(
             pieces, "doc_id long, start long, length long, doc_tokens long, part int, nth long, ids binary"
         ),
         "pieces",
+        "zstd",
     )
     by_part = cut_up.groupBy("length", "part").agg(F.count("*").alias("n"))
     totals = by_part.groupBy("length").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).orderBy(F.desc("length")).collect()

@@ -136,11 +136,8 @@ def sure_contexts(graph: DataFrame, rounds: int = ROUNDS, sure: float = SURE, su
     scored = graph.withColumn("score", F.col("base").cast("double"))
     contexts = None
     for k in range(rounds):
-        contexts = materialise(
-            scored.groupBy("context").agg(
-                (F.sum("score") / (F.count("*") + SMOOTHING)).alias("worth"), F.sum(F.col("base").cast("long")).alias("support")
-            ),
-            "contexts",
+        contexts = scored.groupBy("context").agg(
+            (F.sum("score") / (F.count("*") + SMOOTHING)).alias("worth"), F.sum(F.col("base").cast("long")).alias("support")
         )
         if k + 1 < rounds:
             best = graph.filter("not base").join(contexts.select("context", "worth"), "context").groupBy("value").agg(F.max("worth").alias("best"))
