@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.simhash import hamming, simhash
@@ -28,9 +27,14 @@ def fingerprinted(pages: DataFrame, text: str = "markdown", url: str = "url") ->
 
 
 def exact(pages: DataFrame, scan: str = "scan_id", seq: str = "seq", key: str = "hash") -> DataFrame:
-    """pages with ``first_seq``, the arrival of the first page of the same content, and ``is_first``."""
-    w = W.partitionBy(scan, key)
-    return pages.withColumn("first_seq", F.min(seq).over(w)).withColumn("is_first", F.col(seq) == F.col("first_seq"))
+    """pages with ``first_seq``, the arrival of the first page of the same content, and ``is_first``.
+
+    A partial minimum and a join, not a window: a group of copies of any size is split over tasks.
+    """
+    first = pages.groupBy(F.col(scan).alias("_scan"), F.col(key).alias("_key")).agg(F.min(seq).alias("first_seq"))
+    same = F.col(scan).eqNullSafe(F.col("_scan")) & F.col(key).eqNullSafe(F.col("_key"))
+    out = pages.join(first, same).drop("_scan", "_key")
+    return out.withColumn("is_first", F.col(seq) == F.col("first_seq"))
 
 
 def _bits(a: int, b: int) -> int:
@@ -102,26 +106,25 @@ def tiers(
 
 
 def near_pairs(pages: DataFrame, most: int = REEMITTED, id_col: str = "id", fingerprint: str = "fingerprint") -> DataFrame:
-    """(a, b, distance) of all pages a < b whose fingerprints differ in ``most`` bits at most.
+    """(a, b, distance): the links of pages whose fingerprints differ in ``most`` bits at most.
 
-    Of most + 1 bands of bits one must be equal, so pairs meet by equi-join on bands. Pages of one fingerprint
-    (such as all that have no tokens) are joined as one and expanded at the end only by their ids.
+    Pages of one fingerprint (such as all that have no tokens) are a class, known by its smallest id. Rows are the
+    pairs of classes, and each class's smallest id with its other members (distance 0): no link is lost, and copies
+    aren't expanded. Of most + 1 bands of bits one must be equal, so classes meet by equi-join on bands.
     """
     width = -(-64 // (most + 1))
-    p = pages.select(F.col(id_col).alias("id"), F.col(fingerprint).alias("fp"))
-    distinct = p.select("fp").distinct()
-    band = lambda k: F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << min(width, 64 - k * width)) - 1)).alias("bits"))
-    bands = distinct.select("fp", F.explode(F.array(*[band(k) for k in range(most + 1) if k * width < 64])).alias("at")).select("fp", "at.*")
-    a, b = bands.withColumnRenamed("fp", "fa"), bands.withColumnRenamed("fp", "fb")
-    met = a.join(b, ["band", "bits"]).filter("fa < fb").select("fa", "fb").distinct()
-    met = met.withColumn("distance", hamming(F.col("fa"), F.col("fb"))).filter(F.col("distance") <= most)
-    ids = p.groupBy("fp").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    ia, ib = ids.select(F.col("fp").alias("fa"), F.col("ids").alias("xs")), ids.select(F.col("fp").alias("fb"), F.col("ids").alias("ys"))
-    apart = met.join(ia, "fa").join(ib, "fb").select("distance", F.explode("xs").alias("x"), "ys").select("distance", "x", F.explode("ys").alias("y"))
-    apart = apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
-    # equal fingerprints: each page with the next of its group, which links the group without all its pairs
-    nxt = F.transform(F.slice("ids", 1, F.size("ids") - 1), lambda x, i: F.struct(x.alias("a"), F.element_at(F.col("ids"), i + 2).alias("b")))
-    same = ids.filter(F.size("ids") > 1).select(F.explode(nxt).alias("p")).select("p.a", "p.b", F.lit(0).alias("distance"))
+    p = pages.select(F.col(id_col).alias("id"), F.col(fingerprint).alias("fp")).filter(F.col("fp").isNotNull())
+    classes = p.groupBy("fp").agg(F.min("id").alias("rep"))
+
+    def band(k: int) -> Column:
+        bits = F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << min(width, 64 - k * width)) - 1))
+        return F.struct(F.lit(k).alias("band"), bits.alias("bits"))
+
+    bands = classes.select("fp", "rep", F.explode(F.array(*[band(k) for k in range(most + 1) if k * width < 64])).alias("at")).select("fp", "rep", "at.*")
+    x, y = (bands.withColumnsRenamed({"fp": f"f{c}", "rep": f"r{c}"}) for c in "xy")
+    met = x.join(y, ["band", "bits"]).filter("fx < fy").withColumn("distance", hamming(F.col("fx"), F.col("fy"))).filter(F.col("distance") <= most)
+    apart = met.select(F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b"), "distance").distinct()
+    same = p.join(classes, "fp").filter("id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
     return apart.unionByName(same)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -87,4 +86,4 @@ def baseline_run(runs: DataFrame, targets: list[str]) -> DataFrame:
         return runs.limit(0)
     own = runs.filter((F.col("status") == "done") & F.col("incremental") & F.col("has_journal"))
     own = own.filter(F.array_sort(F.array_distinct("targets")) == want)
-    return own.withColumn("_n", F.row_number().over(W.orderBy(F.desc("created_at"), F.desc("run_id")))).filter("_n = 1").drop("_n")
+    return own.orderBy(F.desc("created_at"), F.desc("run_id")).limit(1)
