@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -162,6 +161,3 @@ def op8_query(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFram
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )
 
-
-def crc32_of(ids) -> int:
-    return zlib.crc32(np.asarray(ids, "<u4").tobytes())
