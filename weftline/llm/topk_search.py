@@ -128,25 +128,19 @@ class SlicedBlock:
         self.peak = np.abs(values).max(axis=0, initial=0)
         self.valid = slices(np.full(len(ids), 1))[0] if len(ids) else np.zeros(0, np.uint64)
 
-    def multiples(self, d: int, digits: np.ndarray) -> np.ndarray:
-        """[digit, slice, word] of component d times each of the digits (0..127, sorted)."""
-        base = self.base[d]
-        width = len(base) + _DIGIT
-        made: dict[int, np.ndarray] = {0: np.zeros((width, self.words), np.uint64)}
-        none = np.zeros(self.words, np.uint64)
-
-        def make(m: int) -> np.ndarray:
-            if m not in made:
-                half, out = make(m >> 1), np.empty((width, self.words), np.uint64)
-                out[0], out[1:] = 0, half[:-1]
-                if m & 1:
-                    _add(out, base, none)
-                made[m] = out
-            return made[m]
-
-        return np.stack([make(int(m)) for m in digits])
-
-    def scores(self, queries: np.ndarray, picks: list[list[tuple[np.ndarray, np.ndarray]]]) -> np.ndarray:
+    def multiples(self, d: int, most: int) -> np.ndarray:
+        """[slice, digit, word] of component d times 0, 1, ... up to 2^k - 1 >= most, by doubling them all at once."""
+        base = self.base[d][:, None, :]
+        made = np.zeros((len(base) + _DIGIT, 1, self.words), np.uint64)
+        for _ in range(most.bit_length()):
+            even = np.empty_like(made)
+            even[0], even[1:] = 0, made[:-1]
+            odd = even.copy()
+            _add(odd, base, np.zeros(odd.shape[1:], np.uint64))
+            made = np.stack((even, odd), axis=2).reshape(len(made), -1, self.words)
+        return made
+
+    def scores(self, queries: np.ndarray, picks: list[list[np.ndarray]]) -> np.ndarray:
         """[slice, query, word]: the scores of all rows for some queries."""
         dims = min(queries.shape[1], len(self.base))
         q = queries[:, :dims]
@@ -156,11 +150,11 @@ class SlicedBlock:
         size = np.abs(q)
         for d in range(dims):
             flip = sign[:, d][:, None]
-            for k, (digits, made) in enumerate(picks[d]):
+            for k, made in enumerate(picks[d]):
                 own = (size[:, d] >> (_DIGIT * k)) & ((1 << _DIGIT) - 1)
                 if not own.any():
                     continue
-                y = np.moveaxis(made[np.searchsorted(digits, own)], 1, 0) ^ flip[None]  # -y = ~y + 1
+                y = made[:, own] ^ flip[None]  # -y = ~y + 1
                 if _DIGIT * k < len(acc):
                     _add(acc, y, np.broadcast_to(flip, acc.shape[1:]).copy(), _DIGIT * k)
         return acc
@@ -172,8 +166,7 @@ class SlicedBlock:
         for d in range(dims):
             size, own = np.abs(queries[:, d]), []
             while True:
-                digits = np.unique(size & ((1 << _DIGIT) - 1))
-                own.append((digits, self.multiples(d, digits)))
+                own.append(self.multiples(d, int((size & ((1 << _DIGIT) - 1)).max(initial=0))))
                 size = size >> _DIGIT
                 if not size.any():
                     break
@@ -209,11 +202,16 @@ def top_k(
     index = materialise(v.repartitionByRange("vec_id").sortWithinPartitions("vec_id", "v").mapInArrow(_blocks(BLOCK), _BLOCK), "sliced")
     own = v.filter(F.col("vec_id") % every == 0).distinct()
     asked = materialise(own.repartitionByRange("vec_id").sortWithinPartitions("vec_id", "v").mapInArrow(_blocks(QUERY_BLOCK), _BLOCK), "queries")
-    q = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "vals", "n", "dims")], F.struct("part", "nth").alias("q"))
-    size, n_q, n_b = asked.agg(F.sum(F.length("vals") + F.length("ids")), F.count("*")).first() + index.agg(F.count("*")).first()
-    keys = asked.select(F.struct("part", "nth").alias("q"))
+    size, n_b = asked.agg(F.sum(F.length("vals") + F.length("ids"))).first()[0], index.count()
+    # blocks of queries are numbered by prefix sums of the tasks' counts
+    parts = asked.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()
+    n_q = sum(r["n"] for r in parts)
+    bases = [(r["part"], sum(x["n"] for x in parts[:i])) for i, r in enumerate(parts)]
+    base = vectors.sparkSession.createDataFrame(bases, "part int, base int")
+    q = asked.join(F.broadcast(base), "part").select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "vals", "n", "dims")], (F.col("base") + F.col("nth")).alias("q"))
     # each block of rows meets each block of queries once
-    met = index.crossJoin(F.broadcast(keys)).join(F.broadcast(q) if (size or 0) <= MAX_BROADCAST else q, "q")
+    met = index.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)) if n_q else F.array().cast("array<int>")))
+    met = met.join(F.broadcast(q) if (size or 0) <= MAX_BROADCAST else q, "q")
     met = met.repartition(max(1, min(n_q * n_b, 5000)))
 
     def search(batches):
