@@ -28,7 +28,6 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 1500
@@ -134,12 +133,10 @@ def learn(
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
     # ids alone are ranked; the sampled ones, a bounded number, then fetch their texts
     h = F.xxhash64("id", "y")
-    kept = (
-        lab.join(d.select("id").distinct(), "id", "left_semi")
-        .select("id", "y", h.alias("h"))
-        .withColumn("nth", F.row_number().over(W.partitionBy("y").orderBy("h", "id")))
-        .filter(F.col("nth") <= sample_docs)
-    )
+    known = lab.join(d.select("id").distinct(), "id", "left_semi").select("id", "y", h.alias("h"))
+    # each task's smallest hashes, then theirs
+    first = [known.filter(F.col("y") == y).orderBy("h", "id").limit(sample_docs) for y in (0, 1)]
+    kept = first[0].unionByName(first[1])
     place = lambda k: F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.length("text") - PIECE_CHARS, F.lit(0)) + 1).cast("int") + 1
     pieces = F.array(*[F.substring("text", place(k), F.lit(PIECE_CHARS)) for k in range(PIECES)])
     pieces = F.when(F.length("text") <= PIECE_CHARS, F.array("text")).otherwise(pieces)
