@@ -496,7 +496,10 @@ def training_set(pages: list[str], seed: int = 5) -> tuple[list, list]:
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> Labeller:
     h = F.xxhash64(F.col(id_col))
     some = pages.select(F.col(html_col).alias("html"), h.alias("h"), F.col(id_col).alias("id")).filter(F.length("html").between(1, 100_000))
-    rows = some.orderBy("h", "id", "html").limit(sample).collect()
+    # the hashes first: tasks send these, not pages
+    first = some.select("h").orderBy("h").limit(sample).collect()
+    last = max((r["h"] for r in first), default=0)
+    rows = some.filter(F.col("h") <= last).orderBy("h", "id", "html").limit(sample).collect()
     net = Labeller()
     net.train(*training_set([r["html"] for r in rows]))
     return net
