@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SCALE = 256
-BLOCK = 8192
+BLOCK = 4096
 QUERY_BLOCK = 512
 #: Queries that go through the slices side by side.
 SIDE = 16
@@ -199,9 +199,12 @@ def top_k(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows for each row whose id is divisible by ``every``."""
     v = quantised(vectors, id_col, vector_col, scale)
-    index = materialise(v.repartitionByRange("vec_id").sortWithinPartitions("vec_id", "v").mapInArrow(_blocks(BLOCK), _BLOCK), "sliced")
     own = v.filter(F.col("vec_id") % every == 0).distinct()
-    asked = materialise(own.repartitionByRange("vec_id").sortWithinPartitions("vec_id", "v").mapInArrow(_blocks(QUERY_BLOCK), _BLOCK), "queries")
+    # as few blocks as hold all rows, however many partitions the rows come in
+    n_rows, n_own = (max(1, -(-x.count() // size)) for x, size in ((v, BLOCK), (own, QUERY_BLOCK)))
+    ranged = v.repartitionByRange("vec_id").coalesce(n_rows).sortWithinPartitions("vec_id", "v")
+    index = materialise(ranged.mapInArrow(_blocks(BLOCK), _BLOCK), "sliced")
+    asked = materialise(own.coalesce(n_own).mapInArrow(_blocks(QUERY_BLOCK), _BLOCK), "queries")
     size, n_b = asked.agg(F.sum(F.length("vals") + F.length("ids"))).first()[0], index.count()
     # blocks of queries are numbered by prefix sums of the tasks' counts
     parts = asked.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()
