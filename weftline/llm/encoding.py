@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from . import worker
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _L = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
@@ -27,6 +29,7 @@ _SPLIT = {
 #: Pieces kept in a worker; at some 200 bytes each. It starts anew when full.
 CACHE = 600_000
 _encoders: dict = {}
+worker.keeps("encoding", _encoders.clear)
 
 
 def _kind(spec: dict) -> str | None:
@@ -48,6 +51,7 @@ class _Pieces(dict):
 
 class BatchEncoder:
     def __init__(self, vocabulary: str, dtype: str = "<u4"):
+        worker.owned_by("encoding")
         key = (vocabulary, dtype)
         if key not in _encoders:
             from tokenizers import Tokenizer

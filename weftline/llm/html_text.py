@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import worker
+
 SAMPLE_PAGES = 200
 EPOCHS = 14
 HIDDEN = 16
@@ -179,6 +181,7 @@ def blocks(page: str) -> list[Block]:
 
 
 _hashes: dict[str, int] = {}
+worker.keeps("html", _hashes.clear)
 
 
 def _bucket(s: str, n: int) -> int:
@@ -517,6 +520,7 @@ def extract(pages: DataFrame, net: Labeller, id_col: str = "page_id", url_col: s
     d = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
     def run(batches):
+        worker.owned_by("html")
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 own = b.slice(lo, 500)

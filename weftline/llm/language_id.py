@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import worker
+
 SEGMENT = 512
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 32_000
@@ -192,13 +194,16 @@ def learn(
     return samples, [r["lang"] for r in n]
 
 
-def identify(docs: DataFrame, parser: Parser, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
-    """Per row of docs: its id, lang_pred, score, and ``more`` columns."""
+def identify(
+    docs: DataFrame, parser: Parser, id_col: str = "doc_id", text_col: str = "text", *more: Column, keep_text: bool = False
+) -> DataFrame:
+    """Per row of docs: its id, ``more`` columns (and ``text``, if it is to be kept), lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(parser)
     d = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), *more)
-    out = [f for f in d.schema.fields if f.name != "text"]
+    out = [f for f in d.schema.fields if keep_text or f.name != "text"]
 
     def run(batches):
+        worker.owned_by("language_id")
         for b in batches:
             at = 0
             for texts in _chunks(b.column(0)):

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import worker
 from .common import materialise
 
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -108,6 +109,7 @@ _SEEN = "struct<start:int,end:int,context:string,value:string,base:boolean>"
 
 def _extract(docs: DataFrame) -> DataFrame:
     def run(batches):
+        worker.owned_by("pii")
         for b in batches:
             spans, seen = [], []
             for x in b.column(2):

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import worker
+
 SAMPLE_DOCS = 1500
 PIECES = 2
 PIECE_CHARS = 600
@@ -180,6 +182,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     out = [f for f in d.schema.fields if f.name != "text"]
 
     def run(batches):
+        worker.owned_by("quality")
         for b in batches:
             s = shared.value.score([x.as_py() or "" for x in b.column(0)])
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in out], pa.array(s)], names=[*[f.name for f in out], "score"])

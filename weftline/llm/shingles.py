@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from . import worker
+
 WORDS = 5
 CHUNK_BYTES = 2_000_000
 _M64 = (1 << 64) - 1
@@ -24,6 +26,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+worker.keeps("shingles", lambda: _powers.update(up=np.ones(1, np.uint64), down=np.ones(1, np.uint64)))
 
 
 def _power(kind: str, n: int) -> np.ndarray:
@@ -49,6 +52,7 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[tuple[int, np
     A text of fewer words than a shingle, but not none, has its whole sequence
     as the one shingle; nulls are empty.
     """
+    worker.owned_by("shingles")
     column = column.cast(pa.large_string()).fill_null("")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
