@@ -314,6 +314,16 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id for r in got.collect()) == [1, 2, 4] and got.columns == docs_of(spark, rows).columns
 
 
+def test_one_of_each_keeps_unlinked_texts(spark):
+    x, near, y, z = ("a b c d e f g h i j k l m n o p q r s t", "a b c d e f g h i j k l m n o p q r s u", "one two three four five six", "red green blue white black grey")
+    some = lambda rows: collections.Counter((r.doc_id, r.text) for r in jaccard_join.one_of_each(docs_of(spark, rows)).collect())
+    assert some([(3, x), (7, near), (7, y)]) == {(3, x): 1, (7, y): 1}
+    assert some([(7, y), (7, z), (7, z)]) == {(7, y): 1, (7, z): 1}
+    assert sorted(i for i, _ in some([(7, x), (7, near)])) == [7]
+    assert some([(None, y), (None, y), (None, z), (None, x), (5, near), (8, "q r s t u v")]) == {(None, y): 1, (None, z): 1, (5, near): 1, (8, "q r s t u v"): 1}
+    assert some([(None, ""), (None, ""), (None, None), (None, "!!"), (4, ""), (4, ""), (4, "!")]) == {(None, ""): 2, (None, None): 1, (None, "!!"): 1, (4, ""): 1, (4, "!"): 1}
+
+
 def test_divide_skip_brute():
     r = random.Random(8)
     sets = [np.unique(np.array([r.randrange(40) for _ in range(r.randint(1, 30))], np.uint64)) for _ in range(120)]

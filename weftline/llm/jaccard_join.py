@@ -60,7 +60,8 @@ MU = 0.0085
 
 
 def _scan(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, sig) for each row, and (token, n) for shingles repeated in a window; the other is null."""
+    """(doc_id, n, sig, text_hash) for each row, and (token, n) for shingles repeated in a window; the others are null."""
+    names = ["doc_id", "n", "sig", "token", "text_hash"]
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -73,15 +74,15 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
             some = n >= REPORTED
             t, n = t[first[some]].view(np.int64), n[some]
             none = pa.nulls(len(t), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(n), none, pa.array(t)], names=["doc_id", "n", "sig", "token"])
+            return pa.RecordBatch.from_arrays([none, pa.array(n), none, pa.array(t), none], names=names)
 
         seen: set[int] = set()
         for b in batches:
             for lo, hashes, sizes in shingle_sets(b.column(1), words):
                 sig = signatures(hashes, sizes)
-                own = b.column(0).slice(lo, len(sizes))
+                own, text = (b.column(k).slice(lo, len(sizes)) for k in (0, 2))
                 yield pa.RecordBatch.from_arrays(
-                    [own, pa.array(sizes), pa.array(sig, mask=sizes == 0), pa.nulls(len(sizes), pa.int64())], names=["doc_id", "n", "sig", "token"]
+                    [own, pa.array(sizes), pa.array(sig, mask=sizes == 0), pa.nulls(len(sizes), pa.int64()), text], names=names
                 )
                 new = np.zeros(len(sizes), bool)  # equal sets of a window count once
                 for i, s in enumerate(sig.tolist()):
@@ -97,7 +98,8 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
         if size:
             yield report()
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig long, token long")
+    d = docs.withColumn("text_hash", F.xxhash64("text"))
+    return d.mapInArrow(run, "doc_id long, n long, sig long, token long, text_hash long")
 
 
 def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
@@ -339,7 +341,9 @@ def near_duplicates(
 ) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, class_id (smallest doc_id of an equal set) and component_id.
 
-    Rows without shingles are their own class and component.
+    Rows without shingles are their own class and component. Further columns:
+    component (a hash that also tells components of one id, or of none, apart;
+    null without shingles) and text_hash.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -411,29 +415,53 @@ def near_duplicates(
         "sig", "class_id", F.coalesce("component", "sig").alias("component")
     )
     least = placed.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    placed = placed.join(least, "component").select("sig", "class_id", "component_id")
+    placed = placed.join(least, "component").select("sig", "class_id", "component_id", "component")
     out = rows.join(placed, "sig", "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
+        "component",
+        "text_hash",
     )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id. All columns stay.
 
-    Rows of a null doc_id stay if any of them links with no row of an id.
+    Of several texts of that id in a component one stays, and rows of one id in
+    other components aren't touched by it. Components whose rows all lack an id
+    keep one row too. Rows without shingles link with nothing and stay; only
+    repeated ones of an id (of equal text) count once.
     """
     found = materialise(near_duplicates(docs, id_col=id_col, text_col=text_col), "components")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    rows, ids = kept.agg(F.count("*"), F.count_distinct("_kept")).first()
-    kept = kept.distinct()
-    if ids <= MAX_WANTED:
+    # a row of no shingles is a component by itself: its id and text name it
+    alone = F.col("component").isNull()
+    kept = (
+        found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("component", "doc_id", "text_hash")
+        .agg(F.count("*").alias("rows"))
+        .groupBy("component", F.when(alone, F.col("doc_id")).alias("id"), F.when(alone, F.col("text_hash")).alias("hash"))
+        .agg(F.min(F.struct("text_hash", "doc_id", "rows")).alias("k"))
+        .select(
+            F.col("k.doc_id").alias("_kept"),
+            F.col("k.text_hash").alias("_hash"),
+            (alone & F.col("k.doc_id").isNull()).alias("_all"),
+            F.col("k.rows").alias("_rows"),
+        )
+    )
+    kept = materialise(kept, "kept")
+    n, repeated = kept.agg(F.count("*"), F.max((F.col("_rows") > 1) & ~F.col("_all"))).first()
+    kept = kept.drop("_rows")
+    if n <= MAX_WANTED:
         kept = F.broadcast(kept)
-    out = docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return out if rows == ids else out.dropDuplicates([id_col])
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_kept")) & (F.xxhash64(docs[text_col]) == F.col("_hash"))
+    out = docs.join(kept, same)
+    if repeated:
+        own = F.when(F.col("_all"), F.monotonically_increasing_id())
+        out = out.withColumn("_own", own).dropDuplicates(["_kept", "_hash", "_own"])
+    return out.select(*[docs[c] for c in docs.columns])
 
 
 def op4_query(docs: DataFrame) -> DataFrame:
