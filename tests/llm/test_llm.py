@@ -572,3 +572,27 @@ def test_main_text_of_other_layouts(spark, sf):
     )
     got = html_text.main_texts([page], net)[0]
     assert got == "\n".join(["Title here", *texts])
+
+
+def test_deep_layouts(spark):
+    net = html_text.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    texts = ["A long sentence of the article stands here, and it goes on for a while.", "More of it follows, with commas, and stops."] * 2
+    replies = ["I liked it a lot, thanks for the post, it was good to read.", "No, it is wrong, and I say so here, since nobody else does."]
+    for seed, opening in enumerate(("<section class='comments'>", "<div id='comments'>", "<aside>", "<div class='sidebar'>", "<div class='cookie-notice'>")):
+        r = random.Random(seed)
+
+        def deep(lines, r=r):
+            inner = "".join(f"<p>{x}</p>" for x in lines)
+            for _ in range(12):
+                inner = f"<div class='{' '.join(r.sample('grid row col flex px py inner wrap box layout shell panel stack gap'.split(), 4))}'>{inner}</div>"
+            return inner
+
+        page = f"<html><body><article>{deep(texts)}</article>{opening}{deep(replies)}</{opening[1:].split()[0].strip('>')}></body></html>"
+        assert html_text.main_texts([page], net) == ["\n".join(texts)]
+
+
+def test_all_words_of_a_block_count():
+    text = " ".join(f"word{i}" for i in range(100))
+    a, b = (html_text.features([html_text.Block(("p",), f"{text} {end}", 0)]) for end in ("alpha omega", "gamma delta"))
+    net = html_text.Labeller()
+    assert (net.scores([a])[0] != net.scores([b])[0]).all() and (a[2] == b[2]).all()

@@ -2,9 +2,10 @@
 
 A tolerant tokenizer turns a page into its blocks: runs of text between
 block-level tags, each with the path of tags (and words of their class, id and
-role) above it. A block's vector joins learned vectors of its path's parts and
-of the words it begins with (both by hashing) with some measures of its whole
-text. One LSTM reads a page's blocks forward, one backward; a logistic layer over
+role) above it. A block's vector joins learned vectors of all its path's parts
+and of all its words (both by hashing) with some measures of its whole text. A word
+met c times among n counts sqrt(c / n); a name met c times among n different ones
+(1 + ln c) / sqrt(n), where names that no training page has don't count. One LSTM reads a page's blocks forward, one backward; a logistic layer over
 both and the block itself says whether it is main text.
 
 The network is trained here, with numpy, on a bounded sample of pages: the
@@ -25,9 +26,11 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 import html as _html
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +44,6 @@ EPOCHS = 14
 HIDDEN = 16
 PATH_BUCKETS, PATH_SIZE = 512, 16
 WORD_BUCKETS, WORD_SIZE = 512, 8
-FIRST_WORDS = 12
 MEASURES = 8
 
 _TAG = re.compile(
@@ -184,38 +186,78 @@ _hashes: dict[str, int] = {}
 worker.keeps("html", _hashes.clear)
 
 
-def _bucket(s: str, n: int) -> int:
+def _crc(s: str) -> int:
     h = _hashes.get(s)
     if h is None:
         if len(_hashes) > 500_000:
             _hashes.clear()
         h = _hashes[s] = zlib.crc32(s.encode("utf-8", "surrogatepass"))
-    return h % n
+    return h
 
 
 _WORD = re.compile(r"\w+")
 
 
-def features(page: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of paths [block, place] and first words (-1: none), and measures [block, measure]."""
+class Bags:
+    """Buckets (or hashes) of each block, on end: how many, which, and their weights."""
+
+    def __init__(self, sizes: np.ndarray, buckets: np.ndarray, weights: np.ndarray):
+        self.sizes, self.buckets, self.weights = sizes, buckets, weights
+
+    @staticmethod
+    def of(bags: list[tuple[list[int], list[float]]]) -> Bags:
+        sizes = np.fromiter((len(b) for b, _ in bags), np.int64, len(bags))
+        return Bags(sizes, np.array([x for b, _ in bags for x in b], np.int64), np.array([x for _, w in bags for x in w], np.float32))
+
+    @staticmethod
+    def joined(bags: list[Bags]) -> Bags:
+        return Bags(*(np.concatenate([getattr(b, k) for b in bags]) for k in ("sizes", "buckets", "weights")))
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def sums(self, vectors: np.ndarray) -> np.ndarray:
+        """The weighted sum of each block's vectors."""
+        out, some = np.zeros((len(self.sizes), vectors.shape[1]), vectors.dtype), self.sizes > 0
+        if some.any():
+            first = (np.cumsum(self.sizes) - self.sizes)[some]
+            out[some] = np.add.reduceat(vectors[self.buckets] * self.weights[:, None], first, axis=0)
+        return out
+
+
+def _path_bag(path) -> tuple[list[int], list[float]]:
+    counts = Counter(path)
+    return [_crc(x) for x in counts], [1 + math.log(c) for c in counts.values()]
+
+
+def _word_bag(words) -> tuple[list[int], list[float]]:
+    counts: dict[int, int] = {}
+    for name, c in Counter(words).items():
+        at = _crc(name) % WORD_BUCKETS
+        counts[at] = counts.get(at, 0) + c
+    total = sum(counts.values())
+    return list(counts), [(c / total) ** 0.5 for c in counts.values()]
+
+
+def features(page: list[Block]) -> tuple[Bags, Bags, np.ndarray]:
+    """Hashes of whole paths, buckets of all words, and measures [block, measure]."""
     n = len(page)
-    longest = max((len(b.path) for b in page), default=0)
-    paths = np.full((n, max(1, min(longest, 24))), -1, np.int32)
-    words = np.full((n, FIRST_WORDS), -1, np.int32)
+    known: dict[tuple[str, ...], tuple[list[int], list[float]]] = {}
+    paths, words = [], []
     measures = np.zeros((n, MEASURES), np.float32)
     for i, b in enumerate(page):
-        own = [_bucket(x, PATH_BUCKETS) for x in b.path[-24:]]
-        paths[i, : len(own)] = own
+        if b.path not in known:
+            known[b.path] = _path_bag(b.path)
+        paths.append(known[b.path])
         t = b.text
-        w = [_bucket(x.lower(), WORD_BUCKETS) for x in _WORD.findall(t[:200])[:FIRST_WORDS]]
-        words[i, : len(w)] = w
+        words.append(_word_bag(_WORD.findall(t.lower())))
         size = len(t)
         stops = t.count(".") + t.count(",") + t.count("!") + t.count("?")
         measures[i] = (
             min(size, 2000) / 1000, min(1.0, size / 40), b.linked / size, min(1.0, 20 * stops / size),
             t[-1] in ".!?\"'”»:", i / n, 1.0 / n, 1.0,
         )
-    return paths, words, measures
+    return Bags.of(paths), Bags.of(words), measures
 
 
 def _sigmoid(x):
@@ -230,6 +272,8 @@ class Labeller:
         d, h = PATH_SIZE + WORD_SIZE + MEASURES, hidden
         f = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.h = h
+        #: Hashes of the names that training met, in order; None before it, when all count.
+        self.known: np.ndarray | None = None
         self.w = {
             "path": f(PATH_BUCKETS, PATH_SIZE) * 4, "word": f(WORD_BUCKETS, WORD_SIZE) * 2,
             "wf": f(d, 4 * h), "uf": f(h, 4 * h), "bf": np.zeros(4 * h, np.float32),
@@ -239,10 +283,16 @@ class Labeller:
         for b in ("bf", "bb"):
             self.w[b][h : 2 * h] = 1  # of the gates that keep
 
+    def _weighted(self, paths: Bags) -> Bags:
+        """Paths' hashes as buckets, weighed among the names of each path that training met."""
+        ok = np.ones(len(paths.buckets), bool) if self.known is None else np.isin(paths.buckets, self.known)
+        n = np.bincount(paths.owners()[ok], minlength=len(paths.sizes))
+        weights = paths.weights * ok / np.sqrt(np.maximum(n, 1))[paths.owners()]
+        return Bags(paths.sizes, paths.buckets % PATH_BUCKETS, weights.astype(np.float32))
+
     def _inputs(self, paths, words, measures):
         w = self.w
-        mean = lambda e, at: (e[at] * (at >= 0)[:, :, None]).sum(1) / np.maximum((at >= 0).sum(1), 1)[:, None] ** 0.5
-        return np.concatenate((mean(w["path"], paths), mean(w["word"], words), measures), axis=1).astype(np.float32)
+        return np.concatenate((paths.sums(w["path"]), words.sums(w["word"]), measures), axis=1).astype(np.float32)
 
     def _pass(self, x, mask, d, keep=False):
         """x [t, page, in] to hidden states [t, page, h]; padded steps keep the state."""
@@ -261,10 +311,9 @@ class Labeller:
 
     def _padded(self, pages):
         """Pages' inputs as [t, page, in], the mask, and the flat block of each place."""
-        n = [len(p[0]) for p in pages]
-        width = max(p[0].shape[1] for p in pages)
-        paths = np.concatenate([np.pad(p[0], ((0, 0), (0, width - p[0].shape[1])), constant_values=-1) for p in pages])
-        words, measures = (np.concatenate([p[k] for p in pages]) for k in (1, 2))
+        n = [len(p[2]) for p in pages]
+        paths, words = (Bags.joined([p[k] for p in pages]) for k in (0, 1))
+        paths, measures = self._weighted(paths), np.concatenate([p[2] for p in pages])
         x = self._inputs(paths, words, measures)
         page = np.repeat(np.arange(len(n)), n)
         t = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
@@ -274,18 +323,19 @@ class Labeller:
 
     def scores(self, pages) -> list[np.ndarray]:
         out = [np.zeros(0, np.float32)] * len(pages)
-        order = sorted((i for i in range(len(pages)) if len(pages[i][0])), key=lambda i: len(pages[i][0]))
+        size = [len(p[2]) for p in pages]
+        order = sorted((i for i in range(len(pages)) if size[i]), key=lambda i: size[i])
         lo = 0
         while lo < len(order):
             hi = lo + 1  # pages of like length, some ten thousand places at once
-            while hi < len(order) and (hi - lo + 1) * len(pages[order[hi]][0]) <= 20_000 and len(pages[order[hi]][0]) <= 1.3 * len(pages[order[lo]][0]) + 4:
+            while hi < len(order) and (hi - lo + 1) * size[order[hi]] <= 20_000 and size[order[hi]] <= 1.3 * size[order[lo]] + 4:
                 hi += 1
             own = order[lo:hi]
             x, mask, t, page, _, _ = self._padded([pages[i] for i in own])
             both = np.concatenate((self._pass(x, mask, "f")[0], self._pass(x, mask, "b")[0], x), axis=2)
             p = _sigmoid(both @ self.w["out"] + self.w["bo"])[:, :, 0]
             for k, i in enumerate(own):
-                out[i] = p[: len(pages[i][0]), k]
+                out[i] = p[: size[i], k]
             lo = hi
         return out
 
@@ -318,15 +368,14 @@ class Labeller:
                 ds = dz @ w["u" + d].T + dh * (1 - m)
                 dc = dcell * f + dc * (1 - m)
         flat = dx[t, page]
-        for name, at, part in (("path", paths, flat[:, :PATH_SIZE]), ("word", words, flat[:, PATH_SIZE : PATH_SIZE + WORD_SIZE])):
-            part = part / np.maximum((at >= 0).sum(1), 1)[:, None] ** 0.5
-            i, j = np.nonzero(at >= 0)
-            np.add.at(g[name], at[i, j], part[i])
+        for name, bags, part in (("path", paths, flat[:, :PATH_SIZE]), ("word", words, flat[:, PATH_SIZE : PATH_SIZE + WORD_SIZE])):
+            np.add.at(g[name], bags.buckets, part[bags.owners()] * bags.weights[:, None])
         return g
 
     def train(self, pages, labels, epochs: int = EPOCHS, rate: float = 0.01, seed: int = 11) -> None:
         r = np.random.default_rng(seed)
-        some = [i for i in range(len(pages)) if len(pages[i][0])]
+        some = [i for i in range(len(pages)) if len(pages[i][2])]
+        self.known = np.unique(np.concatenate([np.zeros(0, np.int64), *[pages[i][0].buckets for i in some]]))
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         v = {k: np.zeros_like(x) for k, x in self.w.items()}
         step = 0
@@ -377,9 +426,20 @@ def _templates(r: random.Random, main: list[str], other: list[str]) -> list[tupl
         for _ in range(k):
             add(f'<{item}><a href="/{r.randint(1, 99)}">{esc(some())}</a></{item}>')
 
+    # on every other page the parts are deep in elements that mean nothing
+    deep = r.choice([0, r.randint(1, 16)])
+
+    def nested(body):
+        n = r.randint(0, deep)
+        for _ in range(n):
+            add("<div>")
+        body()
+        for _ in range(n):
+            add("</div>")
+
     def wrapped(opening, tag, body):
         add(opening)
-        body()
+        nested(body)
         add(f"</{tag}>")
 
     def menu():
@@ -458,8 +518,7 @@ def _templates(r: random.Random, main: list[str], other: list[str]) -> list[tupl
     after = [f for f in (sidebar, comments, advert, form, notice, footer) if r.random() < 0.5]
     if r.random() < 0.6:
         r.shuffle(before)
-    for f in [*before, article, *after]:
-        f()
+    nested(lambda: [f() for f in (*before, article, *after)])
     return out
 
 
