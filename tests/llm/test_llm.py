@@ -231,6 +231,27 @@ def test_cross_parsing_counts():
         assert n == brute_phrases(sample, t) and size == len(t)
 
 
+def test_languages_of_many_scripts():
+    r = random.Random(2)
+    # languages of one script differ in which letters follow each other, not in lengths
+    spans = {"zh": (0x4E00, 400), "zh2": (0x4E00, 400), "ja": (0x3041, 80), "ko": (0xAC00, 500), "gothic": (0x10330, 20), "ru": (0x430, 30), "el": (0x3B1, 16)}
+    vocabulary = {lang: ["".join(chr(a + r.randrange(n)) for _ in range(r.randint(1, 3))) for _ in range(150)] for lang, (a, n) in spans.items()}
+    text = lambda lang, n: " ".join(r.choice(vocabulary[lang]) for _ in range(n))
+    p = language_id.Parser({lang: [text(lang, 200) for _ in range(20)] for lang in spans}, sorted(spans))
+    wanted = [lang for lang in spans for _ in range(10)]
+    assert p.predict([text(lang, 30) for lang in wanted])[0] == wanted
+
+
+def test_cross_parsing_counts_of_rare_letters(monkeypatch):
+    monkeypatch.setattr(language_id, "SYMBOLS", 2)
+    r = random.Random(4)
+    sample = "".join(r.choice("abc日本語😀𐌰 ") for _ in range(300)).replace("😀", " ").replace("  ", " ").replace("  ", " ")
+    p = language_id.Parser({"x": [sample]}, ["x"])
+    texts = ["".join(r.choice("ab日本語𐌰中d") for _ in range(r.randint(1, 60))) for _ in range(200)]
+    for t, n in zip(texts, p.phrases(texts)[0][:, 0], strict=True):
+        assert n == brute_phrases(sample, t)
+
+
 def test_language_held_out(spark, odd, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language_id.op7_query(d).join(d.select("doc_id", "lang"), "doc_id").filter("held_out").collect()

@@ -9,7 +9,9 @@ ties go to the language with more learned rows, then to the smaller name.
 Texts are parsed whole, in segments of ``SEGMENT`` characters, each from the
 start state; many segments go through an automaton side by side, one character
 a step. Case is dropped, and runs of characters that aren't letters count as one
-space.
+space. Every letter of the samples, of any script, is a symbol of its own: the
+transitions of the most frequent ones are a table, those of the others are sorted
+and searched. Letters that no sample has are phrases of their own.
 
 ``score`` is the share by which the best language's phrases fall below the next
 language's, scaled to 0..1 (1 if only one language was learned; 0 for a tie).
@@ -25,8 +27,6 @@ never learned from; repeated rows each get a row; other columns are ignored.
 
 from __future__ import annotations
 
-import unicodedata
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,15 +38,20 @@ from . import worker
 SEGMENT = 512
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 32_000
-#: Letters of their own symbol, the most frequent of the samples; further letters share one.
+#: Letters whose transitions are a table, the most frequent of the samples; those of others are searched.
 SYMBOLS = 62
 UNKNOWN = "und"
-_LUT_SIZE = 0x3000
+_CODE_POINTS = 0x110000
 _NEW = np.uint32(1 << 31)
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions [state, symbol] of the suffix automaton, -1 where there is none; state 0 is the start."""
+def _letter(ch: str) -> str:
+    """A letter without case."""
+    return ch.lower()[:1]
+
+
+def _transitions(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton; state 0 is the start."""
     goto: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -72,10 +77,21 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
+    return goto
+
+
+def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
+    """Transitions [state, symbol] of the suffix automaton, -1 where there is none; state 0 is the start."""
+    return _table(_transitions(symbols), width)
+
+
+def _table(goto: list[dict[int, int]], width: int) -> np.ndarray:
+    """The transitions by the first ``width`` symbols."""
     table = np.full((len(goto), width), -1, np.int32)
     for s, g in enumerate(goto):
         for c, t in g.items():
-            table[s, c] = t
+            if c < width:
+                table[s, c] = t
     return table
 
 
@@ -87,22 +103,25 @@ class Parser:
         counts: dict[str, int] = {}
         for texts in samples.values():
             for t in texts:
-                for ch in t.lower():
+                for ch in t:
                     if ch.isalpha():
+                        ch = _letter(ch)
                         counts[ch] = counts.get(ch, 0) + 1
-        letters = sorted(counts, key=lambda c: (-counts[c], c))[:SYMBOLS]
+        letters = sorted(counts, key=lambda c: (-counts[c], c))
+        # 0: not a letter, 1: a letter that no sample has
+        self.width = min(len(letters), SYMBOLS) + 2
         own = {c: i + 2 for i, c in enumerate(letters)}
-        # 0: not a letter, 1: any other letter
-        self.lut = np.zeros(_LUT_SIZE, np.uint8)
-        for cp in range(_LUT_SIZE):
+        self.lut = np.zeros(_CODE_POINTS, np.uint32)
+        for cp in range(_CODE_POINTS):
             ch = chr(cp)
-            if unicodedata.category(ch)[0] == "L":
-                self.lut[cp] = own.get(ch.lower()[:1], 1)
-        self.width = len(letters) + 2
-        self.tables = []
+            if ch.isalpha():
+                self.lut[cp] = own.get(_letter(ch), 1)
+        self.rare = max(len(letters) - SYMBOLS, 1)
+        self.tables, self.searched = [], []
         for lang in ranked:
-            text = np.concatenate([np.zeros(0, np.uint8), *[np.append(self.symbols([t])[0], 0) for t in samples[lang]]])
-            goto = suffix_automaton(text.tolist(), self.width)
+            text = np.concatenate([np.zeros(0, np.uint32), *[np.append(self.symbols([t])[0], 0) for t in samples[lang]]])
+            found = _transitions(text.tolist())
+            goto = _table(found, self.width)
             # a further state: after a symbol that the sample lacks, which is a phrase of its own
             lone = len(goto)
             after = np.where(goto[0] >= 0, goto[0], lone).astype(np.uint32) * np.uint32(self.width)
@@ -111,16 +130,31 @@ class Parser:
             step[0] = after  # at the start no phrase ends
             step = np.vstack((step, after | _NEW))
             self.tables.append(step.ravel())
+            # (state, symbol) of the other letters' transitions as one number, in order, and where they lead
+            more = sorted((s * self.rare + c - self.width, t) for s, g in enumerate(found) for c, t in g.items() if c >= self.width)
+            keys = np.array([k for k, _ in more], np.int64)
+            after = np.full(self.rare, lone, np.int64)
+            for c, t in found[0].items():
+                if c >= self.width:
+                    after[c - self.width] = t
+            self.searched.append((keys, np.array([t for _, t in more], np.int64), after))
+
+    def _search(self, lang: int, state: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """What ``tables`` gives, for letters that they don't hold."""
+        keys, to, after = self.searched[lang]
+        state = state.astype(np.int64) // self.width
+        ends = (after[rare] * self.width).astype(np.uint32) | np.where(state > 0, _NEW, np.uint32(0))
+        if not len(keys):
+            return ends
+        key = state * self.rare + rare
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, (to[at] * self.width).astype(np.uint32), ends)
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of all texts on end, each text's length, and whether it has a letter."""
         cps = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        sym = self.lut[np.minimum(cps, _LUT_SIZE - 1)]
-        high = np.flatnonzero(cps >= _LUT_SIZE)
-        if len(high):
-            some, inv = np.unique(cps[high], return_inverse=True)
-            sym[high] = np.array([unicodedata.category(chr(c))[0] == "L" for c in some], np.uint8)[inv]
+        sym = self.lut[cps]
         text = np.repeat(np.arange(len(texts)), sizes)
         keep = np.ones(len(sym), bool)
         keep[1:] = (sym[1:] != 0) | (sym[:-1] != 0) | (text[1:] != text[:-1])
@@ -143,10 +177,14 @@ class Parser:
         states = [np.zeros(len(text), np.uint32) for _ in self.langs]
         counts = [np.zeros(len(text), np.uint16) for _ in self.langs]
         for k, n in enumerate(live):
-            c = sym[begin[:n] + k].astype(np.uint32)
-            for step, state, count in zip(self.tables, states, counts, strict=True):
-                at = state[:n] + c
-                at = step[at]
+            c = sym[begin[:n] + k]
+            rare = np.flatnonzero(c >= self.width)
+            which = c[rare].astype(np.int64) - self.width
+            c[rare] = 1
+            for lang, (step, state, count) in enumerate(zip(self.tables, states, counts, strict=True)):
+                at = step[state[:n] + c]
+                if len(rare):
+                    at[rare] = self._search(lang, state[rare], which)
                 count[:n] += (at >> np.uint32(31)).astype(np.uint16)
                 state[:n] = at & ~_NEW
         for j, count in enumerate(counts):
