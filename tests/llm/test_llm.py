@@ -542,6 +542,20 @@ def test_blocks_of_a_page():
         html_text.blocks(odd)
 
 
+def test_embedded_elements():
+    texts = lambda page: [b.text for b in html_text.blocks(page)]
+    for tag in ("svg", "math", "object"):
+        assert texts(f"<article><p>a</p><{tag}><p>b</p><p>c</p></article><p>d</p>") == ["a", "b", "c", "d"]
+        assert texts(f"<div>a<{tag}>b</div><div>c</div>") == ["ab", "c"]
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1</annotation></semantics></math>"
+    assert texts(f"<p>Here {formula} holds.</p>") == ["Here x=1 holds."]
+    assert texts("<p>A <svg><title>logo</title><g><path d='M0'/><text>B</text></g></svg> c</p><p>d</p>") == ["A B c", "d"]
+    assert texts("<p>a</p><svg><title>b<p>c</p>") == ["a", "b", "c"]
+    assert texts("<p>a</p><object><p>b</p></object><p>c</p><script>d<p>e</p>") == ["a", "b", "c"]
+    # what follows an unclosed one isn't inside it
+    assert [b.path for b in html_text.blocks("<article><svg><p>a</p></article>")] == [("article", "p")]
+
+
 def test_gradients():
     r = np.random.default_rng(0)
     net = html_text.Labeller(hidden=3, seed=1)

@@ -19,7 +19,10 @@ becomes one space, main blocks are joined by a line feed.
 
 Defined cases: null and empty pages, and pages without main text, give an empty
 text; unclosed and crossed tags are closed as browsers do for paragraphs and list
-items, and ignored otherwise; repeated rows each get a row; an empty table gives
+items, and ignored otherwise; svg and math are part of the text around them, and
+an open svg, math or object ends at the next block tag or with its parent; what
+browsers read as one raw text (script and the like) is left out, to the end of
+the page if it isn't closed; repeated rows each get a row; an empty table gives
 an empty result; other columns are ignored.
 """
 
@@ -54,10 +57,18 @@ _TAG = re.compile(
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template svg iframe object math textarea title".split())
+_RAW = frozenset("script style noscript template iframe textarea title".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
+#: Elements that hold others' markup, and what browsers don't show of it (if it is closed).
+_FOREIGN = frozenset("svg math".split())
+_UNSHOWN = frozenset("title desc metadata annotation annotation-xml script style".split())
+#: Tags in svg and math that are of the page, and so end them.
+_ENDS_FOREIGN = frozenset(
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
+    "hgroup hr html legend li listing main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
+)
 #: An opening tag closes an open one of these, up to the nearest tag that holds it.
 _CLOSES = {
     "li": ("li", {"ul", "ol", "menu"}),
@@ -95,7 +106,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
     path: tuple[str, ...] = ()
-    linked = in_link = 0
+    linked = in_link = foreign = embedded = 0
     names: dict[tuple[str, str], tuple[str, ...]] = {}
 
     def flush():
@@ -108,10 +119,14 @@ def blocks(page: str) -> list[Block]:
         linked = 0
 
     def close(k: int):
-        nonlocal in_link
+        nonlocal in_link, foreign, embedded
         for tag, _ in stack[k:]:
             if tag == "a":
                 in_link -= 1
+            elif tag in _FOREIGN:
+                foreign -= 1
+            if tag in _FOREIGN or tag == "object":
+                embedded -= 1
         del stack[k:]
 
     def add(raw: str):
@@ -143,13 +158,20 @@ def blocks(page: str) -> list[Block]:
                 add(_html.escape(m[0][9:].removesuffix("]]>")))
             continue
         tag, closing = m[2].lower(), m[1]
+        if foreign and tag in _UNSHOWN:  # where it isn't closed, its text stays
+            end = None if closing or m[3].endswith("/") else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = end.end() if end else at
+            continue
         if tag in _RAW:
             if not closing and not m[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = end.end() if end else n
                 add(" ")
             continue
-        if tag not in _INLINE:
+        if embedded and not closing and tag in _ENDS_FOREIGN:
+            close(next(k for k, (t, _) in enumerate(stack) if t in _FOREIGN or t == "object"))
+        inline = tag in _INLINE or tag in _FOREIGN or tag == "object" or foreign and tag not in _ENDS_FOREIGN
+        if not inline:
             flush()
         elif tag in ("br", "img", "wbr"):
             if tag == "br":
@@ -178,6 +200,8 @@ def blocks(page: str) -> list[Block]:
             stack.append((tag, names[key]))
             if tag == "a":
                 in_link += 1
+            foreign += tag in _FOREIGN
+            embedded += tag in _FOREIGN or tag == "object"
     flush()
     return out
 
