@@ -428,6 +428,19 @@ def test_contexts_find_identifiers(spark):
     assert got[0].spans == "email:15:37" and got[0].base_sha256 == hashlib.sha256(b"email:15:37").hexdigest()
 
 
+def test_found_identifiers_support_contexts(spark):
+    found = [f"k9x7q2m4z{i:02d}" for i in range(40)]
+    rows = [("mail", f"user{i}@host.example.org", True) for i in range(600)] + [("mail", v, False) for v in found]
+    rows += [("key", v, False) for v in [*found, "q1w2e3r4t5"]] + [("lot", v, False) for v in found[:4]]
+    graph = spark.createDataFrame(rows, "context string, value string, base boolean")
+    assert {r.context for r in pii.sure_contexts(graph).collect()} == {"mail", "key"}
+
+
+def test_identifiers_of_any_length():
+    key = "a1b2" * 100
+    assert pii.identifiers(f"key: {key}, b", []) == [(5, 405)]
+
+
 def test_pii_odd(spark, odd, empty):
     assert pii.op5_query(empty).count() == 0
     got = pii.op5_query(odd).collect()

@@ -6,9 +6,10 @@ the word before it with the signs between. Contexts and identifiers form a
 graph over the whole input. Scores go round it: base identifiers score 1; a
 context's score is the mean score of its identifiers, drawn towards 0 by
 ``SMOOTHING`` of unknown worth; an identifier that isn't base scores as the best
-of its contexts. After ``ROUNDS`` rounds, identifiers of a context that scores
-``SURE`` or more, and has ``SUPPORT`` base identifiers at least, are found; all
-their occurrences become spans of kind ``id``.
+of its contexts. A context is sure if it scores ``SURE`` or more and has
+``SUPPORT`` identifiers at least that are base or were found in an earlier round;
+its identifiers are found. Those found after ``ROUNDS`` rounds get all their
+occurrences as spans of kind ``id``.
 
 Base spans never change. Spans count code points, the end is exclusive.
 
@@ -43,7 +44,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IDENTIFIER = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{6,63}[A-Za-z0-9]")
+_IDENTIFIER = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{6,}[A-Za-z0-9]")
 _CONTEXT = re.compile(r"([^\W\d_]{1,24})([^\w\n]{1,4})\Z")
 
 
@@ -135,18 +136,24 @@ _NEAR = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("contex
 
 def sure_contexts(graph: DataFrame, rounds: int = ROUNDS, sure: float = SURE, support: int = SUPPORT) -> DataFrame:
     """The contexts of (context, value, base) that score high enough, after some rounds over the graph."""
-    scored = graph.withColumn("score", F.col("base").cast("double"))
+    scored = graph.withColumn("score", F.col("base").cast("double")).withColumn("held", F.col("base"))
     contexts = None
     for k in range(rounds):
         contexts = scored.groupBy("context").agg(
-            (F.sum("score") / (F.count("*") + SMOOTHING)).alias("worth"), F.sum(F.col("base").cast("long")).alias("support")
+            (F.sum("score") / (F.count("*") + SMOOTHING)).alias("worth"), F.sum(F.col("held").cast("long")).alias("support")
         )
+        is_sure = (F.col("worth") >= sure) & (F.col("support") >= support)
         if k + 1 < rounds:
-            best = graph.filter("not base").join(contexts.select("context", "worth"), "context").groupBy("value").agg(F.max("worth").alias("best"))
+            of = contexts.select("context", "worth", is_sure.alias("sure"))
+            best = graph.filter("not base").join(of, "context").groupBy("value").agg(F.max("worth").alias("best"), F.max("sure").alias("found"))
             scored = graph.join(best, "value", "left").select(
-                "context", "value", "base", F.when(F.col("base"), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score")
+                "context",
+                "value",
+                "base",
+                F.when(F.col("base"), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+                (F.col("base") | F.coalesce("found", F.lit(False))).alias("held"),
             )
-    return contexts.filter((F.col("worth") >= sure) & (F.col("support") >= support)).select("context")
+    return contexts.filter(is_sure).select("context")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
