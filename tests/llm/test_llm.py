@@ -162,6 +162,17 @@ def test_top_k_brute(spark):
     assert topk_search.op2_query(df.limit(0)).count() == 0
 
 
+def test_top_k_of_rows_repeated_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK", 3)
+    r = random.Random(6)
+    rows = [(i, [r.gauss(0, 0.3) for _ in range(4)]) for i in range(12)]
+    rows += [(0, [1.0] * 4), (20, [2.0] * 4), (21, [2.0, 2.0])] + [(20, [2.0] * 4)] * 7
+    got = collections.defaultdict(list)
+    for x in topk_search.op2_query(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got[x.query_id].append((x["rank"], x.vec_id, x.score))
+    assert {q: sorted(v) for q, v in got.items()} == brute_top(rows, 50, 5)
+
+
 def test_slices():
     v = np.array([0, 1, -1, 127, -128, 5])
     s = topk_search.slices(v)

@@ -72,14 +72,22 @@ def _blocks(size: int):
             dims = max(v.shape[1] for v in vecs)
             m = np.concatenate([np.pad(v, ((0, 0), (0, dims - v.shape[1]))) for v in vecs])
             i = np.concatenate(ids)
-            new = np.ones(len(i), bool)  # equal rows of one id stand together
-            new[1:] = (i[1:] != i[:-1]) | (m[1:] != m[:-1]).any(axis=1)
-            i, m = i[new], m[new]
             row = {"part": [part], "nth": [nth], "n": [len(i)], "dims": [dims], "ids": [i.astype("<i8").tobytes()], "vals": [m.astype("<i8").tobytes()]}
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("n", pa.int32()), ("dims", pa.int32()), ("ids", pa.binary()), ("vals", pa.binary())]))
 
+        last: tuple[np.int64, np.ndarray] | None = None
         for b in batches:
+            if not b.num_rows:
+                continue
             i, m = b.column(0).to_numpy(), _matrix(b.column(1))
+            new = np.ones(len(i), bool)  # equal rows of one id stand together, also where a batch or a block ends
+            new[1:] = (i[1:] != i[:-1]) | (m[1:] != m[:-1]).any(axis=1)
+            if last and last[0] == i[0]:
+                x, y = last[1], m[0]
+                dims = max(len(x), len(y))
+                new[0] = (np.pad(x, (0, dims - len(x))) != np.pad(y, (0, dims - len(y)))).any()
+            last = (i[-1], m[-1].copy())
+            i, m = i[new], m[new]
             at = 0
             while at < len(i):
                 take = min(size - n, len(i) - at)
