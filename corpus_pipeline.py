@@ -15,16 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontamination, jaccard_join, language_id, packing, pii
-from weftline.llm.common import BATCH_ROWS, drop_path, materialise, table
+from weftline.llm.common import drop_path, materialise, table
 from weftline.llm.registry import vocabulary
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     samples, ranked = language_id.learn(docs.filter(~language_id.held_out()))
     parser = language_id.Parser(samples, ranked)
     rest = [F.col(c).alias(f"_{c}") for c in docs.columns if c not in ("doc_id", "text", "lang")]
     found = language_id.identify(docs, parser, "doc_id", "text", *rest, keep_text=True).filter(F.col("lang_pred") != language_id.UNKNOWN)
+    found = materialise(found, "languages")
     names = {"doc_id": "doc_id", "text": "text", "lang": "lang_pred"}
     return found.select(*[F.col(names.get(c, f"_{c}")).alias(c) for c in docs.columns])
 

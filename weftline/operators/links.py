@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.relevance import link_score, link_tokens, task_terms
 from ..functions.url import in_scope, normalize_url
+from ..scratch import scratch_path
 
 LINK_BATCH, CONTROL_BATCH, TEXT_BATCH = 160, 100, 64
 MOST_LINKS, MOST_CONTROLS, MOST_ROUTES = 400, 150, 800
@@ -117,8 +116,7 @@ def crawl_order(edges: DataFrame, seeds: DataFrame, max_depth: int = 20, expanda
     the shared folder. Pages not in ``expandable`` (duplicates) are reached, but their links aren't followed.
     """
     spark = edges.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/weftline").rstrip("/")
-    root = f"{root}/frontier-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "frontier")
 
     def written(df: DataFrame, k: int) -> DataFrame:
         df.write.parquet(f"{root}/depth={k}")
