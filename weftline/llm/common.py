@@ -3,54 +3,46 @@
 from __future__ import annotations
 
 import contextlib
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only for sessions that name no shared folder, as in tests.
-LOCAL_FALLBACK = "file:///tmp/checkpoints/weftline"
+from .. import scratch
+from ..scratch import drop_path, scratch_path  # noqa: F401
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What separates words once A-Z are lower case; a word is any run of other characters.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-
-#: Rows of whole texts that go to a Python worker at once.
-BATCH_ROWS = 2000
+#: What goes to a Python worker at once: so many bytes (a longer text goes alone) or rows at most.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "20000"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; texts go to Python workers in batches of ``BATCH_ROWS`` from here on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``)."""
-    with contextlib.suppress(Exception):
-        if at := spark.conf.get("spark.checkpoint.dir", None):
-            return at.rstrip("/")
-    return LOCAL_FALLBACK
-
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """``BATCH`` holds for what runs in here; the session's own values come back after."""
+    before = {k: spark.conf.get(k) for k in BATCH}
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
-def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/weftline-{what}-{uuid.uuid4().hex}"
 
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table through Hadoop's file systems."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def materialise(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
+    """df written to the shared folder and read back, in small batches."""
+    with small_batches(df.sparkSession):
+        return scratch.materialise(df, what, codec)
 
 
-def materialise(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, what)
-    df.write.option("compression", codec).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.scratch = path
-    return out
+def same_rows(*cols: Column) -> Column:
+    """128 bits that name equal rows: two 64-bit hashes of the columns."""
+    return F.struct(F.xxhash64(*cols).alias("h"), F.xxhash64(F.lit("other"), *reversed(cols)).alias("g"))
 
 
 def ascii_lower(text: Column) -> Column:

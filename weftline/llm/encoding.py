@@ -2,8 +2,8 @@
 
 Both public BPE vocabularies split a text into pieces that are encoded
 independently of each other. Texts of letters, digits and signs up to U+024F are
-split here and their pieces looked up; a piece not met before is encoded by the
-tokenizers library. All other texts go to the library whole.
+split here and their pieces looked up; a piece not met before goes to the
+library's BPE model. All other texts go to the library whole.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ _SPLIT = {
     "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^\s{_L}0-9]+"),
 }
 #: Pieces kept in a worker; at some 200 bytes each. It starts anew when full.
-CACHE = 600_000
+CACHE = 400_000
 _encoders: dict = {}
 worker.keeps("encoding", _encoders.clear)
 
@@ -45,8 +45,26 @@ def _kind(spec: dict) -> str | None:
     return None
 
 
+def _byte_letters() -> dict[int, str]:
+    """The sign that stands for each byte in byte-level vocabularies: itself if it is printable, else the next from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTES = _byte_letters()
+
+
 class _Pieces(dict):
-    """Bytes of the ids of each piece."""
+    """Bytes of the ids of each piece; one that isn't known yet is encoded as it is asked for."""
+
+    def __init__(self, model, dtype: np.dtype):
+        self.model, self.dtype = model, dtype
+
+    def __missing__(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(_BYTES)
+        out = self[piece] = np.array([t.id for t in self.model.tokenize(letters)], self.dtype).tobytes()
+        return out
 
 
 class BatchEncoder:
@@ -60,7 +78,7 @@ class BatchEncoder:
             tok.encode_special_tokens = True
             with open(vocabulary, encoding="utf-8") as f:
                 kind = _kind(json.load(f))
-            _encoders[key] = (tok, kind, _Pieces())
+            _encoders[key] = (tok, kind, _Pieces(tok.model, np.dtype(dtype)))
         self.tok, self.kind, self.pieces = _encoders[key]
         self.dtype = np.dtype(dtype)
 
@@ -71,31 +89,17 @@ class BatchEncoder:
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[bytes, np.ndarray]:
         """The ids of all texts as bytes, one after the other, and each text's number of ids.
 
-        ``end_id`` is put after each text. Lower case, where the vocabulary has
-        it, is part of each piece's encoding.
+        ``end_id`` is put after each text. Where the vocabulary has lower case, a
+        text is lowered before it is split.
         """
-        split = _SPLIT.get(self.kind)
-        own: list[list[str] | None] = [
-            split.findall(t) if split and not _PLAIN.search(t) else None for t in texts
-        ]
-        known = self.pieces
-        if len(known) > CACHE:
-            known.clear()
-        new = set()
-        for p in own:
-            if p:
-                new.update(p)
-        new = [p for p in new if p not in known]
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            for p, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, self.dtype).tobytes()
         tail = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
-        get, out = known.__getitem__, []
-        for t, p in zip(texts, own, strict=True):
-            if p is None:
-                ids = np.array(self.tok.encode(t, add_special_tokens=False).ids, self.dtype).tobytes()
+        split, low, pieces, out = _SPLIT.get(self.kind), self.kind == "word", self.pieces, []
+        for t in texts:
+            if len(pieces) > CACHE:
+                pieces.clear()
+            if split and not _PLAIN.search(t):
+                ids = b"".join(map(pieces.__getitem__, split.findall(t.lower() if low else t)))
             else:
-                ids = b"".join(map(get, p))
+                ids = np.array(self.tok.encode(t, add_special_tokens=False).ids, self.dtype).tobytes()
             out.append(ids + tail)
         return b"".join(out), np.fromiter(map(len, out), np.int64, len(out)) // self.dtype.itemsize

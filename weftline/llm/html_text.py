@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import worker
+from .common import materialise
 
 SAMPLE_PAGES = 200
 EPOCHS = 14
@@ -615,4 +616,5 @@ def extract(pages: DataFrame, net: Labeller, id_col: str = "page_id", url_col: s
 
 
 def op9_query(pages: DataFrame) -> DataFrame:
-    return extract(pages, train(pages)).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    found = materialise(extract(pages, train(pages)), "main-text")
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

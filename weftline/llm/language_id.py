@@ -34,6 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import worker
+from .common import materialise
 
 SEGMENT = 512
 SAMPLE_DOCS = 64
@@ -277,5 +278,5 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def op7_query(docs: DataFrame) -> DataFrame:
     samples, ranked = learn(docs.filter(~held_out()))
-    found = identify(docs, Parser(samples, ranked), "doc_id", "text", held_out().alias("held_out"))
+    found = materialise(identify(docs, Parser(samples, ranked), "doc_id", "text", held_out().alias("held_out")), "languages")
     return found.select("doc_id", "held_out", "lang_pred", "score")

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import worker
+from .common import materialise
 
 SAMPLE_DOCS = 1500
 PIECES = 2
@@ -166,7 +167,9 @@ def learn(
     place = lambda k: F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.length("text") - PIECE_CHARS, F.lit(0)) + 1).cast("int") + 1
     pieces = F.array(*[F.substring("text", place(k), F.lit(PIECE_CHARS)) for k in range(PIECES)])
     pieces = F.when(F.length("text") <= PIECE_CHARS, F.array("text")).otherwise(pieces)
-    rows = d.join(F.broadcast(kept), "id").select("y", "h", "id", pieces.alias("pieces")).dropDuplicates(["y", "id"]).collect()
+    rows = d.join(F.broadcast(kept), "id").select("y", "h", "id", pieces.alias("pieces"), F.xxhash64("text").alias("t"))
+    # of several texts of an id that of the smallest hash
+    rows = rows.groupBy("y", "id").agg(F.min(F.struct("t", "h", "pieces")).alias("r")).select("y", "id", "r.h", "r.pieces").collect()
     own: dict[int, list[str]] = {0: [], 1: []}
     for r in sorted(rows, key=lambda r: (r["y"], r["h"], r["id"])):
         own[r["y"]] += r["pieces"]
@@ -196,5 +199,5 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def op3_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = learn(docs, labels.filter(~held_out()))
-    found = score(docs, model, "doc_id", "text", held_out().alias("held_out"))
+    found = materialise(score(docs, model, "doc_id", "text", held_out().alias("held_out")), "quality")
     return found.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))

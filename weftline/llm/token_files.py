@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import scratch_path, small_batches
 from .encoding import BatchEncoder
 
 READ_IDS = 8_000_000
@@ -81,7 +81,8 @@ def write_token_files(
                 fs.move(n, f"{root}/{part:05d}.{k}")
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": pa.array([n_docs], pa.int64()), "nulls": pa.array([n_null], pa.int64()), "ids": pa.array([at], pa.int64())})
 
-    shards = sorted(tuple(r) for r in d.mapInArrow(write, "part int, docs long, nulls long, ids long").collect())
+    with small_batches(docs.sparkSession):
+        shards = sorted(tuple(r) for r in d.mapInArrow(write, "part int, docs long, nulls long, ids long").collect())
     base, index = 0, {"dtype": dtype, "end_id": end_id, "shards": []}
     for part, n, nulls, ids in shards:
         index["shards"].append({"name": f"{part:05d}", "docs": n, "null_ids": nulls, "ids": ids, "base": base})
