@@ -1,14 +1,20 @@
 """Harmonic packing: pieces of reciprocal-capacity classes fill bins of a fixed count.
 
-A text of n tokens gives n div C pieces of the capacity C; its rest is cut into
-pieces of C/2, C/4, ... down to ``SMALLEST`` and one tail below that. All pieces
-of a class have one length L, so a class's bin holds C div L of them whatever
-else is packed: bins need no search, and every worker fills its own. Workers
-number their pieces of a class; the numbers' bases are prefix sums of the
-workers' counts. Each class leaves at most one unfilled bin; these (some 70 at
-most, whatever the input) are laid together by first fit.
-
-Only bins of tails (C mod L tokens) and the last bins are padded.
+A text of n tokens gives n div C pieces of the capacity C, each a sequence by
+itself. Its rest r belongs to class k = C div r (at most ``CLASSES``), that of
+lengths in (C/(k+1), C/k], and stays whole: a bin of class k closes with its k-th
+rest, so bins need no search, and every worker fills its own. A closed bin leaves
+a gap; gaps of ``LEAST`` tokens or more wait, and the next text is cut to fill
+them, in order, before what remains of it is packed. So only as much text is cut
+as closed bins have room for.
+
+When a worker ends, what stands in its unclosed bins is laid end to end and cut at
+C; of that one part, shorter than C, is left for each worker. These, one row for
+each task whatever the input, are laid together by best fit, and sequences are
+numbered by prefix sums of the workers' bins.
+
+Padded are gaps of fewer than ``LEAST`` tokens, gaps that still wait when a worker
+ends, and the bins of the workers' last parts.
 
 Defined cases: a null or empty text has its end id alone; each row of repeated
 document ids is packed by itself; an empty table gives no pieces; other columns
@@ -17,64 +23,116 @@ are ignored.
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import materialise
 from .encoding import BatchEncoder
 from .token_files import _some
 
 CAPACITY = 2048
-SMALLEST = 64
-#: Bases of workers' counts are broadcast up to so many rows (24 bytes each).
+CLASSES = 32
+LEAST = 16
+#: Bases of workers' sequences are broadcast up to so many rows (24 bytes each).
 MAX_BROADCAST_ROWS = 500_000
 
 
-def class_lengths(capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[int]:
-    out, j = [], 1
-    while capacity // j >= smallest:
-        out.append(capacity // j)
-        j *= 2
+class Worker:
+    """The bins of one worker. Pieces are numbered as they come, from 0."""
+
+    def __init__(self, capacity: int = CAPACITY, classes: int = CLASSES, least: int = LEAST):
+        self.capacity, self.classes, self.least = capacity, classes, least
+        self.bins = 0
+        #: By class: the pieces (number, length) of the open bin.
+        self.open: dict[int, list[tuple[int, int]]] = {}
+        #: (bin, offset, length) of room in closed bins.
+        self.gaps: deque[tuple[int, int, int]] = deque()
+        self.pieces = 0
+        #: Pieces by number: bin and offset, as far as they are placed.
+        self.placed: dict[int, tuple[int, int]] = {}
+
+    def _bin(self) -> int:
+        self.bins += 1
+        return self.bins - 1
+
+    def _closed(self, own: list[tuple[int, int]]) -> None:
+        at, b = 0, self._bin()
+        for piece, n in own:
+            self.placed[piece] = (b, at)
+            at += n
+        if self.capacity - at >= self.least:
+            self.gaps.append((b, at, self.capacity - at))
+
+    def add(self, n: int) -> list[int]:
+        """Places a text of n tokens; the lengths of its pieces."""
+        out = []
+
+        def piece(length: int) -> int:
+            out.append(length)
+            self.pieces += 1
+            return self.pieces - 1
+
+        while self.gaps and n:
+            b, at, room = self.gaps.popleft()
+            take = min(n, room)
+            self.placed[piece(take)] = (b, at)
+            n -= take
+            if room - take >= self.least:
+                self.gaps.appendleft((b, at + take, room - take))
+        while n >= self.capacity:
+            self.placed[piece(self.capacity)] = (self._bin(), 0)
+            n -= self.capacity
+        if n:
+            k = min(self.capacity // n, self.classes)
+            own = self.open.setdefault(k, [])
+            own.append((piece(n), n))
+            if len(own) == k:
+                self._closed(self.open.pop(k))
+        return out
+
+    def rest(self) -> list[tuple[int, int]]:
+        """(piece, length) of all open bins, as they are to be laid end to end."""
+        out = [p for k in sorted(self.open) for p in self.open[k]]
+        self.open.clear()
+        return out
+
+
+def best_fit(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
+    """(bin, offset) of each block, the largest first, each where least room is left."""
+    out: list[tuple[int, int]] = [(0, 0)] * len(sizes)
+    room: list[list[int]] = [[] for _ in range(capacity + 1)]
+    bins = 0
+    for i in sorted((i for i in range(len(sizes)) if sizes[i]), key=lambda i: (-sizes[i], i)):
+        free = next((r for r in range(sizes[i], capacity + 1) if room[r]), None)
+        if free is None:
+            at, free, bins = bins, capacity, bins + 1
+        else:
+            at = room[free].pop()
+        out[i] = (at, capacity - free)
+        room[free - sizes[i]].append(at)
     return out
 
 
-def cut(sizes: np.ndarray, capacity: int, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, length) of all pieces, in order of text and start."""
-    n = len(sizes)
-    full = sizes // capacity
-    text = [np.repeat(np.arange(n), full)]
-    start = [(np.arange(int(full.sum())) - np.repeat(np.cumsum(full) - full, full)) * capacity]
-    length = [np.full(int(full.sum()), capacity)]
-    rest = sizes - full * capacity
-    for c in lengths[1:]:
-        has = np.flatnonzero(rest >= c)
-        text.append(has)
-        start.append(sizes[has] - rest[has])
-        length.append(np.full(len(has), c))
-        rest[has] -= c
-    has = np.flatnonzero(rest)
-    text.append(has)
-    start.append(sizes[has] - rest[has])
-    length.append(rest[has])
-    text, start, length = map(np.concatenate, (text, start, length))
-    order = np.lexsort((start, text))
-    return text[order], start[order], length[order]
-
-
-def first_fit(blocks: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int]]:
-    """(key, bin, offset) for blocks (key, size), the largest first."""
-    ends: list[int] = []
-    out = []
-    for key, size in sorted(blocks, key=lambda b: (-b[1], b[0])):
-        at = next((i for i, e in enumerate(ends) if e + size <= capacity), len(ends))
-        if at == len(ends):
-            ends.append(0)
-        out.append((key, at, ends[at]))
-        ends[at] += size
-    return out
+_PIECES = "doc_id long, start long, length long, doc_tokens long, part int, bin long, offset long, ids binary"
+_ARROW = pa.schema(
+    [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("bin", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())]
+)
+#: The bin of what a worker leaves over.
+_LAST = -1
+
+
+def _rows(part, held, placed):
+    """Held pieces (doc_id, start, length, doc_tokens, ids) and their places, in batches."""
+    for lo in range(0, len(held), 5000):
+        own, at = held[lo : lo + 5000], placed[lo : lo + 5000]
+        doc, start, length, tokens, ids = zip(*own, strict=True)
+        b, offset = zip(*at, strict=True)
+        cols = [doc, start, length, tokens, [part] * len(own), b, offset, ids]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)], schema=_ARROW)
 
 
 def pack(
@@ -82,88 +140,72 @@ def pack(
     vocabulary: str,
     end_id: int = 1,
     capacity: int = CAPACITY,
-    smallest: int = SMALLEST,
+    classes: int = CLASSES,
+    least: int = LEAST,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Pieces of all texts: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
-    lengths = class_lengths(capacity, smallest)
 
     def pieces(batches):
         from pyspark import TaskContext
 
-        part, seen, encoder = TaskContext.get().partitionId(), {}, BatchEncoder(vocabulary)
+        part, encoder, own = TaskContext.get().partitionId(), BatchEncoder(vocabulary), Worker(capacity, classes, least)
+        waiting: dict[int, tuple] = {}  # pieces of open bins: less than a bin's tokens for each class
         for b in batches:
             at = 0
             for texts in _some(b.column(1)):
                 flat, sizes = encoder.encode(texts, end_id)
-                text, start, length = cut(sizes.copy(), capacity, lengths)
-                nth = np.empty(len(length), np.int64)
-                for c in np.unique(length):
-                    own = np.flatnonzero(length == c)
-                    nth[own] = seen.get(int(c), 0) + np.arange(len(own))
-                    seen[int(c)] = seen.get(int(c), 0) + len(own)
-                ends = np.concatenate(([0], np.cumsum(length * 4))).astype("<i4")
-                ids = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat)])
-                whole = pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": b.column(0).take(pa.array(at + text)),
-                        "start": pa.array(start, pa.int64()),
-                        "length": pa.array(length, pa.int64()),
-                        "doc_tokens": pa.array(sizes[text], pa.int64()),
-                        "part": pa.array(np.full(len(length), part), pa.int32()),
-                        "nth": pa.array(nth),
-                        "ids": ids,
-                    }
-                )
+                doc = b.column(0).slice(at, len(texts)).to_pylist()
                 at += len(texts)
-                for lo in range(0, len(length), 5000):
-                    yield whole.slice(lo, 5000)
+                first, begin = own.pieces, 0
+                for i, n in zip(doc, sizes.tolist(), strict=True):
+                    start = 0
+                    for k, length in enumerate(own.add(n)):
+                        lo = begin + 4 * start
+                        waiting[first + k] = (i, start, length, n, flat[lo : lo + 4 * length])
+                        start += length
+                    first, begin = own.pieces, begin + 4 * n
+                done = list(own.placed)
+                yield from _rows(part, [waiting.pop(p) for p in done], [own.placed[p] for p in done])
+                own.placed.clear()
+        held, placed, at = [], [], 0
+        rest = own.rest()
+        last = sum(n for _, n in rest) // capacity * capacity  # what lies from here on is the last part
+        base = own.bins
+        for p, _ in rest:
+            doc, start, length, tokens, ids = waiting.pop(p)
+            used = 0
+            while used < length:
+                take = min(length - used, capacity - at % capacity)
+                held.append((doc, start + used, take, tokens, ids[4 * used : 4 * (used + take)]))
+                placed.append((base + at // capacity, at % capacity) if at < last else (_LAST, at - last))
+                at, used = at + take, used + take
+        yield from _rows(part, held, placed)
 
     cut_up = materialise(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-            pieces, "doc_id long, start long, length long, doc_tokens long, part int, nth long, ids binary"
-        ),
-        "pieces",
-        "zstd",
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, _PIECES), "pieces", "zstd"
     )
-    by_part = cut_up.groupBy("length", "part").agg(F.count("*").alias("n"))
-    totals = by_part.groupBy("length").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).orderBy(F.desc("length")).collect()
-    rows, sequences, left = [], 0, []
-    for r in totals:
-        per_bin = capacity // r["length"]
-        bins, rest = divmod(r["n"], per_bin)
-        rows.append([r["length"], per_bin, bins, sequences])
-        sequences += bins
-        if rest:
-            left.append((r["length"], rest * r["length"]))
-    last = {key: (sequences + at, offset) for key, at, offset in first_fit(left, capacity)}
-    classes = docs.sparkSession.createDataFrame(
-        [(*r, *last.get(r[0], (0, 0))) for r in rows],
-        "length long, per_bin long, bins long, first long, last_bin long, last_offset long",
+    # one row for each task
+    own = F.col("bin") == _LAST
+    per = cut_up.groupBy("part").agg(
+        F.coalesce(F.max(F.when(~own, F.col("bin"))) + 1, F.lit(0)).alias("bins"), F.coalesce(F.sum(F.when(own, F.col("length"))), F.lit(0)).alias("left")
     )
-    # one row for each worker and class
-    before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    bases = by_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    if sum(r["parts"] for r in totals) <= MAX_BROADCAST_ROWS:
-        bases = F.broadcast(bases)
-    number = F.col("base") + F.col("nth")
-    whole = number < F.col("bins") * F.col("per_bin")
-    return (
-        cut_up.join(bases, ["length", "part"])
-        .join(F.broadcast(classes), "length")
-        .select(
-            "doc_id",
-            "start",
-            "length",
-            "ids",
-            "doc_tokens",
-            F.when(whole, F.col("first") + F.expr("(base + nth) div per_bin")).otherwise(F.col("last_bin")).cast("long").alias("sequence_id"),
-            F.when(whole, (number % F.col("per_bin")) * F.col("length"))
-            .otherwise(F.col("last_offset") + (number - F.col("bins") * F.col("per_bin")) * F.col("length"))
-            .cast("long")
-            .alias("offset"),
-        )
+    parts = per.orderBy("part").collect()
+    bases = np.concatenate(([0], np.cumsum([r["bins"] for r in parts], dtype=np.int64))).tolist()
+    last = best_fit([r["left"] for r in parts], capacity)
+    rows = [(r["part"], b, bases[-1] + at, offset) for r, b, (at, offset) in zip(parts, bases, last, strict=False)]
+    placed = docs.sparkSession.createDataFrame(rows, "part int, base long, last_bin long, last_offset long")
+    if len(rows) <= MAX_BROADCAST_ROWS:
+        placed = F.broadcast(placed)
+    return cut_up.join(placed, "part").select(
+        "doc_id",
+        "start",
+        "length",
+        "ids",
+        "doc_tokens",
+        F.when(own, F.col("last_bin")).otherwise(F.col("base") + F.col("bin")).alias("sequence_id"),
+        F.when(own, F.col("last_offset") + F.col("offset")).otherwise(F.col("offset")).alias("offset"),
     )
 
 
