@@ -74,17 +74,43 @@ def test_block_pages(spark):
     assert all(r.in_frame for r in blocks.frame_blocks(st).collect())
 
 
-def test_retrieval_modes():
-    docs = [
-        {"filename": "a.md", "bytes": 10, "content": "intro\n# Prices\n" + "price list " * 60 + "\n# Other\n" + "zzz " * 100},
-        {"filename": "b.md", "bytes": 77, "content": "# Else\n" + "yyy " * 200},
-    ]
-    r = retrieve.select_relevant(docs, "show the prices", 900)
-    assert r["mode"] == "retrieval" and [d["filename"] for d in r["docs"]] == ["a.md"] and r["docs"][0]["partial"] and r["omitted"] == 1
-    assert retrieve.select_relevant(docs, "x", 10**6)["mode"] == "full"
-    assert retrieve.select_relevant(docs, "extract everything", 100)["mode"] == "head"
-    assert [d["filename"] for d in retrieve.select_relevant(docs, "what is in b.md", 1000)["docs"]] == ["b.md"]
-    assert retrieve.choose([500, 300, 100], 400) == [(0, 400)] and retrieve.choose([300, 500, 90], 400) == [(0, 300)]
+def packed(spark, docs, instruction, budget, scores=None):
+    rows = [("r", i, name, size, text) for i, (name, size, text) in enumerate(docs)]
+    d = spark.createDataFrame(rows, "request_id string, di long, filename string, bytes long, content string")
+    got = retrieve.context_pack(d, spark.createDataFrame([("r", instruction, budget)], "request_id string, instruction string, budget int"), scores)
+    return sorted((r["mode"], r.di, r.partial, r.content) for r in got.collect())
+
+
+def test_retrieval_modes(spark):
+    a = "intro\n# Prices\n" + "price list " * 60 + "\n# Other\n" + "zzz " * 100
+    docs = [("a.md", 10, a), ("b.md", 77, "# Else\n" + "yyy " * 200)]
+    assert packed(spark, docs, "show the prices", 900) == [("retrieval", 0, True, "# Prices\n" + ("price list " * 60).strip())]
+    assert [r[0] for r in packed(spark, docs, "x", 10**6)] == ["full"] * 2
+    assert [r[:2] for r in packed(spark, docs, "extract everything", 100)] == [("head", 0), ("head", 1)]
+    assert [r[1] for r in packed(spark, docs, "what is in b.md", 1000)] == [1]
+    assert [r[1] for r in packed(spark, docs, "what has 77 bytes", 1000)] == [1]
+    scores = spark.createDataFrame([("r", 0, 2, 0.5), ("r", 1, 0, -1.0)], "request_id string, di long, si int, score double")
+    assert packed(spark, docs, "prices", 900, scores) == [("retrieval", 0, True, "# Other\n" + ("zzz " * 100).strip())]
+    assert packed(spark, [("a.md", 1, None)], "x", -1) == [("head", 0, False, None)]
+
+
+def brute_pack(sizes, budget):
+    left, out = budget, []
+    for i, n in enumerate(sizes):
+        if left < retrieve.SLACK:
+            break
+        if n <= left or not out:
+            out.append((i, min(n, left)))
+            left -= min(n, left)
+    return out
+
+
+def test_budget_pack(spark):
+    r = random.Random(2)
+    rows = [(k, [(i, r.randint(1, 900)) for i in range(r.randint(0, 12))], r.randint(100, 3000)) for k in range(200)]
+    df = spark.createDataFrame(rows, "k int, ranked array<struct<i:int,size:int>>, budget int")
+    got = {x.k: [(t.of.i, t.take) for t in x.p] for x in df.select("k", retrieve.budget_pack(F.col("ranked"), F.col("budget")).alias("p")).collect()}
+    assert got == {k: brute_pack([n for _, n in own], budget) for k, own, budget in rows}
 
 
 def test_context_pack(spark):

@@ -16,16 +16,23 @@ SEED_HIGH, SEED_LOW = 0x9747B28C, 0x01000193
 C1, C2, ADD = 0xCC9E2D51, 0x1B873593, 0xE6546B64
 F1, F2 = 0x85EBCA6B, 0xC2B2AE35
 _RUN = re.compile("[a-z0-9]{2,}")
+#: Characters of texts that are taken together, some at least.
+TOGETHER = 1_000_000
 
 
-def _hashes(units: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
-    """Hashes of many strings side by side, one code unit a step; units [string, place]."""
-    h = np.full(len(units), seed, np.uint32)
-    rol = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
-    mixed = rol(units * np.uint32(C1), 15) * np.uint32(C2)
-    for k in range(units.shape[1]):
-        live = sizes > k
-        h = np.where(live, rol(h ^ mixed[:, k], 13) * np.uint32(5) + np.uint32(ADD), h)
+def _rol(x: np.ndarray, r: int) -> np.ndarray:
+    return (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+
+
+def _hashes(units: np.ndarray, begin: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of many pieces of units side by side, one unit a step; the longest pieces come first."""
+    mixed = _rol(units.astype(np.uint32) * np.uint32(C1), 15) * np.uint32(C2)
+    h = np.full(len(begin), seed, np.uint32)
+    live = len(begin)
+    for k in range(int(sizes[0]) if live else 0):
+        while sizes[live - 1] <= k:
+            live = int(np.searchsorted(-sizes, -k))
+        h[:live] = _rol(h[:live] ^ mixed[begin[:live] + k], 13) * np.uint32(5) + np.uint32(ADD)
     h ^= sizes.astype(np.uint32)
     h ^= h >> np.uint32(16)
     h *= np.uint32(F1)
@@ -34,29 +41,50 @@ def _hashes(units: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
     return h ^ (h >> np.uint32(16))
 
 
-_SIXTY_FOUR = np.arange(64, dtype=np.uint64)
+def fingerprints(texts: list[str], shingle: int = 2) -> np.ndarray:
+    """A bit is set if the features that have it outweigh those that don't; a text without tokens gives 0.
+
+    Features are runs of tokens joined by a space: pieces of a text's tokens written on end.
+    """
+    n, out = max(1, shingle), np.zeros(len(texts), np.uint64)
+    own = [_RUN.findall(t.lower()) for t in texts]
+    units = np.frombuffer(" ".join(x for tokens in own for x in tokens).encode(), np.uint8)
+    size = np.fromiter((len(x) for tokens in own for x in tokens), np.int64)
+    ends = np.cumsum(size + 1) - 1
+    n_tokens = np.fromiter(map(len, own), np.int64, len(own))
+    first = np.cumsum(n_tokens) - n_tokens
+    features = np.where(n_tokens < n, n_tokens, n_tokens - n + 1)
+    text = np.repeat(np.arange(len(own)), features)
+    at = first[text] + np.arange(len(text)) - np.repeat(np.cumsum(features) - features, features)
+    until = at + np.where(n_tokens < n, 1, n)[text] - 1
+    if not len(text):
+        return out.view(np.int64)
+    begin, sizes = ends[at] - size[at], ends[until] - ends[at] + size[at]
+    order = np.argsort(-sizes, kind="stable")
+    both = np.empty((len(text), 2), "<u4")
+    both[order, 0], both[order, 1] = (_hashes(units, begin[order], sizes[order], s) for s in (SEED_LOW, SEED_HIGH))
+    bits = np.unpackbits(both.view(np.uint8), axis=1, bitorder="little")
+    has = np.flatnonzero(features)
+    votes = np.add.reduceat(bits, (np.cumsum(features) - features)[has], axis=0, dtype=np.int64)
+    out[has] = np.packbits(2 * votes > features[has, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out.view(np.int64)
 
 
 def fingerprint(text: str | None, shingle: int = 2) -> int:
-    """A bit is set if the features that have it outweigh those that don't; a text without tokens gives 0."""
-    tokens = _RUN.findall((text or "").lower())
-    n = max(1, shingle)
-    runs = tokens if len(tokens) < n else [" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1)]
-    if not runs:
-        return 0
-    distinct, weight = np.unique(np.array(runs, dtype="U"), return_counts=True)
-    units = distinct.view(np.uint32).reshape(len(distinct), -1)
-    sizes = np.char.str_len(distinct)
-    high, low = (_hashes(units, sizes, s).astype(np.uint64) for s in (SEED_HIGH, SEED_LOW))
-    bits = ((((high << np.uint64(32)) | low)[:, None] >> _SIXTY_FOUR) & np.uint64(1)).astype(np.int64)
-    votes = weight @ (2 * bits - 1)
-    value = int(((votes > 0).astype(np.uint64) << _SIXTY_FOUR).sum())
-    return value - (1 << 64) if value >> 63 else value
+    return int(fingerprints([text or ""], shingle)[0])
 
 
 @arrow("long")
 def _fingerprints(text: pd.Series) -> pd.Series:
-    return text.map(fingerprint, na_action=None)
+    parts, held, size = [], [], 0
+    for t in text:
+        held.append(t or "")
+        size += len(held[-1])
+        if size >= TOGETHER:
+            parts.append(fingerprints(held))
+            held, size = [], 0
+    found = np.concatenate([*parts, fingerprints(held)])
+    return pd.Series(found, index=text.index)
 
 
 def simhash(text: Column) -> Column:

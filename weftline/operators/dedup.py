@@ -9,19 +9,22 @@ scan: then the scan is one pass, but over fingerprints only, never over texts.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.simhash import hamming, simhash
 from ..functions.text import content_hash, page_signature
 from ..functions.url import sibling_key
+from ..scratch import materialise
 
 MIRROR, NEAR, REEMITTED = 8, 0, 3
 
 
 def fingerprinted(pages: DataFrame, text: str = "markdown", url: str = "url") -> DataFrame:
-    """pages with hash, fingerprint and sibling_key. The fingerprint is made once for each distinct text."""
+    """pages with hash, fingerprint and sibling_key: one scan, whose texts no later step reads again."""
     p = pages.withColumn("hash", content_hash(F.col(text))).withColumn("sibling_key", sibling_key(F.col(url)))
     return p.withColumn("fingerprint", simhash(page_signature(F.col(text))))
 
@@ -80,7 +83,7 @@ def tiers(
     """
     mirror, near = (max(0, min(64, x)) for x in (mirror, near))
     p = pages.select(F.col(scan).alias("scan"), F.col(seq).alias("seq"), F.col(url).alias("url"), "hash", "sibling_key", "fingerprint")
-    p = exact(p, "scan")
+    p = exact(materialise(p, "pages"), "scan")  # keys are written once: the join reads both its sides from there
     # later twins are settled natively; only first pages enter the ordered pass
     first = p.filter("is_first")
     coupled = near > 0 or max_pages is not None
@@ -110,19 +113,23 @@ def near_pairs(pages: DataFrame, most: int = REEMITTED, id_col: str = "id", fing
 
     Pages of one fingerprint (such as all that have no tokens) are a class, known by its smallest id. Rows are the
     pairs of classes, and each class's smallest id with its other members (distance 0): no link is lost, and copies
-    aren't expanded. Of most + 1 bands of bits one must be equal, so classes meet by equi-join on bands.
+    aren't expanded. The bits are cut into blocks; of those that ``most`` differing bits leave equal, some r meet in an
+    equi-join, for each choice of r blocks: keys of half the bits or so, which few classes share by chance.
     """
-    width = -(-64 // (most + 1))
-    p = pages.select(F.col(id_col).alias("id"), F.col(fingerprint).alias("fp")).filter(F.col("fp").isNotNull())
+    r = 3 if most <= 4 else 2 if most <= 10 else 1
+    n = min(64, most + r)
+    ends = [64 * k // n for k in range(n + 1)]
+    p = materialise(pages.select(F.col(id_col).alias("id"), F.col(fingerprint).alias("fp")).filter(F.col("fp").isNotNull()), "prints")
     classes = p.groupBy("fp").agg(F.min("id").alias("rep"))
 
-    def band(k: int) -> Column:
-        bits = F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << min(width, 64 - k * width)) - 1))
-        return F.struct(F.lit(k).alias("band"), bits.alias("bits"))
+    def mask(blocks: tuple[int, ...]) -> int:
+        bits = sum(((1 << (ends[k + 1] - ends[k])) - 1) << ends[k] for k in blocks)
+        return bits - (1 << 64) if bits >> 63 else bits
 
-    bands = classes.select("fp", "rep", F.explode(F.array(*[band(k) for k in range(most + 1) if k * width < 64])).alias("at")).select("fp", "rep", "at.*")
-    x, y = (bands.withColumnsRenamed({"fp": f"f{c}", "rep": f"r{c}"}) for c in "xy")
-    met = x.join(y, ["band", "bits"]).filter("fx < fy").withColumn("distance", hamming(F.col("fx"), F.col("fy"))).filter(F.col("distance") <= most)
+    keys = [F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(mask(c))).alias("bits")) for i, c in enumerate(combinations(range(n), min(r, n)))]
+    met = classes.select("fp", "rep", F.explode(F.array(*keys)).alias("at")).select("fp", "rep", "at.*")
+    x, y = (met.withColumnsRenamed({"fp": f"f{c}", "rep": f"r{c}"}) for c in "xy")
+    met = x.join(y, ["table", "bits"]).filter("fx < fy").withColumn("distance", hamming(F.col("fx"), F.col("fy"))).filter(F.col("distance") <= most)
     apart = met.select(F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b"), "distance").distinct()
     same = p.join(classes, "fp").filter("id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
     return apart.unionByName(same)
@@ -143,16 +150,34 @@ def replayed(journal: DataFrame, scan: str = "scan_id", seq: str = "seq") -> tup
 
 
 def not_reemitted(produced: DataFrame, earlier: DataFrame, most: int = REEMITTED) -> DataFrame:
-    """Rows of produced (id, fingerprint) that no earlier output, and none kept before them, comes near."""
-    n = produced.join(F.broadcast(earlier.select(F.col("fingerprint").alias("old"))), hamming(F.col("fingerprint"), F.col("old")) <= most, "left_anti")
-    rows = F.array_sort(F.collect_list(F.struct("id", "fingerprint")))
-    kept = F.aggregate(
-        rows,
-        F.array().cast(f"array<struct<id:{dict(produced.dtypes)['id']},fingerprint:bigint>>"),
-        lambda acc, r: F.when(F.exists(acc, lambda k: hamming(k["fingerprint"], r["fingerprint"]) <= most), acc).otherwise(F.concat(acc, F.array(r))),
-    )
-    return n.agg(kept.alias("kept")).select(F.explode("kept").alias("r")).select("r.id", "r.fingerprint")
-
+    """Rows of produced (id, fingerprint) that no earlier output, and none kept before them, comes near.
 
-def key_of(text: Column) -> Column:
-    return content_hash(text)
+    Near ones meet by the joins of ``near_pairs``. Among new outputs it goes by rounds: one without a nearer-to-the-first
+    neighbour still open stays and takes out its later neighbours, until none is open. Of equal fingerprints the
+    smallest id stands for all.
+    """
+    new = produced.groupBy("fingerprint").agg(F.min("id").alias("id"))
+    new = new.join(earlier.select("fingerprint").distinct(), "fingerprint", "left_anti")
+    ids = new.select(F.col("id").alias("key"), "fingerprint", F.lit(True).alias("new"))
+    old = earlier.select("fingerprint").distinct().select(F.lit(None).cast(dict(produced.dtypes)["id"]).alias("key"), "fingerprint", F.lit(False).alias("new"))
+    nodes = materialise(ids.unionByName(old), "outputs")
+    pairs = near_pairs(nodes, most, "fingerprint").select("a", "b")  # fingerprints name themselves
+    a, b = (nodes.select(F.col("fingerprint").alias(c), F.col("key").alias(f"key_{c}"), F.col("new").alias(f"new_{c}")) for c in "ab")
+    links = materialise(pairs.join(a, "a").join(b, "b"), "links")
+    gone = links.filter("new_a <> new_b").select(F.when(F.col("new_a"), F.col("a")).otherwise(F.col("b")).alias("fingerprint")).distinct()
+    open_ = materialise(nodes.filter("new").select("fingerprint", F.col("key").alias("id")).join(gone, "fingerprint", "left_anti"), "open")
+    before = F.col("key_a") < F.col("key_b")
+    follows = materialise(
+        links.filter("new_a and new_b").select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("first"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("later")),
+        "follows",
+    )
+    kept = open_.limit(0)
+    while not open_.isEmpty():
+        live = open_.select("fingerprint")
+        follows = follows.join(live.withColumnRenamed("fingerprint", "first"), "first", "left_semi").join(live.withColumnRenamed("fingerprint", "later"), "later", "left_semi")
+        follows = materialise(follows.select("first", "later"), "follows")
+        stay = materialise(open_.join(follows.select(F.col("later").alias("fingerprint")).distinct(), "fingerprint", "left_anti"), "stay")
+        out = follows.join(stay.select(F.col("fingerprint").alias("first")), "first", "left_semi").select(F.col("later").alias("fingerprint"))
+        kept = kept.unionByName(stay)
+        open_ = materialise(open_.join(stay.select("fingerprint").union(out).distinct(), "fingerprint", "left_anti"), "open")
+    return kept.select("id", "fingerprint")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -275,6 +275,47 @@ def host_pacing(s, d):
 # --- duplicates --------------------------------------------------------------------------------------------------
 
 
+_U32 = "4294967295::UBIGINT"
+
+
+def _hash_sql(seed: int) -> str:
+    """The 32-bit hash of ``f``, one code unit a step; what follows the last one is in ``_PRINTS``."""
+    rol = lambda x, r: f"((({x}) << {r}) | (({x}) >> {32 - r})) & {_U32}"
+    unit = f"(({rol(f'((unicode(x)::UBIGINT) * {simhash.C1}::UBIGINT) & {_U32}', 15)}) * {simhash.C2}::UBIGINT) & {_U32}"
+    step = f"(({rol('xor(h, x)', 13)}) * 5 + {simhash.ADD}::UBIGINT) & {_U32}"
+    return f"list_reduce(list_prepend({seed}::UBIGINT, list_transform(string_split(f, ''), lambda x: {unit})), lambda h, x: {step})"
+
+
+def _mixed_sql(c: str, shift: int, factor: int) -> str:
+    return f"(xor({c}, {c} >> {shift}) * {factor}::UBIGINT) & {_U32} AS {c}"
+
+
+#: ``prints`` (doc_id, fingerprint), by bit arithmetic on the features of each text.
+_PRINTS = f"""
+features AS (SELECT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) END) AS f
+  FROM (SELECT doc_id, regexp_extract_all({_SIGNATURE}, '[a-z0-9]{{2,}}') AS w FROM documents)),
+h0 AS (SELECT f, xor({_hash_sql(simhash.SEED_HIGH)}, length(f)::UBIGINT) AS hi, xor({_hash_sql(simhash.SEED_LOW)}, length(f)::UBIGINT) AS lo FROM (SELECT DISTINCT f FROM features)),
+h1 AS (SELECT f, {_mixed_sql("hi", 16, simhash.F1)}, {_mixed_sql("lo", 16, simhash.F1)} FROM h0),
+h2 AS (SELECT f, {_mixed_sql("hi", 13, simhash.F2)}, {_mixed_sql("lo", 13, simhash.F2)} FROM h1),
+h3 AS (SELECT f, (xor(hi, hi >> 16) << 32) | xor(lo, lo >> 16) AS x FROM h2),
+votes AS (SELECT doc_id, b, sum(CASE WHEN (x >> b) & 1 = 1 THEN 1 ELSE -1 END) AS v
+  FROM (SELECT doc_id, x, unnest(generate_series(0, 63)) AS b FROM features JOIN h3 USING (f)) GROUP BY doc_id, b),
+unsigned AS (SELECT doc_id, bit_or(CASE WHEN v > 0 THEN 1::UBIGINT << b ELSE 0::UBIGINT END)::HUGEINT AS u FROM votes GROUP BY doc_id),
+prints AS (SELECT d.doc_id, (CASE WHEN coalesce(u, 0) >= 9223372036854775808::HUGEINT THEN u - 18446744073709551616::HUGEINT ELSE coalesce(u, 0) END)::BIGINT AS fingerprint
+  FROM documents d LEFT JOIN unsigned USING (doc_id))"""
+#: ``fates`` (scan_id, seq, fate): kin of one path in order, each judged by those kept before it.
+_FATES = f"""{_PRINTS},
+seen AS (SELECT doc_id, source, doc_id % 7 AS host, length(text) % 50 AS path, fingerprint, min(doc_id) OVER (PARTITION BY source, sha1({_SIGNATURE})) AS first FROM documents JOIN prints USING (doc_id)),
+kin AS (SELECT *, row_number() OVER (PARTITION BY source, path ORDER BY doc_id) AS n FROM seen WHERE first = doc_id),
+judged AS (
+  SELECT source, path, n, doc_id, 'keep' AS fate, [{{'host': host, 'print': fingerprint}}] AS kept FROM kin WHERE n = 1
+  UNION ALL
+  SELECT k.source, k.path, k.n, k.doc_id, CASE WHEN gone THEN 'mirror' ELSE 'keep' END, CASE WHEN gone THEN kept ELSE list_append(kept, {{'host': host, 'print': fingerprint}}) END
+  FROM (SELECT k.*, j.kept, len(list_filter(j.kept, lambda x: x.host <> k.host AND bit_count(xor(x.print, k.fingerprint)) <= 8)) > 0 AS gone
+    FROM judged j JOIN kin k ON k.source = j.source AND k.path = j.path AND k.n = j.n + 1) k),
+fates AS (SELECT source AS scan_id, doc_id AS seq, fate FROM judged UNION ALL SELECT source, doc_id, 'exact' FROM seen WHERE first <> doc_id)"""
+
+
 def _doc_pages(s, d):
     p = _t(s, d, "documents").select(
         F.col("source").alias("scan_id"),
@@ -285,23 +326,30 @@ def _doc_pages(s, d):
     return dedup.fingerprinted(p)
 
 
-@query()
+@query(f"WITH {_PRINTS} SELECT doc_id, fingerprint FROM prints")
 def simhash_fingerprint(s, d):
     return _t(s, d, "documents").select("doc_id", simhash.simhash(text.page_signature(F.col("text"))).alias("fingerprint"))
 
 
-@query()
+@query(
+    f"WITH {_PRINTS}, c AS (SELECT fingerprint AS f, min(doc_id) AS rep FROM prints GROUP BY 1) "
+    "SELECT least(x.rep, y.rep) AS a, greatest(x.rep, y.rep) AS b, bit_count(xor(x.f, y.f))::INTEGER AS distance FROM c x JOIN c y ON x.f < y.f WHERE bit_count(xor(x.f, y.f)) <= 3 "
+    "UNION ALL SELECT rep, doc_id, 0 FROM prints JOIN c ON fingerprint = f WHERE doc_id > rep"
+)
 def near_dup_pairs(s, d):
     p = _t(s, d, "documents").select(F.col("doc_id").alias("id"), simhash.simhash(text.page_signature(F.col("text"))).alias("fingerprint"))
     return dedup.near_pairs(p)
 
 
-@query()
+@query(f"WITH RECURSIVE {_FATES} SELECT * FROM fates")
 def dedup_tiers(s, d):
     return dedup.tiers(_doc_pages(s, d))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_FATES} SELECT scan_id, count(*) FILTER (fate = 'keep') AS keep, count(*) FILTER (fate = 'exact') AS exact, "
+    "count(*) FILTER (fate = 'mirror') AS mirror, count(*) FILTER (fate = 'near') AS near FROM fates GROUP BY ROLLUP (scan_id)"
+)
 def dedup_counts(s, d):
     return dedup.drop_counts(dedup.tiers(_doc_pages(s, d)))
 
@@ -344,9 +392,45 @@ def fidelity_check(s, d):
     return retrieve.verify(p).select("item_id", "total", "verified", "ratio")
 
 
-@query()
+def _marked_up(c: str = "text") -> str:
+    """Documents' texts with headings of levels 1 to 4, some of them in fences: a line before each line, by its number."""
+    return (
+        f"SELECT doc_id, i, unnest(CASE i % 11 WHEN 3 THEN ['# Part ' || i || ' ##', line] WHEN 5 THEN ['```', '# in a fence', line, '```'] "
+        f"WHEN 7 THEN ['### Deep ' || i, '', line] WHEN 9 THEN ['#### deeper', line] ELSE [line] END) AS line FROM "
+        f"(SELECT doc_id, unnest(string_split({c}, chr(10))) AS line, generate_subscripts(string_split({c}, chr(10)), 1) - 1 AS i FROM documents)"
+    )
+
+
+def _marked(c: Column) -> Column:
+    """What ``_marked_up`` makes, in one text."""
+    nth = lambda i, *parts: F.array(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    def around(line: Column, i: Column) -> Column:
+        n = i.cast("string")
+        return (
+            F.when(i % 11 == 3, nth(i, F.concat(F.lit("# Part "), n, F.lit(" ##")), line))
+            .when(i % 11 == 5, nth(i, "```", "# in a fence", line, "```"))
+            .when(i % 11 == 7, nth(i, F.concat(F.lit("### Deep "), n), "", line))
+            .when(i % 11 == 9, nth(i, "#### deeper", line))
+            .otherwise(F.array(line))
+        )
+
+    return F.array_join(F.flatten(F.transform(F.split(c, "\n"), around)), "\n")
+
+
+_LINES = f"""l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS n, line FROM
+  (SELECT doc_id, i, line, row_number() OVER () AS k FROM ({_marked_up()}))),
+f AS (SELECT *, regexp_matches(line, '^\\s*(```|~~~)') AS fence, sum(CASE WHEN regexp_matches(line, '^\\s*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) % 2 = 1 AS inside FROM l),
+h AS (SELECT *, NOT fence AND NOT inside AND regexp_matches(line, '^#{{1,3}}\\s+\\S') AS head FROM f),
+s AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM h)"""
+
+
+@query(
+    f"WITH {_LINES}, t AS (SELECT doc_id, section, max(CASE WHEN head THEN line END) AS head, regexp_replace(string_agg(line, chr(10) ORDER BY n), '^\\s+|\\s+$', '', 'g') AS text FROM s GROUP BY doc_id, section) "
+    "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1)::INTEGER AS index, coalesce(substr(trim(regexp_replace(head, '^#{1,3}\\s+', '')), 1, 120), '(intro)') AS heading, length(text)::INTEGER AS size FROM t WHERE text <> ''"
+)
 def doc_sections(s, d):
-    x = _t(s, d, "documents").select("doc_id", markdown.doc_sections(F.col("text")).alias("s"))
+    x = _t(s, d, "documents").select("doc_id", markdown.doc_sections(_marked(F.col("text"))).alias("s"))
     return x.select("doc_id", F.posexplode("s").alias("index", "s")).select("doc_id", "index", "s.heading", F.length("s.text").alias("size"))
 
 
@@ -356,9 +440,15 @@ def value_atoms(s, d):
     return x.select("doc_id", "a.value", "a.kind")
 
 
-@query()
+_STOP = ", ".join(f"'{w}'" for w in sorted(relevance.STOP_WORDS))
+
+
+@query(
+    r"SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(strip_accents(regexp_replace(text, '([\p{Ll}\p{N}])(\p{Lu})', '\1 \2', 'g'))), '[\p{L}\p{N}]+'), "
+    f"lambda w: length(w) >= 2 AND NOT regexp_full_match(w, '[0-9]+') AND w NOT IN ({_STOP})), ' ') AS tokens FROM conversations"
+)
 def task_tokens(s, d):
-    return _t(s, d, "conversations").select("conv_id", "turn", relevance.tokens(F.col("text")).alias("tokens"))
+    return _t(s, d, "conversations").select("conv_id", "turn", F.array_join(relevance.tokens(F.col("text")), " ").alias("tokens"))
 
 
 # --- pages to Markdown, files ------------------------------------------------------------------------------------
