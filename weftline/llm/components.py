@@ -30,9 +30,14 @@ def components(edges: DataFrame) -> DataFrame:
         left = after
         maps.append(hook)
     if not maps:
-        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        out = left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        out.scratch = left.scratch
+        return out
     out = maps[0].withColumnRenamed("to", "component")
     for m in maps[1:]:
         step = m.select(F.col("node").alias("component"), "to")
         out = out.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return materialise(out, "components")
+    out = materialise(out, "components")
+    for m in (*maps, left):
+        drop_path(spark, m.scratch)
+    return out

@@ -17,14 +17,19 @@ Two texts link when their sets of word shingles have a Jaccard similarity of
    whose classes are connected by then adds nothing and is left out.
 4. Classes with L >= t (of large groups of near copies, or of passages that many
    texts share) are joined among themselves by their first shingles: those
-   that share any, directly or by others, form a cluster, a cluster is cut into
-   blocks, and each pair of blocks is searched by DivideSkip: for each query the
-   longest lists are left out, the others merged, and what occurs often enough
-   is looked up in the long ones by binary search.
+   that share any, directly or by others, form a cluster. Some rounds compare a
+   cluster's sets with one of them, the pivot: sets that link with it are one
+   group and need no links with each other, and since 1 - J is a metric, a set
+   farther from the pivot than two links reach has no link with its group. What is
+   between is searched against that group, and what no pivot took against itself:
+   in blocks, each pair of them by DivideSkip: for each query the longest lists
+   are left out, the others merged, and what occurs often enough is looked up in
+   the long ones by binary search.
 
 No list, group or cluster is ever dropped, cut short or sampled; lists that turn
 out long only in step 2 (over ``LONGEST``) are added to the long ones and the
-step is done again.
+step is done again. Workers hold some ten MB each: windows, pairs and signatures
+are counted in sorted arrays of bounded size.
 
 Defined cases: null, empty and wordless texts have an empty set and link with
 nothing; a text of fewer words than a shingle has its whole sequence as its one
@@ -41,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop_path, materialise
 from .components import components
 from .shingles import WORDS, shingle_sets, signatures
 
@@ -50,33 +55,64 @@ LONG = 64
 LONGEST = 160
 #: Shingles in a window of the first pass, and the count in it from which a shingle is reported.
 WINDOW, REPORTED = 4_000_000, 3
+#: Pairs that are counted at once, and signatures that a task remembers so as not to send equal sets twice.
+PAIRS, REMEMBERED = 500_000, 2_000_000
 #: Long lists' shingles are broadcast: at most so many, at 8 bytes each. The bar rises until they are.
 MAX_LONG = 4_000_000
 #: Rows of (doc_id, class) broadcast to fetch the sets that are needed, at 16 bytes each; beyond it they are joined.
 MAX_WANTED = 2_000_000
 ROUNDS = 2
+PIVOTS = 3
+#: A block of a cluster: sets and shingles at most (one set may have more).
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 500_000
+#: Tasks that search pairs of blocks.
+MOST_TASKS = 2000
 #: DivideSkip's weight of a long list's search against the merging of short ones.
 MU = 0.0085
 
 
+class Seen:
+    """Signatures met before, up to some number, in a sorted array and a short list of newer ones."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.old, self.newer, self.n = np.empty(0, np.int64), [], 0
+
+    def new(self, sig: np.ndarray) -> np.ndarray:
+        """Which of sig weren't met before; of equal ones the first."""
+        out = np.zeros(len(sig), bool)
+        out[np.unique(sig, return_index=True)[1]] = True
+        for known in (self.old, *self.newer):
+            if len(known):
+                out &= known[np.minimum(np.searchsorted(known, sig), len(known) - 1)] != sig
+        self.newer.append(np.sort(sig[out]))
+        self.n += len(self.newer[-1])
+        if self.n > self.most:
+            self.clear()
+        elif len(self.newer) >= 16:
+            self.old, self.newer = np.sort(np.concatenate((self.old, *self.newer))), []
+        return out
+
+
 def _scan(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, sig, text_hash) for each row, and (token, n) for shingles repeated in a window; the others are null."""
     names = ["doc_id", "n", "sig", "token", "text_hash"]
 
     def run(batches):
-        held: list[np.ndarray] = []
-        size = 0
+        held, size, some = np.empty(WINDOW, np.uint64), 0, Seen(WINDOW)
 
         def report():
-            t = np.sort(np.concatenate(held))
-            first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-            n = np.diff(np.append(first, len(t)))
-            some = n >= REPORTED
-            t, n = t[first[some]].view(np.int64), n[some]
-            none = pa.nulls(len(t), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(n), none, pa.array(t), none], names=names)
-
-        seen: set[int] = set()
+            t = held[:size]
+            t.sort()
+            k = REPORTED - 1
+            found = np.unique(t[k:][t[k:] == t[: len(t) - k]])
+            n = np.searchsorted(t, found, "right") - np.searchsorted(t, found)
+            none = pa.nulls(len(found), pa.int64())
+            return pa.RecordBatch.from_arrays([none, pa.array(n), none, pa.array(found.view(np.int64)), none], names=names)
+
         for b in batches:
             for lo, hashes, sizes in shingle_sets(b.column(1), words):
                 sig = signatures(hashes, sizes)
@@ -84,18 +120,16 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [own, pa.array(sizes), pa.array(sig, mask=sizes == 0), pa.nulls(len(sizes), pa.int64()), text], names=names
                 )
-                new = np.zeros(len(sizes), bool)  # equal sets of a window count once
-                for i, s in enumerate(sig.tolist()):
-                    if sizes[i] and s not in seen:
-                        seen.add(s)
-                        new[i] = True
-                held.append(hashes[np.repeat(new, sizes)])
-                size += len(held[-1])
-                if size >= WINDOW:
-                    yield report()
-                    held, size = [], 0
-                    seen.clear()
-        if size:
+                hashes = hashes[np.repeat(some.new(sig) & (sizes > 0), sizes)]  # equal sets of a window count once
+                while len(hashes):
+                    take = min(len(hashes), WINDOW - size)
+                    held[size : size + take] = hashes[:take]
+                    hashes, size = hashes[take:], size + take
+                    if size == WINDOW:
+                        yield report()
+                        size = 0
+                        some.clear()
+        if size >= REPORTED:
             yield report()
 
     d = docs.withColumn("text_hash", F.xxhash64("text"))
@@ -115,15 +149,11 @@ def _postings(docs: DataFrame, long_lists, words: int, percent: int) -> DataFram
 
     def run(batches):
         skip = long_lists.value
-        seen: set[int] = set()
+        seen = Seen(REMEMBERED)
         for b in batches:
             for _, hashes, sizes in shingle_sets(b.column(0), words):
                 sig = signatures(hashes, sizes)
-                new = np.zeros(len(sizes), bool)
-                for i, s in enumerate(sig.tolist()):
-                    if sizes[i] and s not in seen:
-                        seen.add(s)
-                        new[i] = True
+                new = seen.new(sig) & (sizes > 0)
                 hashes, sizes, sig = hashes[np.repeat(new, sizes)], sizes[new], sig[new]
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 if len(skip):
@@ -145,14 +175,31 @@ def _postings(docs: DataFrame, long_lists, words: int, percent: int) -> DataFram
                     ],
                     names=["token", "sig", "x"],
                 )
-            if len(seen) > 2_000_000:
-                seen.clear()
 
     return docs.mapInArrow(run, "token long, sig long, x long")
 
 
-def _merge_lists(batches):
-    """Sorted postings to (a, b, c): pairs a < b with a count, classes (a, null, x), long lists (token, null, -size)."""
+def _long_lists(sizes: DataFrame, least: int, most: int | None = None) -> tuple[np.ndarray, int]:
+    """The tokens of the longest lists, ``most`` of them at most (equally long ones all or none), and the size up to
+    which lists are merged: the next one below, where there are more than ``most``."""
+    most = MAX_LONG if most is None else most
+    by_size = sizes.filter(F.col("n") >= least).groupBy("n").agg(F.count("*").alias("lists")).orderBy(F.desc("n")).limit(1_000_000).collect()
+    total, bar = 0, least
+    for r in by_size:
+        if total + r["lists"] > most:
+            bar = r["n"] + 1
+            break
+        total += r["lists"]
+    tokens = sizes.filter(F.col("n") >= bar).select("token").toArrow().column(0).to_numpy().view(np.uint64)
+    return tokens, max(LONGEST, bar - 1)
+
+
+def _merged_lists(longest: int):
+    return lambda batches: _merge_lists(batches, longest)
+
+
+def _merge_lists(batches, longest: int):
+    """Sorted postings to (a, b, c): pairs a < b with a count, classes (a, null, x), lists over longest (token, null, -size)."""
     names = ["a", "b", "c"]
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
@@ -160,6 +207,7 @@ def _merge_lists(batches):
 
     def counted():
         a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
@@ -176,17 +224,16 @@ def _merge_lists(batches):
             if m < 2:
                 continue
             own = start[n == m]
-            if m > LONGEST:
+            if m > longest:
                 yield pa.RecordBatch.from_arrays([pa.array(token[own]), pa.nulls(len(own), pa.int64()), pa.array(np.full(len(own), -m))], names=names)
                 continue
             i, j = np.triu_indices(m, 1)
-            for lo in range(0, len(own), step := max(1, 500_000 // len(i))):
+            for lo in range(0, len(own), step := max(1, PAIRS // 4 // len(i))):
                 at = own[lo : lo + step, None]
                 held.append((sig[at + i].ravel(), sig[at + j].ravel()))
                 size += len(held[-1][0])
-                if size > 2_000_000:
+                if size > PAIRS:
                     yield counted()
-                    held.clear()
                     size = 0
 
     for batch in batches:
@@ -280,6 +327,32 @@ def divide_skip(queries: list[np.ndarray], base: list[np.ndarray], percent: int
     return out
 
 
+def _compared(pairs: DataFrame, percent: int) -> DataFrame:
+    """(cluster, sig, n, tokens, pivot, state) of sets and a pivot p (sig, tokens): 2 links, 1 may link with what links with it, 0 can't."""
+
+    def run(batches):
+        for b in batches:
+            pivot = b.column(4)
+            state = np.zeros(b.num_rows, np.int8)
+            for i in range(b.num_rows):
+                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (b.column(3), b.column(5)))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                either = len(x) + len(y) - both
+                state[i] = 2 if 100 * both >= percent * either else 100 * both >= (2 * percent - 100) * either
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pivot, pa.array(state)], names=["cluster", "sig", "n", "tokens", "pivot", "state"])
+
+    d = pairs.select("cluster", "sig", "n", "tokens", F.col("p.sig").alias("pivot"), F.col("p.tokens").alias("other"))
+    return d.mapInArrow(run, "cluster long, sig long, n long, tokens binary, pivot long, state byte")
+
+
+def _union(frames: list[DataFrame], like: DataFrame) -> DataFrame:
+    """All of frames; without any, no rows of their columns."""
+    out = frames[0] if frames else like.limit(0).withColumn("pivot", F.lit(0).cast("long"))
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def _cluster_links(sets: DataFrame, percent: int) -> DataFrame:
     """Links among classes most of whose lists are long, as edges of the same components."""
 
@@ -292,28 +365,55 @@ def _cluster_links(sets: DataFrame, percent: int) -> DataFrame:
                 [pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), take))], names=["token", "sig"]
             )
 
+    spark = sets.sparkSession
     lists = materialise(sets.select("sig", "n", "tokens").mapInArrow(first, "token long, sig long"), "lists")
     heads = lists.groupBy("token").agg(F.min("sig").alias("head"), F.count("*").alias("size")).filter("size > 1")
     cluster = components(lists.join(heads, "token").select(F.col("head").alias("a"), F.col("sig").alias("b")))
     member = cluster.select(F.col("node").alias("sig"), F.col("component").alias("cluster")).join(sets, "sig")
-    member = materialise(member.select("cluster", "sig", "n", "tokens"), "clusters")
-    # blocks of a cluster: of 128 to 2048 sets and some hundred thousand shingles
-    of = member.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
-    per = F.greatest(F.least(F.col("m") / 16, F.lit(2048.0)), F.lit(128.0))
-    of = of.select("cluster", F.greatest(F.ceil(F.col("m") / per), F.ceil(F.col("all") / 500_000)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
-    dealt = member.join(of, "cluster").withColumn("block", block)
-    each = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")),
+    left = materialise(member.select("cluster", "sig", "n", "tokens"), "clusters")
+    scratch, compared = [lists, cluster, left], []
+    for _ in range(PIVOTS):
+        if left.isEmpty():
+            break
+        pivots = left.groupBy("cluster").agg(F.min(F.struct("sig", "tokens")).alias("p"))
+        compared.append(materialise(_compared(left.join(pivots, "cluster"), percent), "pivots"))
+        scratch.append(compared[-1])
+        left = compared[-1].filter(F.col("state") < 2).select("cluster", "sig", "n", "tokens")
+
+    of = {k: _union([c.filter(F.col("state") == k) for c in compared], left) for k in (1, 2)}
+    # what is near a pivot against that pivot's group; what no pivot took against itself
+    near = of[1].select(F.col("pivot").alias("of"), "sig", "n", "tokens")
+    taken = of[2].select(F.col("pivot").alias("of"), "sig", "n", "tokens").join(near.select("of").distinct(), "of", "left_semi")
+    apart = left.select(F.col("cluster").alias("of"), "sig", "n", "tokens")
+    parts = materialise(
+        near.withColumn("kind", F.lit(1)).unionByName(taken.withColumn("kind", F.lit(2))).unionByName(apart.withColumn("kind", F.lit(0))), "parts"
     )
-    dealt = dealt.select("cluster", "block", "sig", "tokens", F.explode(each).alias("at")).select("cluster", "at.i", "at.j", "block", "sig", "tokens")
+    sizes = parts.groupBy("of", "kind").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
+    per = F.greatest(F.least(F.col("m") / 16, F.lit(float(BLOCK_SETS))), F.lit(128.0))
+    sizes = sizes.select("of", "kind", F.greatest(F.ceil(F.col("m") / per), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = sizes.groupBy("of", F.least("kind", F.lit(1)).alias("apart")).agg(
+        F.max(F.when(F.col("kind") < 2, F.col("blocks"))).alias("rows"), F.max(F.when(F.col("kind") != 1, F.col("blocks"))).alias("columns")
+    )
+    sizes = materialise(sizes.withColumnRenamed("of", "_of"), "blocks")
+    tasks = sizes.agg(F.sum(F.when(F.col("apart") == 0, F.col("rows") * (F.col("rows") + 1) / 2).otherwise(F.col("rows") * F.col("columns")))).first()[0]
+    dealt = parts.join(sizes, (F.col("of") == F.col("_of")) & (F.least("kind", F.lit(1)) == F.col("apart")))
+    block = lambda n: F.pmod(F.xxhash64("sig"), F.col(n)).cast("int")
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    at = lambda i, j, query, base: F.struct(i.alias("i"), j.alias("j"), query.alias("query"), base.alias("base"))
+    both, yes, no = block("rows"), F.lit(True), F.lit(False)
+    places = (
+        F.when(F.col("kind") == 0, each("rows", lambda k: at(F.least(k, both), F.greatest(k, both), both <= k, both >= k)))
+        .when(F.col("kind") == 1, each("columns", lambda k: at(both, k, yes, no)))
+        .otherwise(each("rows", lambda k: at(k, block("columns"), no, yes)))
+    )
+    dealt = dealt.select("of", "apart", "sig", "tokens", F.explode(places).alias("at")).select("of", "apart", "at.*", "sig", "tokens")
+    keys = ["of", "apart", "i", "j"]
+    dealt = dealt.repartition(int(max(1, min(tasks or 1, MOST_TASKS))), *keys)
 
     def search(key, group):
-        _, i, j = (k.as_py() for k in key)
-        block, sig = group.column("block").to_numpy(), group.column("sig").to_numpy()
+        sig = group.column("sig").to_numpy()
         tokens = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("tokens")]
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        left, right = (np.flatnonzero(group.column(k).to_numpy(zero_copy_only=False)) for k in ("query", "base"))
         found = divide_skip([tokens[k] for k in left], [tokens[k] for k in right], percent)
         # links as a forest: one that closes a circle adds nothing
         up = list(range(len(sig)))
@@ -333,7 +433,12 @@ def _cluster_links(sets: DataFrame, percent: int) -> DataFrame:
                 b.append(int(sig[right[y]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(search, "a long, b long")
+    found = dealt.groupBy(*keys).applyInArrow(search, "a long, b long")
+    to_pivot = of[2].filter(F.col("sig") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("sig").alias("b"))
+    links = materialise(found.unionByName(to_pivot), "links")
+    for x in (*scratch, parts, sizes):
+        drop_path(spark, x.scratch)
+    return links
 
 
 def near_duplicates(
@@ -345,33 +450,34 @@ def near_duplicates(
     component (a hash that also tells components of one id, or of none, apart;
     null without shingles) and text_hash.
     """
-    spark = docs.sparkSession
+    spark, made = docs.sparkSession, []
+
+    def kept(df: DataFrame, what: str) -> DataFrame:
+        made.append(materialise(df, what))
+        return made[-1]
+
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scan = materialise(_scan(d, words), "scan")
+    scan = kept(_scan(d, words), "scan")
     rows = scan.filter(F.col("token").isNull())
-    classes = materialise(rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n")), "classes")
-    sums = materialise(scan.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= LONG), "long")
-    bar = LONG
-    while sums.filter(F.col("n") >= bar).count() > MAX_LONG:
-        bar *= 2
-    long_tokens = sums.filter(F.col("n") >= bar).select("token").toArrow().column(0).to_numpy().view(np.uint64)
-
+    classes = kept(rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n")), "classes")
+    long_tokens, longest = _long_lists(kept(scan.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("n").alias("n")), "long"), LONG)
     while True:
         shared = spark.sparkContext.broadcast(np.sort(long_tokens))
         postings = _postings(d.select("text"), shared, words, percent)
-        lists = materialise(
-            postings.repartition("token").sortWithinPartitions("token", "sig").mapInArrow(_merge_lists, "a long, b long, c long"), "merged"
-        )
-        late = lists.filter("b is null and c < 0").select("a").distinct().toArrow().column(0).to_numpy().view(np.uint64)
-        if not len(late):
+        dealt = postings.repartition("token").sortWithinPartitions("token", "sig")
+        lists = kept(dealt.mapInArrow(_merged_lists(longest), "a long, b long, c long"), "merged")
+        shared.destroy()
+        late = lists.filter("b is null and c < 0").groupBy(F.col("a").alias("token")).agg(F.sum(-F.col("c")).alias("n"))
+        more, bar = _long_lists(late, 0, MAX_LONG - len(long_tokens))
+        if bar <= longest and not len(more):
             break
-        long_tokens = np.concatenate((long_tokens, late))
+        long_tokens, longest = np.concatenate((long_tokens, more)), max(longest, bar)
 
     nodes = lists.filter("b is null and c > 0").select(F.col("a").alias("sig"), (F.col("c") - 1).alias("x")).distinct()
     nodes = nodes.join(classes.select("sig", "n"), "sig").select(
         "sig", "n", F.shiftright("x", 32).alias("rest"), F.col("x").bitwiseAND(F.lit((1 << 32) - 1)).alias("l")
     )
-    nodes = materialise(nodes, "nodes")
+    nodes = kept(nodes, "nodes")
     na = nodes.select(*[F.col(c).alias(f"{c}_a") for c in nodes.columns])
     nb = nodes.select(*[F.col(c).alias(f"{c}_b") for c in nodes.columns])
     n = F.col("n_a") + F.col("n_b")
@@ -384,15 +490,15 @@ def near_duplicates(
         .filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (most >= needed))
         .select("a", "b", (F.col("c") / n).alias("c"))
     )
-    pairs = materialise(pairs, "candidates")
+    pairs = kept(pairs, "candidates")
 
     heavy = nodes.filter(F.col("l") * 100 >= percent * F.col("n")).select("sig")
     some = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).union(heavy).distinct()
-    wanted = materialise(classes.join(some, "sig").select(F.col("class_id").alias("doc_id"), "sig"), "wanted")
-    sets = materialise(_sets(d, wanted, words), "sets")
+    wanted = kept(classes.join(some, "sig").select(F.col("class_id").alias("doc_id"), "sig"), "wanted")
+    sets = kept(_sets(d, wanted, words), "sets")
 
-    links = materialise(_cluster_links(sets.join(heavy, "sig", "left_semi"), percent), "links")
-    left, joined = pairs, None
+    links = kept(_cluster_links(sets.join(heavy, "sig", "left_semi"), percent), "links")
+    left = pairs
     for k in range(ROUNDS + 1):
         if left.isEmpty():
             break
@@ -401,14 +507,15 @@ def near_duplicates(
             both = left.select("a", "b", "c").union(left.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
             best = both.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
             tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = materialise(links.union(_verified(tried, sets, percent)), "links")
+        links = kept(links.union(_verified(tried, sets, percent)), "links")
         if k < ROUNDS:
             joined = components(links)
             ja = joined.select(F.col("node").alias("a"), F.col("component").alias("ca"))
             jb = joined.select(F.col("node").alias("b"), F.col("component").alias("cb"))
             left = left.join(tried, ["a", "b"], "left_anti").join(ja, "a", "left").join(jb, "b", "left")
             apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
-            left = materialise(left.filter(apart).select("a", "b", "c"), "left")
+            left = kept(left.filter(apart).select("a", "b", "c"), "left")
+            drop_path(spark, joined.scratch)
 
     joined = components(links)
     placed = classes.join(joined.withColumnRenamed("node", "sig"), "sig", "left").select(
@@ -417,14 +524,20 @@ def near_duplicates(
     least = placed.groupBy("component").agg(F.min("class_id").alias("component_id"))
     placed = placed.join(least, "component").select("sig", "class_id", "component_id", "component")
     out = rows.join(placed, "sig", "left")
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        "component",
-        "text_hash",
+    out = materialise(
+        out.select(
+            "doc_id",
+            F.col("n").alias("n_shingles"),
+            F.coalesce("class_id", "doc_id").alias("class_id"),
+            F.coalesce("component_id", "doc_id").alias("component_id"),
+            "component",
+            "text_hash",
+        ),
+        "components",
     )
+    for x in (*made, joined):
+        drop_path(spark, x.scratch)
+    return out
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -435,7 +548,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keep one row too. Rows without shingles link with nothing and stay; only
     repeated ones of an id (of equal text) count once.
     """
-    found = materialise(near_duplicates(docs, id_col=id_col, text_col=text_col), "components")
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
     # a row of no shingles is a component by itself: its id and text name it
     alone = F.col("component").isNull()
     kept = (

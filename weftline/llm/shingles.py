@@ -1,8 +1,9 @@
 """Sets of word shingles of many texts at once, as 64-bit hashes.
 
-A-Z are taken as a-z; words are runs of other than white space of ASCII. Every
-byte of a batch enters one running sum of powers, of which each word's hash is a
-difference; words' hashes make the shingles'. No Python loop runs over words.
+A-Z are taken as a-z; words are runs of other than white space of ASCII. Bytes
+enter a running sum of powers, of which each word's hash is a difference; words'
+hashes make the shingles'. No Python loop runs over words. Sums are taken over
+``CHUNK_BYTES`` at once (to the end of the word there), long texts included.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from . import worker
 
 WORDS = 5
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 _M64 = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
@@ -65,27 +66,41 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[tuple[int, np
         lo = hi
 
 
+def _words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins, and its hash. bounds: where texts begin, which words don't cross."""
+    begins, hashes, lo = [], [], 0
+    while lo < len(raw):
+        hi = lo + CHUNK_BYTES
+        while hi < len(raw) and not _SPACE[raw[hi]]:  # to the end of a word: a sign of white space in the next bytes
+            near = np.flatnonzero(_SPACE[raw[hi : hi + 4096]])
+            hi += int(near[0]) if len(near) else 4096
+        part = raw[lo:hi]
+        inside = ~_SPACE[part]
+        own = bounds[np.searchsorted(bounds, lo) : np.searchsorted(bounds, lo + len(part))] - lo
+        before = np.empty_like(inside)
+        before[0] = False
+        before[1:] = inside[:-1]
+        before[own] = False
+        after = np.empty_like(inside)
+        after[-1] = False
+        after[:-1] = inside[1:]
+        after[own[own > 0] - 1] = False
+        begin, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+        total = np.empty(len(part) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum((_LOWER[part].astype(np.uint64) + np.uint64(1)) * _power("up", len(part)), out=total[1:])
+        h = (total[end] - total[begin]) * _power("down", len(part))[begin]
+        hashes.append(mix(h ^ ((end - begin).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))))
+        begins.append(begin + lo)
+        lo = hi
+    return np.concatenate(begins), np.concatenate(hashes)
+
+
 def _sets(raw: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(off) - 1
     if not len(raw):
         return np.empty(0, np.uint64), np.zeros(n, np.int64)
-    inside = ~_SPACE[raw]
-    before = np.empty_like(inside)
-    before[0] = False
-    before[1:] = inside[:-1]
-    bounds = off[1:-1]
-    bounds = bounds[bounds < len(raw)]
-    before[bounds] = False
-    after = np.empty_like(inside)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    after[bounds[bounds > 0] - 1] = False
-    begin, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    total = np.empty(len(raw) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * _power("up", len(raw)), out=total[1:])
-    h = (total[end] - total[begin]) * _power("down", len(raw))[begin]
-    h = mix(h ^ ((end - begin).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+    begin, h = _words(raw, off[1:-1])
     doc = np.searchsorted(off, begin, "right") - 1
     n_words = np.bincount(doc, minlength=n)
 
