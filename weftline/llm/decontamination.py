@@ -2,9 +2,11 @@
 
 Every benchmark item gives its windows of ``n`` consecutive words (an item of
 fewer words, but not none, is one window). The windows' hashes and, as an
-anchor, the longest word of each window form the broadcast side. A text's words
-are scanned once; where an anchor stands, the window around it is hashed, looked
-up and then compared word by word.
+anchor, the longest word of each window form the broadcast side, if their numbers
+are in bounds that are checked first. A text's words are scanned once; where an
+anchor stands, the window around it is hashed, looked up by anchor and hash, and
+then compared word by word. Beyond the bounds the same steps are joins: words that
+are anchors are found by a shuffled join, and so are the windows around them.
 
 Defined cases: null or wordless texts have ``n_words`` 0 and no hits; null or
 wordless items have no windows; the same text under two item ids counts for
@@ -17,11 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, words
+from .common import materialise, same_rows, words
 
 N = 13
-#: Up to so many distinct anchors are sent as a literal set; beyond it they are joined.
-MAX_LITERAL_ANCHORS = 20_000
+#: Up to so many distinct anchors are sent as a literal set, and so many windows are broadcast; beyond it they are joined.
+MAX_LITERAL_ANCHORS, MAX_BROADCAST_WINDOWS = 20_000, 200_000
 #: Rows of hits broadcast to change texts; beyond it they are joined.
 MAX_BROADCAST_ROWS = 200_000
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -44,17 +46,16 @@ def benchmark_windows(benchmark: DataFrame, n: int = N, id_col: str = "item_id",
     )
 
 
-def _anchored(w: Column, n: int, anchors: list[str] | None) -> Column:
-    """Places of anchors: the word, its index from 1, and the words from n-1 before it to n-1 after it."""
-    is_anchor = (lambda x: x.isin(anchors)) if anchors else (lambda x: F.lit(anchors is None))
-    places = F.filter(F.transform(w, lambda x, i: F.when(is_anchor(x), i + 1)), lambda i: i.isNotNull())
-    lo = lambda i: F.greatest(i - (n - 1), F.lit(1))
-    return F.transform(
-        places,
-        lambda i: F.struct(
-            i.alias("i"), lo(i).alias("lo"), F.slice(w, lo(i), i + n - lo(i)).alias("ctx")
-        ),
-    )
+def _around(w: Column, n: int, i: Column) -> Column:
+    """A place of an anchor, from 1, and the words from n-1 before it to n-1 after it."""
+    lo = F.greatest(i - (n - 1), F.lit(1))
+    return F.struct(i.alias("i"), lo.alias("lo"), F.slice(w, lo, i + n - lo).alias("ctx"))
+
+
+def _anchored(w: Column, n: int, anchors: list[str]) -> Column:
+    """Places of anchors, each with the words around it."""
+    places = F.filter(F.transform(w, lambda x, i: F.when(x.isin(anchors) if anchors else F.lit(False), i + 1)), lambda i: i.isNotNull())
+    return F.transform(places, lambda i: _around(w, n, i))
 
 
 def find_windows(
@@ -65,27 +66,35 @@ def find_windows(
     ``row`` names rows; by default they are numbered as they are read.
     """
     row = F.monotonically_increasing_id() if row is None else row
+    windows = materialise(windows, "windows")
     found = windows.select("anchor").distinct().limit(MAX_LITERAL_ANCHORS + 1).collect()
-    anchors = [r[0] for r in found] if len(found) <= MAX_LITERAL_ANCHORS else None
-    d = docs.select(
-        row.alias("row"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")
-    )
-    scan = materialise(
-        d.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), _anchored(F.col("w"), n, anchors).alias("places")),
-        "windows",
-    )
-    seen = scan.select("row", F.explode("places").alias("p")).select(
-        "row", "p.i", "p.lo", "p.ctx", F.element_at("p.ctx", F.col("p.i") - F.col("p.lo") + 1).alias("anchor")
-    )
-    small = F.broadcast(windows) if anchors is not None else windows
+    d = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
+    n_words = F.size("w").cast("long").alias("n_words")
+    if len(found) <= MAX_LITERAL_ANCHORS:
+        scan = materialise(d.select("row", "doc_id", n_words, _anchored(F.col("w"), n, [r[0] for r in found]).alias("places")), "scan")
+        seen = scan.select("row", F.explode("places").alias("p"))
+    else:
+        scan = materialise(d.select("row", "doc_id", n_words, "w"), "scan")
+        at = scan.select("row", F.posexplode("w").alias("i", "anchor")).join(windows.select("anchor").distinct(), "anchor", "left_semi")
+        # rows that are equal in all but their place in the table have one name each
+        held = scan.select("row", "w").dropDuplicates(["row"])
+        seen = at.select("row", F.col("i") + 1).distinct().toDF("row", "i").join(held, "row").select("row", _around(F.col("w"), n, F.col("i")).alias("p"))
+    seen = seen.select("row", "p.i", "p.lo", "p.ctx", F.element_at("p.ctx", F.col("p.i") - F.col("p.lo") + 1).alias("anchor"))
+    # where a window with this anchor would begin; then by the hash of what stands there, which no anchor makes hot
+    near = windows.select("anchor", "at", "len").distinct()
+    want = windows.select("hash", F.col("len").alias("n"), F.col("gram").alias("want"), "item_id")
+    if windows.count() <= MAX_BROADCAST_WINDOWS:
+        near, want = F.broadcast(near), F.broadcast(want)
     begin = F.col("i") - F.col("at") + 1  # of the window in the text, from 1
     inside = (begin >= F.col("lo")) & (begin - F.col("lo") + F.col("len") <= F.size("ctx"))
-    gram = F.slice("ctx", begin - F.col("lo") + 1, F.col("len"))
+    # also where it is evaluated before the filter, a slice begins at 1 at least
+    gram = F.slice("ctx", F.greatest(begin - F.col("lo") + 1, F.lit(1)), F.col("len"))
+    grams = seen.join(near, "anchor").filter(inside).select("row", (begin - 1).alias("start"), "len", gram.alias("gram"))
     hits = (
-        seen.join(small.withColumnRenamed("gram", "want"), "anchor")
-        .filter(inside)
-        .filter((F.xxhash64(gram) == F.col("hash")) & (gram == F.col("want")))
-        .select("row", "item_id", (begin - 1).alias("start"), "len")
+        grams.withColumn("hash", F.xxhash64("gram"))
+        .join(want, "hash")
+        .filter((F.col("len") == F.col("n")) & (F.col("gram") == F.col("want")))
+        .select("row", "item_id", "start", "len")
     )
     return scan.select("row", "doc_id", "n_words"), hits
 
@@ -149,7 +158,7 @@ def remove(
     docs: DataFrame, benchmark: DataFrame, n: int = N, share: int = 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """docs without contaminated rows; from rows with fewer hits the hit words go. All columns stay."""
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    key = same_rows(F.col(id_col), F.col(text_col))
     judged = _judged(*find_windows(docs, benchmark_windows(benchmark, n), n, id_col, text_col, key), share)
     # rows of one key are equal, and so are their hits
     found = judged.filter("n_hit > 0").select(F.col("row").alias("_row"), F.col("spans").alias("_spans"), F.col("contaminated").alias("_out"))
