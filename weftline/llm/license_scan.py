@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a window of ``BLOCK_WORDS`` words of a longer line, moved
-on by half. A block matches a template if it holds at least ``THRESHOLD`` of the
+A block is a window of ``BLOCK_WORDS`` words of the whole text, moved on by half:
+it runs across lines, as notices do, and every run of up to half its words, more
+than any template has, lies whole in a block. A block matches a template if it holds at least ``THRESHOLD`` of the
 template's distinct words. Words are ordered by their document frequency in the
 whole input, rarest first; a template that must overlap in ``o`` of its ``t``
 words shares one of its first ``t - o + 1`` words with the block (prefix
@@ -43,6 +44,12 @@ TEMPLATES = [
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2"),
     ("licensed under the creative commons attribution 4 0 international license", "cc-by-4"),
     ("licensed under the creative commons attribution sharealike 4 0 international license", "cc-by-sa-4"),
+    ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-2"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "cc0"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license", "epl"),
+    ("licensed under the creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
 ]
 THRESHOLD = 0.85
 BLOCK_WORDS = 64
@@ -72,7 +79,7 @@ def scan_licenses(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Per row of docs: doc_id, n_words, places (start, label), matches (label, block, containment)."""
+    """Per row of docs: doc_id, n_words, places (start, label), matches (label, first word of the block, containment)."""
     sets = [(sorted(set(t.split())), label) for t, label in templates]
     vocabulary = sorted({w for s, _ in sets for w in s} | {w for p, _ in phrases for w in p.split()})
 
@@ -96,7 +103,7 @@ def scan_licenses(
             "doc_id",
             F.size("w").cast("long").alias("n_words"),
             "held",
-            F.when(can_match, F.col("text")).alias("text"),
+            F.when(can_match, F.col("w")).alias("w"),
             places.alias("places"),
         ),
         "licenses",
@@ -115,14 +122,11 @@ def scan_licenses(
 
     half = BLOCK_WORDS // 2
     blocks = (
-        scan.filter(F.col("text").isNotNull())
-        .select("row", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-        .select("row", "line", words(F.col("text")).alias("w"))
-        .filter(F.size("w") > 0)
-        .select("row", "line", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(half))).alias("at"))
+        scan.filter(F.col("w").isNotNull())
+        .select("row", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(half))).alias("at"))
         .filter((F.col("at") == 0) | (F.size("w") - F.col("at") > half))
         .withColumn("b", F.array_intersect(_strings(by_rank), F.slice("w", F.col("at") + 1, BLOCK_WORDS)))
-        .select("row", "line", "at", "b", F.size("b").alias("b_size"))
+        .select("row", "at", "b", F.size("b").alias("b_size"))
         .filter(F.col("b_size") >= least)
     )
     i, j, t, b = F.col("i"), F.col("j"), F.col("t_size"), F.col("b_size")
@@ -131,11 +135,11 @@ def scan_licenses(
         .withColumn("j", F.col("j") + 1)
         .join(F.broadcast(prefixes), "x")
         .filter((b >= F.col("o")) & (F.least(i, j) + F.least(t - i, b - j) >= F.col("o")))
-        .dropDuplicates(["row", "line", "at", "t"])
+        .dropDuplicates(["row", "at", "t"])
         .withColumn("shared", F.size(F.array_intersect("b", F.element_at(full, F.col("t")))))
         .filter(F.col("shared") >= F.col("o"))
     )
-    match = F.struct("label", "line", "at", (F.col("shared") / t).alias("containment"))
+    match = F.struct("label", "at", (F.col("shared") / t).alias("containment"))
     per = pairs.groupBy("row").agg(F.array_sort(F.collect_list(match)).alias("matches"))
     return scan.join(per, "row", "left").select("doc_id", "n_words", "places", "matches")
 
@@ -174,8 +178,7 @@ def _oracle() -> str:
     return f"""
 WITH d AS (SELECT doc_id, {split('text')} AS w FROM documents),
 places AS ({places}),
-l AS (SELECT doc_id, {split('line')} AS w FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
-bl AS (SELECT doc_id, w[a + 1 : a + {BLOCK_WORDS}] AS b FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) - 1, {half})) AS a FROM l WHERE len(w) > 0) WHERE a = 0 OR len(w) - a > {half}),
+bl AS (SELECT doc_id, w[a + 1 : a + {BLOCK_WORDS}] AS b FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) - 1, {half})) AS a FROM d WHERE len(w) > 0) WHERE a = 0 OR len(w) - a > {half}),
 found AS (SELECT * FROM ({found}) WHERE shared >= o),
 p AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word FROM places GROUP BY doc_id),
 pl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT doc_id, label FROM places) GROUP BY doc_id),
