@@ -6,9 +6,11 @@ the longest match in the language's sample is a phrase, and the next one starts
 after it. The language that needs the fewest phrases for each character wins;
 ties go to the language with more learned rows, then to the smaller name.
 
-Texts are parsed whole, in segments of ``SEGMENT`` characters, each from the
-start state; many segments go through an automaton side by side, one character
-a step. Case is dropped, and runs of characters that aren't letters count as one
+Texts are parsed whole. Segments of ``SEGMENT`` characters go through an automaton
+side by side, one character a step, each from the start state at first; then each
+is gone through again from the state in which the one before it ended, up to the
+first character after which both runs are in the same state, from where they agree.
+So phrases run across segments, whose length changes no count. Case is dropped, and runs of characters that aren't letters count as one
 space. Every letter of the samples, of any script, is a symbol of its own: the
 transitions of the most frequent ones are a table, those of the others are sorted
 and searched. Letters that no sample has are phrases of their own.
@@ -151,6 +153,17 @@ class Parser:
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         return np.where(keys[at] == key, (to[at] * self.width).astype(np.uint32), ends)
 
+    def _step(self, lang: int, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The states after symbols c, marked where a phrase ended before them."""
+        rare = np.flatnonzero(c >= self.width)
+        if not len(rare):
+            return self.tables[lang][state + c]
+        plain = c.copy()
+        plain[rare] = 1
+        at = self.tables[lang][state + plain]
+        at[rare] = self._search(lang, state[rare], c[rare].astype(np.int64) - self.width)
+        return at
+
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of all texts on end, each text's length, and whether it has a letter."""
         cps = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -174,24 +187,36 @@ class Parser:
         order = np.argsort(-size, kind="stable")
         text, begin, size = text[order], begin[order], size[order]
         live = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), "right")
+        # by segment: the one that goes on from it, if any
+        place = np.empty(len(text), np.int64)
+        place[order] = np.arange(len(text))
+        after = np.full(len(text), -1)
+        goes_on = np.flatnonzero(np.append(nth[1:] > 0, False)) if len(nth) else np.zeros(0, np.int64)
+        after[place[goes_on]] = place[goes_on + 1]
         out = np.zeros((len(texts), len(self.langs)), np.int64)
-        states = [np.zeros(len(text), np.uint32) for _ in self.langs]
-        counts = [np.zeros(len(text), np.uint16) for _ in self.langs]
-        for k, n in enumerate(live):
-            c = sym[begin[:n] + k]
-            rare = np.flatnonzero(c >= self.width)
-            which = c[rare].astype(np.int64) - self.width
-            c[rare] = 1
-            for lang, (step, state, count) in enumerate(zip(self.tables, states, counts, strict=True)):
-                at = step[state[:n] + c]
-                if len(rare):
-                    at[rare] = self._search(lang, state[rare], which)
-                count[:n] += (at >> np.uint32(31)).astype(np.uint16)
-                state[:n] = at & ~_NEW
-        for j, count in enumerate(counts):
-            # each segment's first phrase ends without a break
-            out[:, j] = np.bincount(text, weights=count + 1.0, minlength=len(texts)).astype(np.int64)
-        return out, sizes, letters
+        for lang in range(len(self.langs)):
+            ran = np.zeros((len(live), len(text)), np.uint32)  # [place, segment]: the state, and whether a phrase ended before it
+            state = np.zeros(len(text), np.uint32)
+            for k, n in enumerate(live):
+                ran[k, :n] = self._step(lang, state[:n], sym[begin[:n] + k])
+                state[:n] = ran[k, :n] & ~_NEW
+            redo = np.flatnonzero(after >= 0)
+            while len(redo):  # segments after which the next one is gone through again
+                own, now, k, changed = after[redo], state[redo], 0, []
+                while len(own):
+                    at = self._step(lang, now, sym[begin[own] + k])
+                    same = (at & ~_NEW) == (ran[k, own] & ~_NEW)
+                    ran[k, own] = at
+                    k += 1
+                    ended = ~same & (size[own] <= k)
+                    state[own[ended]] = at[ended] & ~_NEW
+                    changed.append(own[ended])
+                    go = ~same & ~ended
+                    own, now = own[go], at[go] & ~_NEW
+                redo = np.concatenate(changed)
+                redo = redo[after[redo] >= 0]
+            out[:, lang] = np.bincount(text, weights=(ran >> np.uint32(31)).sum(axis=0).astype(float), minlength=len(texts)).astype(np.int64)
+        return out + (sizes > 0)[:, None], sizes, letters  # the first phrase ends nothing
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         if not self.langs:
