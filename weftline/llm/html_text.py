@@ -9,7 +9,7 @@ met c times among n counts sqrt(c / n); a name met c times among n different one
 both and the block itself says whether it is main text.
 
 The network is trained here, with numpy, on a bounded sample of pages: the
-``SAMPLE_PAGES`` of the smallest hashes of page_id. Those that mark their article
+``SAMPLE_PAGES`` of the smallest hashes of page_id among those of up to ``SAMPLE_CHARS`` characters. Those that mark their article
 in the tags label their own blocks; further pages are laid out anew from the same
 texts by ``_templates``, with menus, headers, sidebars, notices, adverts, forms,
 comments and footers in many notations. Seeds are fixed.
@@ -18,7 +18,7 @@ Blocks keep their whole text. Character references are decoded, white space
 becomes one space, main blocks are joined by a line feed.
 
 Defined cases: null and empty pages, and pages without main text, give an empty
-text; unclosed and crossed tags are closed as browsers do for paragraphs and list
+text; elements more than ``DEEPEST`` deep are not nested, but their text stays; unclosed and crossed tags are closed as browsers do for paragraphs and list
 items, and ignored otherwise; svg and math are part of the text around them, and
 an open svg, math or object ends at the next block tag or with its parent; what
 browsers read as one raw text (script and the like) is left out, to the end of
@@ -43,18 +43,19 @@ from pyspark.sql import functions as F
 from . import worker
 from .common import materialise
 
-SAMPLE_PAGES = 200
+SAMPLE_PAGES, SAMPLE_CHARS = 200, 100_000
 EPOCHS = 14
 HIDDEN = 16
 PATH_BUCKETS, PATH_SIZE = 512, 16
 WORD_BUCKETS, WORD_SIZE = 512, 8
 MEASURES = 8
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+_ASIDE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_NAME = re.compile(r"<(/?)[a-zA-Z]")
+_NAME_END = re.compile(r"[\s/>]")
+_MARK = re.compile("[\"'>]")
+#: Elements that are open at most; as in browsers, more of them stand side by side.
+DEEPEST = 512
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -85,6 +86,49 @@ _P_ENDS = frozenset(
 )
 
 
+class _Tags:
+    """Ends of a page's tags, in time that grows with the page: what one search has passed in vain no other passes again."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.name_end = page, page.rfind(">"), -1
+        self.failed: set[int] = set()
+        self.missing: set[str] = set()
+
+    def name(self, at: int) -> int:
+        """Where a tag's name ends that has begun before ``at``; tags are asked for in order."""
+        if at > self.name_end:
+            m = _NAME_END.search(self.page, at)
+            self.name_end = m.start() if m else len(self.page)
+        return self.name_end
+
+    def end(self, at: int) -> int:
+        """Where the > stands that ends a tag from ``at`` on, quoted parts aside; -1 if there is none."""
+        passed = []
+        while at <= self.last:
+            k = _MARK.search(self.page, at).start()
+            if self.page[k] == ">":
+                return k
+            if k in self.failed:
+                break
+            passed.append(k)
+            close = self.page.find(self.page[k], k + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.failed.update(passed)
+        return -1
+
+    def closed(self, tag: str, at: int) -> int:
+        """What follows the end tag of an element that begins before ``at``; -1 if it has none."""
+        if tag in self.missing:
+            return -1
+        m = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(self.page, at)
+        if m is None:
+            self.missing.add(tag)
+            return -1
+        return m.end()
+
+
 class Block:
     __slots__ = ("path", "text", "linked")
 
@@ -104,7 +148,7 @@ def _names(tag: str, attrs: str) -> tuple[str, ...]:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, each with the names on its path from the top."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...]]] = []  # tags, and the names on the path to them
     text: list[str] = []
     path: tuple[str, ...] = ()
     linked = in_link = foreign = embedded = 0
@@ -122,6 +166,7 @@ def blocks(page: str) -> list[Block]:
     def close(k: int):
         nonlocal in_link, foreign, embedded
         for tag, _ in stack[k:]:
+            opened[tag] -= 1
             if tag == "a":
                 in_link -= 1
             elif tag in _FOREIGN:
@@ -136,37 +181,43 @@ def blocks(page: str) -> list[Block]:
             if not text:
                 if raw.isspace():
                     return
-                path = tuple(n for _, ns in stack for n in ns)
+                path = stack[-1][1] if stack else ()
             text.append(raw)
             if in_link:
                 linked += len(raw.strip())
 
-    at, n = 0, len(page)
+    at, n, tags = 0, len(page), _Tags(page)
+    opened: Counter[str] = Counter()
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
             add(page[at:])
             break
-        m = _TAG.match(page, lt)
-        if not m:  # a sign, not a tag
+        m = _ASIDE.match(page, lt)
+        if m:
+            add(page[at:lt])
+            at = m.end()
+            if m[0].startswith("<![CDATA["):
+                add(_html.escape(m[0][9:].removesuffix("]]>")))
+            continue
+        m = _NAME.match(page, lt)
+        name = tags.name(m.end()) if m else lt
+        end = tags.end(name) if m else -1
+        if end < 0:  # a sign, not a tag
             add(page[at : lt + 1])
             at = lt + 1
             continue
         add(page[at:lt])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                add(_html.escape(m[0][9:].removesuffix("]]>")))
-            continue
-        tag, closing = m[2].lower(), m[1]
+        at = end + 1
+        tag, closing, attrs = page[m.end() - 1 : name].lower(), m[1], page[name:end]
         if foreign and tag in _UNSHOWN:  # where it isn't closed, its text stays
-            end = None if closing or m[3].endswith("/") else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else at
+            end = -1 if closing or attrs.endswith("/") else tags.closed(tag, at)
+            at = end if end >= 0 else at
             continue
         if tag in _RAW:
-            if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+            if not closing and not attrs.endswith("/"):
+                end = tags.closed(tag, at)
+                at = end if end >= 0 else n
                 add(" ")
             continue
         if embedded and not closing and tag in _ENDS_FOREIGN:
@@ -179,26 +230,25 @@ def blocks(page: str) -> list[Block]:
                 add(" ")
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+            if opened[tag] > 0:
+                close(max(k for k in range(len(stack)) if stack[k][0] == tag))
             continue
         if tag in _VOID:
             continue
         ends, holders = _CLOSES.get(tag, ("p", {"button", "td", "th", "li", "table"}) if tag in _P_ENDS else ("", ()))
-        if ends:
+        if any(opened[x] for x in ends.split()):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in ends.split():
                     close(k)
                     break
                 if stack[k][0] in holders:
                     break
-        key = (tag, m[3])
-        if key not in names:
-            names[key] = _names(tag, m[3])
-        if not m[3].endswith("/") or tag == "a":
-            stack.append((tag, names[key]))
+        if (not attrs.endswith("/") or tag == "a") and len(stack) < DEEPEST:
+            key = (tag, attrs)
+            if key not in names:
+                names[key] = _names(tag, attrs)
+            stack.append((tag, (stack[-1][1] if stack else ()) + names[key]))
+            opened[tag] += 1
             if tag == "a":
                 in_link += 1
             foreign += tag in _FOREIGN
@@ -279,7 +329,7 @@ def features(page: list[Block]) -> tuple[Bags, Bags, np.ndarray]:
         size = len(t)
         stops = t.count(".") + t.count(",") + t.count("!") + t.count("?")
         measures[i] = (
-            min(size, 2000) / 1000, min(1.0, size / 40), b.linked / size, min(1.0, 20 * stops / size),
+            math.log1p(size) / 4, min(1.0, size / 40), b.linked / size, min(1.0, 20 * stops / size),
             t[-1] in ".!?\"'”»:", i / n, 1.0 / n, 1.0,
         )
     return Bags.of(paths), Bags.of(words), measures
@@ -582,7 +632,7 @@ def training_set(pages: list[str], seed: int = 5) -> tuple[list, list]:
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> Labeller:
     h = F.xxhash64(F.col(id_col))
-    some = pages.select(F.col(html_col).alias("html"), h.alias("h"), F.col(id_col).alias("id")).filter(F.length("html").between(1, 100_000))
+    some = pages.select(F.col(html_col).alias("html"), h.alias("h"), F.col(id_col).alias("id")).filter(F.length("html").between(1, SAMPLE_CHARS))
     # the hashes first: tasks send these, not pages
     first = some.select("h").orderBy("h").limit(sample).collect()
     last = max((r["h"] for r in first), default=0)
