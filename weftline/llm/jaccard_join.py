@@ -63,6 +63,8 @@ MAX_LONG = 4_000_000
 MAX_WANTED = 2_000_000
 ROUNDS = 2
 PIVOTS = 3
+#: Pivots are broadcast up to so many bytes in all; beyond it they are joined.
+MAX_PIVOT_BYTES = 32 << 20
 #: A block of a cluster: sets and shingles at most (one set may have more).
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 500_000
 #: Tasks that search pairs of blocks.
@@ -375,7 +377,10 @@ def _cluster_links(sets: DataFrame, percent: int) -> DataFrame:
     for _ in range(PIVOTS):
         if left.isEmpty():
             break
-        pivots = left.groupBy("cluster").agg(F.min(F.struct("sig", "tokens")).alias("p"))
+        pivots = materialise(left.groupBy("cluster").agg(F.min(F.struct("sig", "tokens")).alias("p")), "pivot")
+        scratch.append(pivots)
+        if (pivots.agg(F.sum(F.length("p.tokens"))).first()[0] or 0) <= MAX_PIVOT_BYTES:
+            pivots = F.broadcast(pivots)  # sets then stay where they are, those of a large cluster too
         compared.append(materialise(_compared(left.join(pivots, "cluster"), percent), "pivots"))
         scratch.append(compared[-1])
         left = compared[-1].filter(F.col("state") < 2).select("cluster", "sig", "n", "tokens")
