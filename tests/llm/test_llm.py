@@ -62,7 +62,7 @@ def empty(spark):
 def test_encoder_equals_library(path):
     r = random.Random(1)
     texts = ["".join(r.choice("ab  \n\n\t's'reXÉöß12²½İ.,!|<>　中😀́\x1c'll") for _ in range(r.randint(0, 40))) for _ in range(3000)]
-    texts += ["".join(r.choice("ab  \n\n\t'sreXÉöß12.,!|<>'ll×") for _ in range(r.randint(0, 60))) for _ in range(3000)] + ["<|endoftext|>", ""]
+    texts += ["".join(r.choice("ab  \n\n\t'sreXSTÉöß12.,!|<>'ll×'S'RE") for _ in range(r.randint(0, 60))) for _ in range(3000)] + ["<|endoftext|>", ""]
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
     flat, sizes = encoding.BatchEncoder(path).encode(texts)
@@ -108,13 +108,33 @@ def test_packing_has_little_padding(spark, sf):
     assert sum(r.n for r in rows) > 0.97 * 2048 * len(rows)
 
 
-def test_cut_and_first_fit():
-    sizes = np.array([0, 1, 63, 64, 2047, 2048, 5000])
-    text, start, length = packing.cut(sizes.copy(), 2048, packing.class_lengths())
-    for i, n in enumerate(sizes):
-        own = sorted((s, x) for t, s, x in zip(text, start, length, strict=True) if t == i)
-        assert [s for s, _ in own] == np.cumsum([0, *[x for _, x in own]])[:-1].tolist() and sum(x for _, x in own) == n
-    assert packing.first_fit([(1, 5), (2, 6), (3, 4)], 10) == [(2, 0, 0), (1, 1, 0), (3, 0, 6)]
+def test_bins_of_a_worker():
+    r = random.Random(3)
+    w, sizes = packing.Worker(100, 8, 4), [r.choice([1, 3, 7, 20, 33, 34, 50, 51, 99, 100, 260]) for _ in range(900)]
+    pieces = [w.add(n) for n in sizes]
+    assert [sum(p) for p in pieces] == sizes
+    flat = [n for p in pieces for n in p]
+    # what isn't placed yet stands in open bins, fewer pieces than close one
+    rest = w.rest()
+    assert sorted([*w.placed, *(p for p, _ in rest)]) == list(range(len(flat))) and len(rest) <= sum(range(1, 8))
+    ends = collections.defaultdict(list)
+    for p, (b, at) in w.placed.items():
+        ends[b].append((at, flat[p]))
+    assert sorted(ends) == list(range(w.bins))
+    waiting = {b for b, _, _ in w.gaps}
+    for b, own in ends.items():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert 100 - 4 < at <= 100 or b in waiting
+    assert packing.best_fit([5, 0, 6, 4], 10) == [(1, 0), (0, 0), (0, 0), (0, 6)]
+
+
+def test_packing_keeps_texts_whole(spark, sf):
+    """Only as much is cut as closed bins have room for."""
+    rows = packing.op1_query(spark.read.parquet(f"{sf}/documents.parquet"), WORD).filter("doc_tokens <= 2048").groupBy("doc_id").agg(F.count("*").alias("n")).collect()
+    assert sum(r.n > 1 for r in rows) < 0.5 * len(rows)
 
 
 def test_token_files_round_trip(spark, odd, empty, tmp_path):
@@ -144,7 +164,7 @@ def brute_top(rows, every, k):
     for q in (i for i in valid if i % every == 0):
         found = []
         for qv in {tuple(x) for x in valid[q]}:
-            found += [(-sum(a * b for a, b in zip(qv, v, strict=False)), i) for i, vs in valid.items() if i != q for v in {tuple(x) for x in vs}]
+            found += [(-sum(a * b for a, b in zip(qv, v, strict=False)), i) for i, vs in valid.items() if i != q for v in vs]
         out[q] = [(r + 1, i, -s) for r, (s, i) in enumerate(sorted(found)[:k])]
     return out
 
@@ -164,6 +184,7 @@ def test_top_k_brute(spark):
 
 def test_top_k_of_rows_repeated_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "BLOCK", 3)
+    monkeypatch.setattr(topk_search, "CHUNK_BYTES", 100)
     r = random.Random(6)
     rows = [(i, [r.gauss(0, 0.3) for _ in range(4)]) for i in range(12)]
     rows += [(0, [1.0] * 4), (20, [2.0] * 4), (21, [2.0, 2.0])] + [(20, [2.0] * 4)] * 7
@@ -242,6 +263,23 @@ def test_cross_parsing_counts():
         assert n == brute_phrases(sample, t) and size == len(t)
 
 
+@pytest.mark.parametrize("segment", [1, 2, 7, 64])
+def test_phrases_run_across_segments(monkeypatch, segment):
+    monkeypatch.setattr(language_id, "SEGMENT", segment)
+    monkeypatch.setattr(language_id, "SYMBOLS", 3)
+    r = random.Random(segment)
+    samples = ["".join(r.choice("abc日 ") for _ in range(n)).replace("  ", " ") for n in (500, 40)]
+    p = language_id.Parser({"x": samples[:1], "y": samples[1:]}, ["x", "y"])
+    texts = ["".join(r.choice("abc日d") for _ in range(r.randint(0, 300))) for _ in range(60)] + [samples[0][100:400].strip()]
+    found, sizes, letters = p.phrases(texts)
+    for t, n, size in zip(texts, found.tolist(), sizes, strict=True):
+        assert n == [brute_phrases(x, " ".join(t.split())) for x in samples] if "  " not in t else True
+    # the winner: the fewest phrases, of equals the first; the score: how far it is below the next
+    lang, score = p.predict(texts)
+    for n, x, s, ok in zip(found.tolist(), lang, score, letters, strict=True):
+        assert (x, round(s, 9)) == ((["x", "y"][n[1] < n[0]], round(1 - min(n) / max(n), 9)) if ok else ("und", 0.0))
+
+
 def test_languages_of_many_scripts():
     r = random.Random(2)
     # languages of one script differ in which letters follow each other, not in lengths
@@ -443,8 +481,53 @@ def test_found_identifiers_support_contexts(spark):
     found = [f"k9x7q2m4z{i:02d}" for i in range(40)]
     rows = [("mail", f"user{i}@host.example.org", True) for i in range(600)] + [("mail", v, False) for v in found]
     rows += [("key", v, False) for v in [*found, "q1w2e3r4t5"]] + [("lot", v, False) for v in found[:4]]
-    graph = spark.createDataFrame(rows, "context string, value string, base boolean")
-    assert {r.context for r in pii.sure_contexts(graph).collect()} == {"mail", "key"}
+    graph = spark.createDataFrame(rows, "pattern string, value string, seed boolean")
+    assert {r.pattern for r in pii.sure_patterns(graph).collect()} == {"mail", "key"} == brute_sure(rows)
+
+
+def brute_sure(rows, bad=frozenset()):
+    """Patterns that are sure after the rounds, by loops over sets."""
+    seed = {v for _, v, y in rows if y}
+    score, held = {v: float(v in seed) for _, v, _ in rows}, set(seed)
+    for _ in range(pii.ROUNDS):
+        of = collections.defaultdict(set)
+        for p, v, _ in rows:
+            of[p].add(v)
+        worth = {p: sum(score[v] for v in vs) / (len(vs) + pii.SMOOTHING) for p, vs in of.items()}
+        sure = {p for p, vs in of.items() if worth[p] >= pii.SURE and len(vs & held) >= pii.SUPPORT}
+        for v in score:
+            if v not in seed and v not in bad:
+                score[v] = pii.DECAY * max(worth[p] for p, vs in of.items() if v in vs)
+                if any(v in of[p] for p in sure):
+                    held.add(v)
+    return sure
+
+
+def test_scores_of_random_graphs(spark):
+    r = random.Random(11)
+    for _ in range(3):
+        seeds = {f"v{i}" for i in range(120) if r.random() < 0.6}
+        bad = {f"v{i}" for i in range(120) if f"v{i}" not in seeds and r.random() < 0.2}
+        rows = sorted({(f"p{(p := r.randrange(25))}", f"v{r.randrange(5 * p % 90, 5 * p % 90 + 30)}") for _ in range(700)})
+        rows = [(p, v, v in seeds) for p, v in rows if v not in bad or r.random() < 0.3]
+        graph = spark.createDataFrame([(p, v, y, v in bad) for p, v, y in rows], "pattern string, value string, seed boolean, bad boolean")
+        assert {x.pattern for x in pii.sure_patterns(graph).collect()} == brute_sure(rows, bad)
+
+
+def test_secrets_and_what_resembles_them(spark):
+    r = random.Random(12)
+    secret = lambda: "".join(r.choice("0123456789abcdef") for _ in range(39)) + "7a"
+    texts = [f'one two token = "{secret()}" three' for _ in range(30)] + [f'a cookie = "{secret()}" b' for _ in range(3)]
+    texts += [f"the {9_000_000_000_000_000 + 10 * i} word" for i in range(9)] + ["version = 2024-01-01 x", 'name = "chapter12" y', "see k9x7q2m4z1 there"]
+    got = {x.doc_id: x for x in pii.op5_query(docs_of(spark, list(enumerate(texts)))).collect()}
+    assert [got[i].n_id for i in range(len(texts))] == [1] * 33 + [0] * 12 and all(x.n_spans == x.n_id + x.n_card for x in got.values())
+    assert got[0].spans == f"id:{texts[0].index(chr(34)) + 1}:{texts[0].rindex(chr(34))}"
+
+
+def test_patterns():
+    assert pii.patterns('my Token =  "ab12-cd34ef" x', 13, 24) == (['w\ttoken\t = "\t"', 's\t = "\th4-h6\t"'], True)
+    assert pii.context("x" * 100 + " " * 50 + "1", 150) == ("x" * 100, " ") and pii.context("word\n1a2b", 5) is None is pii.context("1a2b", 0)
+    assert [pii.shape(x) for x in ("12ab", "1234_abcd", "xy9z", "DEAD12")] == ["h4", "d4-h4", "a4", "h6"]
 
 
 def test_identifiers_of_any_length():
@@ -522,16 +605,14 @@ def brute_licenses(rows):
         for p, label in license_scan.PHRASES:
             p = p.split()
             places += [(k, label) for k in range(len(w) - len(p) + 1) if w[k : k + len(p)] == p]
-        for line in (t or "").split("\n"):
-            lw = norm_words(line)
-            for a in range(0, len(lw), license_scan.BLOCK_WORDS // 2):
-                if a and len(lw) - a <= license_scan.BLOCK_WORDS // 2:
-                    continue
-                b = set(lw[a : a + license_scan.BLOCK_WORDS])
-                for s, label in sets:
-                    if len(s & b) >= license_scan._needed(len(s), license_scan.THRESHOLD):
-                        found.add(label)
-                        best = max(best, len(s & b) / len(s))
+        for a in range(0, len(w), license_scan.BLOCK_WORDS // 2):
+            if a and len(w) - a <= license_scan.BLOCK_WORDS // 2:
+                continue
+            b = set(w[a : a + license_scan.BLOCK_WORDS])
+            for s, label in sets:
+                if len(s & b) >= license_scan._needed(len(s), license_scan.THRESHOLD):
+                    found.add(label)
+                    best = max(best, len(s & b) / len(s))
         base = {x for _, x in places}
         at = [k for k, _ in places]
         out.append((i, len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | found)), 1.0 if places else best))
@@ -554,6 +635,19 @@ def test_licenses_brute(spark, odd, empty):
     assert license_scan.op10_query(empty).count() == 0
 
 
+def test_wrapped_notices(spark):
+    notices = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\")",
+        "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:",
+        "gpl": " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published",
+    }
+    before = " ".join(f"word{i}" for i in range(45))
+    rows = [(i, f"{before}\n{notice}\n{before}") for i, notice in enumerate(notices.values())]
+    got = {r.doc_id: r for r in license_scan.op10_query(docs_of(spark, rows)).collect()}
+    assert [got[i].labels for i in range(3)] == list(notices) and all(r.score == 1.0 and r.n_base == 0 for r in got.values())
+    assert all(len(t.split()) <= license_scan.BLOCK_WORDS // 2 for t, _ in license_scan.TEMPLATES)
+
+
 # --- pages -------------------------------------------------------------------------------------------------------
 
 
@@ -566,6 +660,38 @@ def test_blocks_of_a_page():
         html_text.blocks(odd)
 
 
+def test_long_malformed_pages_take_linear_time():
+    import time
+
+    n = 250_000
+    for page in ('<a "' * n, "<a '\"" * n, "<a" * n, "<a b=\"" * n + ">", "<svg><title>" * (n // 3), "</p>" * n, "<div>x" * (n // 5) + "</i>" * (n // 5), "<!--" * n, "<li>x" * (n // 5)):
+        began = time.process_time()
+        html_text.blocks(page)
+        assert time.process_time() - began < 5, page[:20]
+    # beyond the depth that browsers nest, texts stay
+    assert len(html_text.blocks("<div>x" * 2000)) == 2000
+
+
+def test_tags_end_as_the_pattern_says():
+    pattern, r = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"), random.Random(5)
+    for _ in range(3000):
+        page = "".join(r.choice("ab=\"'> <") for _ in range(r.randint(0, 30)))
+        tags = html_text._Tags(page)
+        for at in sorted(r.sample(range(len(page) + 1), min(3, len(page)))):
+            m = pattern.match(page, at)
+            assert tags.end(at) == (m.end() - 1 if m else -1), (page, at)
+
+
+def test_main_text_odd(spark):
+    schema = "page_id long, url string, html string, text string, n_chars long, row long"
+    assert html_text.op9_query(spark.createDataFrame([], schema)).count() == 0
+    body = "<article><h1>Head</h1><p>A long sentence of the article stands here, and it goes on for a while.</p></article><footer>&copy; x</footer>"
+    rows = [(1, "u", body, "t", 5, 9), (1, "u", body, "t", 5, 9), (None, None, body, None, None, None), (2, "u", None, "x", 1, 1), (3, "u", "<p>" * 3000 + "x", "", 0, 0)]
+    got = html_text.op9_query(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 5 and got[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+    assert len({r.text for r in got if r.page_id in (1, None)}) == 1 and [r.text for r in got if r.page_id == 2] == [""]
+
+
 def test_embedded_elements():
     texts = lambda page: [b.text for b in html_text.blocks(page)]
     for tag in ("svg", "math", "object"):
