@@ -52,14 +52,36 @@ def worst_residuals(pages: DataFrame, n: int = 5) -> DataFrame:
     return pages.filter("residual > 0").select("url", F.col("residual").alias("chars")).orderBy(F.desc("chars"), "url").limit(n)
 
 
+#: Snippets whose anchors are sent as a literal set.
+MAX_ANCHORS = 5000
+
+
 def containment(texts: DataFrame, snippets: DataFrame) -> DataFrame:
     """snippets (id, snippet) with ``found``: whether any text holds it, case and white space aside.
 
-    The snippets are the small side, and broadcast only as far as Spark's own size limit lets them.
+    A text that holds a snippet of three words or more has each word between its first and last as a word of its own:
+    the longest of these is the snippet's anchor, and texts meet snippets by equi-join on anchors before they are
+    compared. Shorter snippets, and all where there are more than ``MAX_ANCHORS`` of them, are compared with every text;
+    they are the small side, and broadcast only as far as Spark's own size limit lets them.
     """
     s = snippets.filter(F.trim("snippet") != "").withColumn("_s", normalised(F.col("snippet")))
     t = texts.select(normalised(F.col("text")).alias("_t"))
-    held = t.join(s.select("id", "_s"), F.contains(F.col("_t"), F.col("_s"))).select("id").distinct().withColumn("found", F.lit(True))
+    parts = F.split("_s", " ")
+    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+    anchor = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    sides = s.select("id", "_s", anchor.alias("_a"))
+    anchors = [r[0] for r in sides.filter("_a is not null").select("_a").distinct().limit(MAX_ANCHORS + 1).collect()]
+    few = len(anchors) <= MAX_ANCHORS
+    if anchors and few:
+        own = t.withColumn("_a", F.explode(F.array_intersect(F.split("_t", " "), F.array(*[F.lit(a) for a in anchors]))))
+        met = own.join(sides, "_a").filter(F.contains(F.col("_t"), F.col("_s"))).select("id")
+        rest = sides.filter("_a is null")
+    else:
+        met, rest = None, sides
+    if met is None or not rest.isEmpty():
+        other = t.join(rest.select("id", "_s"), F.contains(F.col("_t"), F.col("_s"))).select("id")
+        met = other if met is None else met.unionByName(other)
+    held = met.distinct().withColumn("found", F.lit(True))
     return s.drop("_s").join(held, "id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import guards, html, text, url
 from ..functions.options import Options
 from ..operators import assemble, dedup, incremental, metrics, pages
+from ..scratch import materialise
 
 
 @dataclasses.dataclass
@@ -33,15 +34,17 @@ def run(fetched: DataFrame, base: str, options: Options, generated_at: str, rest
     f = f.withColumn("x", html.markdown_of(F.col("html"), F.col("url")))
     f = f.withColumn("title", F.col("x.title")).withColumn("markdown", F.col("x.markdown")).drop("x")
     f = f.withColumn("signal", guards.challenge_signal(F.col("status"), F.col("mitigated"), F.col("html"), text.content_word_len(F.col("markdown"))))
-    f = pages.without_error_pages(f.filter("signal is null"))
-    links = f.select("scan_id", F.col("seq").alias("page_id"), F.col("url").alias("src"), F.explode(html.static_hrefs(F.col("html"))).alias("href"))
+    f = f.filter("signal is null").withColumn("hrefs", html.static_hrefs(F.col("html"))).drop("html", "signal")
+    # pages are parsed once: what follows reads what was made of them
+    f = pages.without_error_pages(materialise(f, "extracted"))
+    links = f.select("scan_id", F.col("seq").alias("page_id"), F.col("url").alias("src"), F.explode("hrefs").alias("href"))
     links = links.withColumn("dst", url.normalize_url(F.col("href"), F.col("src"))).filter(F.col("dst").isNotNull())
     body = f.filter("kept and trim(markdown) <> ''").select("scan_id", "seq", "task", "url", "title", "markdown", "fetched_at")
     if restored is not None:
         old, _ = dedup.replayed(restored)
         old = old.select("scan_id", "seq", "page.task", "page.url", "page.title", "page.markdown", F.col("page.meta.fetchedAt").alias("fetched_at"))
         body = old.unionByName(body)
-    marked = dedup.fingerprinted(body)
+    marked = materialise(dedup.fingerprinted(body), "marked")
     fates = dedup.tiers(marked, options.mirror_hamming, options.near_dup_hamming, options.max_pages)
     kept = marked.join(fates.filter("fate = 'keep'"), ["scan_id", "seq"], "left_semi")
     # a duplicate's links aren't followed
