@@ -1,8 +1,8 @@
 """Exact top-k search by inner product over a bit-sliced index.
 
-Components are quantised to integers, floor(scale * x). Rows are dealt out by
-ranges of vec_id into blocks of up to ``BLOCK``; a block's index has, for each
-component, one bitmap for each bit (two's complement, the last one the sign).
+Components are quantised to integers, floor(scale * x). Rows are dealt once, into blocks
+of about ``BLOCK``; a block's index has, for each component, one
+bitmap for each bit (two's complement, the last one the sign), and is written once.
 A query's scores over a block are formed by bitmap arithmetic: its components
 pick multiples of the attributes' slices, which are added with carries, many
 queries side by side. The best rows are then selected from the most significant
@@ -11,15 +11,16 @@ wanted, the others are out; else these are in and the search goes on among the
 others. Rows that tie at the boundary are resolved by vec_id, and the scores of
 the selected are computed exactly from the integers.
 
-Queries are dealt into blocks too, and each pair of blocks is one step; a step
-keeps k rows for each query, of which the best k over all blocks remain.
+Queries are broadcast in chunks of ``CHUNK_BYTES``; for each chunk every task goes
+through its blocks and keeps the best k rows of each query, of which the best k of
+all tasks remain. Neither blocks nor their rows are shuffled.
 
 Defined cases: rows whose vec_id or vector is null, or whose vector holds null
 or non-finite components, take no part; vectors of fewer components count as
-having zeros there (an empty vector has no component); equal rows of one vec_id
-count once; a query never meets rows of its own vec_id; ties go to the smaller
-vec_id; an empty table gives no rows; other columns are ignored. Scores are
-64-bit integers.
+having zeros there (an empty vector has no component); repeated rows are rows of
+their own among the candidates, but equal rows ask once; a query never meets rows
+of its own vec_id; ties go to the smaller vec_id; an empty table gives no rows;
+other columns are ignored. Scores are 64-bit integers.
 """
 
 from __future__ import annotations
@@ -33,12 +34,13 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SCALE = 256
-BLOCK = 4096
-QUERY_BLOCK = 512
+BLOCK = 8192
 #: Queries that go through the slices side by side.
-SIDE = 16
-#: Query blocks are broadcast up to so many bytes in all.
-MAX_BROADCAST = 64 << 20
+SIDE = 64
+#: Bytes of queries that are broadcast at once.
+CHUNK_BYTES = 32 << 20
+#: Tasks that write the index; each has as many blocks as its rows fill.
+MOST_TASKS = 10_000
 _DIGIT = 7
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -59,36 +61,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return out
 
 
+_BLOCK = "n int, dims int, ids binary, vals binary, bits binary, slices binary"
+
+
 def _blocks(size: int):
-    """Sorted rows to blocks: (part, nth, n, dims, ids, values)."""
+    """Rows to blocks: their ids and integers, the number of slices of each component, and the slices."""
+    names = [x.split()[0] for x in _BLOCK.split(", ")]
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part, nth = TaskContext.get().partitionId(), 0
         ids, vecs, n = [], [], 0
 
         def block():
             dims = max(v.shape[1] for v in vecs)
-            m = np.concatenate([np.pad(v, ((0, 0), (0, dims - v.shape[1]))) for v in vecs])
-            i = np.concatenate(ids)
-            row = {"part": [part], "nth": [nth], "n": [len(i)], "dims": [dims], "ids": [i.astype("<i8").tobytes()], "vals": [m.astype("<i8").tobytes()]}
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("n", pa.int32()), ("dims", pa.int32()), ("ids", pa.binary()), ("vals", pa.binary())]))
+            i, m = np.concatenate(ids), np.concatenate([np.pad(v, ((0, 0), (0, dims - v.shape[1]))) for v in vecs])
+            order = np.argsort(i, kind="stable")  # ties go to the smaller id
+            i, m = i[order], m[order]
+            made = [slices(m[:, d]) for d in range(dims)]
+            row = [len(i), dims, i.astype("<i8").tobytes(), m.astype("<i8").tobytes()]
+            row += [np.array([len(x) for x in made], "<i4").tobytes(), b"".join(x.tobytes() for x in made)]
+            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
 
-        last: tuple[np.int64, np.ndarray] | None = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            i, m = b.column(0).to_numpy(), _matrix(b.column(1))
-            new = np.ones(len(i), bool)  # equal rows of one id stand together, also where a batch or a block ends
-            new[1:] = (i[1:] != i[:-1]) | (m[1:] != m[:-1]).any(axis=1)
-            if last and last[0] == i[0]:
-                x, y = last[1], m[0]
-                dims = max(len(x), len(y))
-                new[0] = (np.pad(x, (0, dims - len(x))) != np.pad(y, (0, dims - len(y)))).any()
-            last = (i[-1], m[-1].copy())
-            i, m = i[new], m[new]
-            at = 0
+            i, m, at = b.column(0).to_numpy(), _matrix(b.column(1)), 0
             while at < len(i):
                 take = min(size - n, len(i) - at)
                 ids.append(i[at : at + take])
@@ -96,16 +91,13 @@ def _blocks(size: int):
                 n, at = n + take, at + take
                 if n == size:
                     yield block()
-                    ids, vecs, n, nth = [], [], 0, nth + 1
+                    ids, vecs, n = [], [], 0
         if n:
             yield block()
 
     return run
 
 
-_BLOCK = "part int, nth int, n int, dims int, ids binary, vals binary"
-
-
 def slices(column: np.ndarray) -> np.ndarray:
     """[bit, word]: bitmaps of the integers' two's complement, as few as hold them all; the last one is the sign."""
     top = int(max(column.max(initial=0), -column.min(initial=0) - 1, 0))
@@ -126,13 +118,23 @@ def _add(a: np.ndarray, b: np.ndarray, carry: np.ndarray, low: int = 0) -> None:
         carry = both | (t & carry)
 
 
+def _stored(row: dict) -> SlicedBlock:
+    """The block that a row of the index holds."""
+    ids, values = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vals"], "<i8").reshape(row["n"], row["dims"])
+    bits, words, base, at = np.frombuffer(row["bits"], "<i4"), -(-row["n"] // 64), [], 0
+    flat = np.frombuffer(row["slices"], np.uint64)
+    for n in bits.tolist():
+        base.append(flat[at : at + n * words].reshape(n, words))
+        at += n * words
+    return SlicedBlock(ids, values, base)
+
+
 class SlicedBlock:
-    """The index of one block: slices of each component, and on demand their multiples."""
+    """The index of one block: slices of each component, as they were written, and on demand their multiples."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
-        self.ids, self.values = ids, values
+    def __init__(self, ids: np.ndarray, values: np.ndarray, base: list[np.ndarray]):
+        self.ids, self.values, self.base = ids, values, base
         self.words = -(-len(ids) // 64)
-        self.base = [slices(values[:, d]) for d in range(values.shape[1])]
         self.peak = np.abs(values).max(axis=0, initial=0)
         self.valid = slices(np.full(len(ids), 1))[0] if len(ids) else np.zeros(0, np.uint64)
 
@@ -202,42 +204,56 @@ class SlicedBlock:
                 yield lo + i, np.concatenate((best, ties))
 
 
+def _search(shared, k: int):
+    """Blocks of the index to the best k rows of each query among all blocks of a task."""
+
+    def run(batches):
+        qids, qvals = shared.value
+        best = [[] for _ in qids]  # (-score, id) of each query
+        some = False
+        for b in batches:
+            for r in b.to_pylist():
+                block = _stored(r)
+                d = min(r["dims"], qvals.shape[1])
+                some = True
+                for i, at in block.top(qids, qvals, k):
+                    scores = block.values[at, :d] @ qvals[i, :d]
+                    best[i] = sorted([*best[i], *zip((-scores).tolist(), block.ids[at].tolist(), strict=True)])[:k]
+        if some:
+            rows = [(int(q), i, -s) for q, own in zip(qids, best, strict=True) for s, i in own]
+            for lo in range(0, len(rows), 20_000):
+                q, i, s = zip(*rows[lo : lo + 20_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (q, i, s)], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
 def top_k(
     vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows for each row whose id is divisible by ``every``."""
+    spark = vectors.sparkSession
     v = quantised(vectors, id_col, vector_col, scale)
-    own = v.filter(F.col("vec_id") % every == 0).distinct()
-    # as few blocks as hold all rows, however many partitions the rows come in
-    n_rows, n_own = (max(1, -(-x.count() // size)) for x, size in ((v, BLOCK), (own, QUERY_BLOCK)))
-    ranged = v.repartitionByRange("vec_id").coalesce(n_rows).sortWithinPartitions("vec_id", "v")
-    index = materialise(ranged.mapInArrow(_blocks(BLOCK), _BLOCK), "sliced")
-    asked = materialise(own.coalesce(n_own).mapInArrow(_blocks(QUERY_BLOCK), _BLOCK), "queries")
-    size, n_b = asked.agg(F.sum(F.length("vals") + F.length("ids"))).first()[0], index.count()
-    # blocks of queries are numbered by prefix sums of the tasks' counts
-    parts = asked.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()
-    n_q = sum(r["n"] for r in parts)
-    bases = [(r["part"], sum(x["n"] for x in parts[:i])) for i, r in enumerate(parts)]
-    base = vectors.sparkSession.createDataFrame(bases, "part int, base int")
-    q = asked.join(F.broadcast(base), "part").select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "vals", "n", "dims")], (F.col("base") + F.col("nth")).alias("q"))
-    # each block of rows meets each block of queries once
-    met = index.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)) if n_q else F.array().cast("array<int>")))
-    met = met.join(F.broadcast(q) if (size or 0) <= MAX_BROADCAST else q, "q")
-    met = met.repartition(max(1, min(n_q * n_b, 5000)))
-
-    def search(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                ids, vals = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vals"], "<i8").reshape(r["n"], r["dims"])
-                qids, qvals = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_vals"], "<i8").reshape(r["q_n"], r["q_dims"])
-                d = min(r["dims"], r["q_dims"])
-                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for i, at in SlicedBlock(ids, vals).top(qids, qvals, k):
-                    out.append((np.full(len(at), qids[i]), ids[at], vals[at, :d] @ qvals[i, :d]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
-
-    found = met.select("ids", "vals", "n", "dims", "q_ids", "q_vals", "q_n", "q_dims").mapInArrow(search, "query_id long, vec_id long, score long")
+    # as few blocks as hold all rows, dealt over tasks once
+    n_blocks = max(1, -(-v.count() // BLOCK))
+    index = materialise(v.repartition(min(n_blocks, MOST_TASKS)).mapInArrow(_blocks(BLOCK + BLOCK // 8), _BLOCK), "sliced")
+    asked = materialise(v.filter(F.col("vec_id") % every == 0).distinct(), "queries")
+    total = asked.agg(F.sum(8 * F.size("v") + 16)).first()[0]
+    n_chunks = max(1, -(-(total or 0) // CHUNK_BYTES))
+    chunk = F.pmod(F.xxhash64("vec_id"), F.lit(n_chunks))
+    found = None
+    for c in range(n_chunks):
+        queries = asked.filter(chunk == c).select("vec_id", "v").toArrow().combine_chunks()
+        if not queries.num_rows:
+            continue
+        qids = queries.column(0).to_numpy()
+        qvals = _matrix(queries.column(1).combine_chunks() if isinstance(queries.column(1), pa.ChunkedArray) else queries.column(1))
+        shared = spark.sparkContext.broadcast((qids, qvals))
+        part = materialise(index.mapInArrow(_search(shared, k), "query_id long, vec_id long, score long"), "found")
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
