@@ -152,8 +152,11 @@ def mask_digits(c: Column) -> Column:
 
 
 def first_json(reply: Column, schema: str) -> Column:
-    """The first JSON object or array in a model's reply; null if it has none that parses."""
-    return F.from_json(F.regexp_extract(text_of(reply), r"(?s)(\{.*\}|\[.*\])", 1), schema)
+    """The first JSON object or array in a model's reply, of a fenced part before all else; null if none parses."""
+    value = r"(?s)(\{.*\}|\[.*\])"
+    fenced = F.regexp_extract(text_of(reply), r"(?is)```(?:json)?\s*(.*?)```", 1)
+    of = lambda c: F.from_json(F.regexp_extract(c, value, 1), schema)
+    return F.coalesce(of(fenced), of(text_of(reply)))
 
 
 def state_fingerprint(sizes: Column, signatures: Column, text: Column) -> Column:

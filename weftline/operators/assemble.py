@@ -87,12 +87,14 @@ def assemble_documents(pages: DataFrame) -> DataFrame:
     def number(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("seq")
         used: set[str] = set()
+        following: dict[str, int] = {}  # of each base the number that is tried next
         ids = []
         for i, base in enumerate(g["_base"]):
             base = base or f"page-{i + 1}"
-            own, n = base, 2
+            own, n = base, following.get(base, 2)
             while own in used:
                 own, n = f"{base}-{n}", n + 1
+            following[base] = n
             used.add(own)
             ids.append(own)
         return pd.DataFrame({"scan_id": g["scan_id"], "seq": g["seq"], "id": ids})
@@ -149,5 +151,13 @@ def produced_files(reply: str) -> list[tuple[str, str]]:
 def is_document_worthy(text: Column) -> Column:
     """A table, two headings or five list items make a reply a document."""
     t = F.coalesce(text, F.lit(""))
-    table = t.rlike(r"(?m)^\s*\|.*\|\s*\n\s*\|?[\s:|-]*-{2,}")
-    return table | (F.regexp_count(t, F.lit(r"(?m)^#{1,6}\s")) >= 2) | (F.regexp_count(t, F.lit(r"(?m)^\s*[-*+]\s")) >= 5)
+    table = t.rlike(r"(?m)^[^\n]*\|[^\n]*\n(?=[^\n]*-)\s*\|?[\s:|-]+\|?\s*$")
+    return table | (F.regexp_count(t, F.lit(r"(?m)^#{1,6}\s+\S")) >= 2) | (F.regexp_count(t, F.lit(r"(?m)^\s*([-*+]|\d+\.)\s+\S")) >= 5)
+
+
+def document_name(instruction: Column, reply: Column) -> Column:
+    """The file name of a reply that is a document: its first heading, else what was asked."""
+    head = F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?m)^#{1,6}\s+(.+?)\s*$", 1)
+    named = F.when(head != "", head).otherwise(F.coalesce(instruction, F.lit("answer")))
+    short = F.substring(F.trim(F.regexp_replace(named, r"[*_`#|]", "")), 1, 60)
+    return F.concat(F.when(short == "", "answer").otherwise(short), F.lit(".md"))

@@ -108,8 +108,8 @@ def tiers(
     return judged.unionByName(later).withColumnsRenamed({"scan": scan, "seq": seq})
 
 
-def near_pairs(pages: DataFrame, most: int = REEMITTED, id_col: str = "id", fingerprint: str = "fingerprint") -> DataFrame:
-    """(a, b, distance): the links of pages whose fingerprints differ in ``most`` bits at most.
+def near_pairs(pages: DataFrame, most: int = REEMITTED, id_col: str = "id", fingerprint: str = "fingerprint", within: str | None = None) -> DataFrame:
+    """(a, b, distance), after ``within`` if only pages of one value of that column are compared: the links of pages whose fingerprints differ in ``most`` bits at most.
 
     Pages of one fingerprint (such as all that have no tokens) are a class, known by its smallest id. Rows are the
     pairs of classes, and each class's smallest id with its other members (distance 0): no link is lost, and copies
@@ -119,19 +119,20 @@ def near_pairs(pages: DataFrame, most: int = REEMITTED, id_col: str = "id", fing
     r = 3 if most <= 4 else 2 if most <= 10 else 1
     n = min(64, most + r)
     ends = [64 * k // n for k in range(n + 1)]
-    p = materialise(pages.select(F.col(id_col).alias("id"), F.col(fingerprint).alias("fp")).filter(F.col("fp").isNotNull()), "prints")
-    classes = p.groupBy("fp").agg(F.min("id").alias("rep"))
+    own = [within] if within else []
+    p = materialise(pages.select(*own, F.col(id_col).alias("id"), F.col(fingerprint).alias("fp")).filter(F.col("fp").isNotNull()), "prints")
+    classes = p.groupBy(*own, "fp").agg(F.min("id").alias("rep"))
 
     def mask(blocks: tuple[int, ...]) -> int:
         bits = sum(((1 << (ends[k + 1] - ends[k])) - 1) << ends[k] for k in blocks)
         return bits - (1 << 64) if bits >> 63 else bits
 
     keys = [F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(mask(c))).alias("bits")) for i, c in enumerate(combinations(range(n), min(r, n)))]
-    met = classes.select("fp", "rep", F.explode(F.array(*keys)).alias("at")).select("fp", "rep", "at.*")
+    met = classes.select(*own, "fp", "rep", F.explode(F.array(*keys)).alias("at")).select(*own, "fp", "rep", "at.*")
     x, y = (met.withColumnsRenamed({"fp": f"f{c}", "rep": f"r{c}"}) for c in "xy")
-    met = x.join(y, ["table", "bits"]).filter("fx < fy").withColumn("distance", hamming(F.col("fx"), F.col("fy"))).filter(F.col("distance") <= most)
-    apart = met.select(F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b"), "distance").distinct()
-    same = p.join(classes, "fp").filter("id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
+    met = x.join(y, [*own, "table", "bits"]).filter("fx < fy").withColumn("distance", hamming(F.col("fx"), F.col("fy"))).filter(F.col("distance") <= most)
+    apart = met.select(*own, F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b"), "distance").distinct()
+    same = p.join(classes, [*own, "fp"]).filter("id > rep").select(*own, F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
     return apart.unionByName(same)
 
 
@@ -149,35 +150,36 @@ def replayed(journal: DataFrame, scan: str = "scan_id", seq: str = "seq") -> tup
     return pages, seeds
 
 
-def not_reemitted(produced: DataFrame, earlier: DataFrame, most: int = REEMITTED) -> DataFrame:
-    """Rows of produced (id, fingerprint) that no earlier output, and none kept before them, comes near.
+def not_reemitted(produced: DataFrame, earlier: DataFrame, most: int = REEMITTED, within: str | None = None) -> DataFrame:
+    """Rows of produced (id, fingerprint) that no earlier output, and none kept before them, comes near; ``within``
+    names a column of both, of which only rows of one value are compared.
 
-    Near ones meet by the joins of ``near_pairs``. Among new outputs it goes by rounds: one without a nearer-to-the-first
-    neighbour still open stays and takes out its later neighbours, until none is open. Of equal fingerprints the
-    smallest id stands for all.
+    Near ones meet by the joins of ``near_pairs``. Among new outputs it goes by rounds: one before which no neighbour is
+    open any more stays, and its later neighbours go, until none is open. Of equal fingerprints the smallest id stands
+    for all.
     """
-    new = produced.groupBy("fingerprint").agg(F.min("id").alias("id"))
-    new = new.join(earlier.select("fingerprint").distinct(), "fingerprint", "left_anti")
-    ids = new.select(F.col("id").alias("key"), "fingerprint", F.lit(True).alias("new"))
-    old = earlier.select("fingerprint").distinct().select(F.lit(None).cast(dict(produced.dtypes)["id"]).alias("key"), "fingerprint", F.lit(False).alias("new"))
-    nodes = materialise(ids.unionByName(old), "outputs")
-    pairs = near_pairs(nodes, most, "fingerprint").select("a", "b")  # fingerprints name themselves
-    a, b = (nodes.select(F.col("fingerprint").alias(c), F.col("key").alias(f"key_{c}"), F.col("new").alias(f"new_{c}")) for c in "ab")
-    links = materialise(pairs.join(a, "a").join(b, "b"), "links")
-    gone = links.filter("new_a <> new_b").select(F.when(F.col("new_a"), F.col("a")).otherwise(F.col("b")).alias("fingerprint")).distinct()
-    open_ = materialise(nodes.filter("new").select("fingerprint", F.col("key").alias("id")).join(gone, "fingerprint", "left_anti"), "open")
-    before = F.col("key_a") < F.col("key_b")
-    follows = materialise(
-        links.filter("new_a and new_b").select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("first"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("later")),
-        "follows",
+    own = [within] if within else []
+    key = [*own, "fingerprint"]
+    known = earlier.select(*key).distinct()
+    new = produced.groupBy(*key).agg(F.min("id").alias("id")).join(known, key, "left_anti")
+    old = known.withColumn("id", F.lit(None).cast(dict(produced.dtypes)["id"]))
+    nodes = materialise(new.select(*key, "id", F.lit(True).alias("new")).unionByName(old.select(*key, "id", F.lit(False).alias("new"))), "outputs")
+    pairs = near_pairs(nodes, most, "fingerprint", within=within).drop("distance")  # fingerprints name themselves
+    a, b = (nodes.select(*own, F.col("fingerprint").alias(c), F.col("id").alias(f"id_{c}"), F.col("new").alias(f"new_{c}")) for c in "ab")
+    links = materialise(pairs.join(a, [*own, "a"]).join(b, [*own, "b"]), "links")
+    gone = links.filter("new_a <> new_b").select(*own, F.when(F.col("new_a"), F.col("a")).otherwise(F.col("b")).alias("fingerprint")).distinct()
+    left = materialise(nodes.filter("new").select(*key, "id").join(gone, key, "left_anti"), "open")
+    first = F.col("id_a") < F.col("id_b")
+    follows = links.filter("new_a and new_b").select(
+        *own, F.when(first, F.col("a")).otherwise(F.col("b")).alias("first"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("later")
     )
-    kept = open_.limit(0)
-    while not open_.isEmpty():
-        live = open_.select("fingerprint")
-        follows = follows.join(live.withColumnRenamed("fingerprint", "first"), "first", "left_semi").join(live.withColumnRenamed("fingerprint", "later"), "later", "left_semi")
-        follows = materialise(follows.select("first", "later"), "follows")
-        stay = materialise(open_.join(follows.select(F.col("later").alias("fingerprint")).distinct(), "fingerprint", "left_anti"), "stay")
-        out = follows.join(stay.select(F.col("fingerprint").alias("first")), "first", "left_semi").select(F.col("later").alias("fingerprint"))
+    kept = left.limit(0)
+    while not left.isEmpty():
+        for side in ("first", "later"):
+            follows = follows.join(left.select(*own, F.col("fingerprint").alias(side)), [*own, side], "left_semi")
+        follows = materialise(follows.select(*own, "first", "later"), "follows")
+        stay = materialise(left.join(follows.select(*own, F.col("later").alias("fingerprint")).distinct(), key, "left_anti"), "stay")
+        out = follows.join(stay.select(*own, F.col("fingerprint").alias("first")), [*own, "first"], "left_semi")
         kept = kept.unionByName(stay)
-        open_ = materialise(open_.join(stay.select("fingerprint").union(out).distinct(), "fingerprint", "left_anti"), "open")
-    return kept.select("id", "fingerprint")
+        left = materialise(left.join(stay.select(*key).union(out.select(*own, F.col("later").alias("fingerprint"))).distinct(), key, "left_anti"), "open")
+    return kept.select(*own, "id", "fingerprint")

@@ -78,6 +78,20 @@ def run_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("change", change)
 
 
+def run_totals(diff: DataFrame) -> DataFrame:
+    """One row of a ``run_diff``: pages and bytes of both runs, their difference, and pages by change."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    n = lambda change: F.count_if(F.col("change") == change).alias(change)
+    return diff.agg(
+        F.count_if(F.col("change") != "added").alias("pages_before"),
+        F.count_if(F.col("change") != "removed").alias("pages_after"),
+        total("bytes_before").alias("bytes_before"),
+        total("bytes_after").alias("bytes_after"),
+        (total("bytes_after") - total("bytes_before")).alias("bytes_delta"),
+        n("added"), n("removed"), n("changed"),
+    )
+
+
 def baseline_run(runs: DataFrame, targets: list[str]) -> DataFrame:
     """The newest run that is done, incremental, has a journal and the same set of targets. runs: run_id, created_at,
     status, incremental, has_journal, targets (canonical)."""

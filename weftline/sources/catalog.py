@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.url import path_of
+
 STATE = "struct<label:string,provenance:string,order:int,markdown:string>"
 META = (
     "struct<strategy:string,framework:string,fetchedAt:string,bytes:bigint,revealResidualChars:bigint,lastmod:string,"
@@ -56,8 +58,10 @@ def write_run(spark: SparkSession, root: str, run: dict) -> None:
 
 
 def sanitized(options: dict) -> dict:
-    secret = re.compile("key|token|secret|password", re.I)
-    return {k: v for k, v in options.items() if not (secret.search(k) or callable(v) or k.startswith("__"))}
+    """Options as they may be written: without the key of a provider, objects of the running program and functions;
+    patterns by their text."""
+    out = {k: v.pattern if isinstance(v, re.Pattern) else v for k, v in options.items()}
+    return {k: v for k, v in out.items() if not (callable(v) or k in ("apiKey", "api_key", "llm") or k.startswith("__"))}
 
 
 def delete_run(spark: SparkSession, root: str, run_id: str) -> bool:
@@ -65,9 +69,13 @@ def delete_run(spark: SparkSession, root: str, run_id: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def read_targets(text: str, task: str | None = None) -> list[tuple[str, str | None]]:
-    """(url, task) of a JSON list of strings or objects, or of one of them; a byte order mark is skipped."""
-    data = json.loads(text.lstrip("﻿"))
+def read_targets(text: str | None = None, task: str | None = None, urls: list[str] = (), tasks: list[str] = ()) -> list[tuple[str, str | None]]:
+    """(url, task): of a JSON list of strings or objects, or of one of them (a byte order mark is skipped); else of
+    URLs with their tasks, of which one alone is for all."""
+    if text is None:
+        nth = lambda i: tasks[0] if len(tasks) == 1 else tasks[i] if i < len(tasks) else task
+        return [(u, nth(i)) for i, u in enumerate(urls)]
+    data = json.loads(text.lstrip("\ufeff"))
     out = []
     for t in data if isinstance(data, list) else [data]:
         if isinstance(t, str):
@@ -78,8 +86,32 @@ def read_targets(text: str, task: str | None = None) -> list[tuple[str, str | No
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
+    """Golden specs, one a file; a byte order mark is skipped."""
     schema = "name string, url string, task string, expect struct<revealContent:array<string>,mustInclude:array<string>,mustExclude:array<string>,sitemapUrls:array<string>,sitemap:string,sitemapPrefix:string>"
-    return spark.read.schema(schema).json(path, multiLine=True)
+    text = F.regexp_replace("value", "^\ufeff", "")
+    return spark.read.text(path, wholetext=True).select(F.from_json(text, schema).alias("g")).select("g.*")
+
+
+def golden_snippets(golden: DataFrame) -> DataFrame:
+    """(name, kind, id, snippet) that golden specs ask for: what reveals must show, what must and must not be there."""
+    kinds = {"reveal": "revealContent", "include": "mustInclude", "exclude": "mustExclude"}
+
+    def listed(kind: str, column: str) -> Column:
+        return F.transform(F.coalesce(F.col(f"expect.{column}"), F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("snippet")))
+
+    each = F.flatten(F.array(*[listed(k, c) for k, c in kinds.items()]))
+    return golden.select("name", F.posexplode(each).alias("id", "s")).select("name", "s.kind", "id", "s.snippet")
+
+
+def golden_sitemap(golden: DataFrame, collected: DataFrame) -> DataFrame:
+    """(name, url) that a spec's coverage is scored against: the URLs it lists, else those collected (name, url), under
+    its prefix where it names one."""
+    spec = golden.select("name", "expect.sitemapUrls", F.regexp_replace(F.coalesce("expect.sitemapPrefix", F.lit("")), "/$", "").alias("prefix"))
+    listed = spec.filter("sitemapUrls is not null").select("name", F.explode("sitemapUrls").alias("url"))
+    path = path_of(F.col("url"))
+    own = collected.join(spec.filter("sitemapUrls is null"), "name")
+    under = (F.col("prefix") == "") | (path == F.col("prefix")) | path.startswith(F.concat("prefix", F.lit("/")))
+    return listed.unionByName(own.filter(under).select("name", "url"))
 
 
 def sitemap_entries(docs: DataFrame) -> DataFrame:
@@ -122,14 +154,10 @@ def split_llms(docs: DataFrame, least: int = 500) -> DataFrame:
     n = lambda p: F.size(F.filter(lines, lambda x: x.rlike(p)))
     first = F.when(F.element_at(lines, 1).rlike(r"^#\s+.+"), 0).otherwise(1)
     d = d.withColumn("_mark", F.when(n(r"^#\s+.+") + first >= 2, r"^#\s+.+").otherwise(r"^##\s+.+"))
-    parts = F.aggregate(
-        lines,
-        F.array().cast("array<array<string>>"),
-        lambda acc, x: F.when(
-            F.regexp(x, F.col("_mark")) | (F.size(acc) == 0), F.concat(acc, F.array(F.array(x)))
-        ).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.array(x))))),
-    )
-    d = d.select("origin", F.posexplode(parts).alias("pos", "own"), "_mark")
+    # a line that begins a section, or the first one, gives its number; sections are slices of the lines
+    begins = F.filter(F.transform(lines, lambda x, i: F.when(F.regexp(x, F.col("_mark")) | (i == 0), i)), lambda i: i.isNotNull())
+    each = F.transform(F.col("_at"), lambda i, k: F.slice(F.col("_lines"), i + 1, F.coalesce(F.get(F.col("_at"), k + 1), F.size("_lines")) - i))
+    d = d.select("origin", "_mark", lines.alias("_lines"), begins.alias("_at")).select("origin", F.posexplode(each).alias("pos", "own"), "_mark")
     head = F.element_at("own", 1)
     title = F.when(F.regexp(head, F.col("_mark")), F.trim(F.regexp_replace(head, r"^##?\s+", ""))).otherwise("")
     title = F.when(title == "", F.concat(F.lit("Section "), F.col("pos") + 1)).otherwise(title)

@@ -19,6 +19,44 @@ def journal_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(RECORD).json(path).filter(F.col("page.url").isNotNull())
 
 
+def event_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Events (``EVENT``) appended to a folder, each once and in the order of their files."""
+    return spark.readStream.schema(EVENT).json(path).filter(F.col("type").isNotNull())
+
+
+def journal_sink(records: DataFrame, path: str, checkpoint: str):
+    """Starts a query that appends records to a journal. After a crash or a stop the same checkpoint goes on where it
+    ended, and nothing is written twice."""
+    return records.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
+
+
+def stopped(query, finish: bool = True) -> None:
+    """Ends a query; what has arrived by now is still worked on, unless ``finish`` is false."""
+    if finish and query.isActive:
+        query.processAllAvailable()
+    query.stop()
+
+
+PACED = "host string, i long, start_ms long"
+
+
+def pacing_stream(arrivals: DataFrame) -> DataFrame:
+    """When each request (host, i, arrival_ms, delay_ms) may start: a host's requests keep their distance over all
+    batches; the state of a host is when it is free again."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (free,) = state.get if state.exists else (None,)
+        rows = pd.concat(list(batches)).sort_values("i")
+        starts = []
+        for arrival, delay in zip(rows["arrival_ms"], rows["delay_ms"], strict=True):
+            starts.append(int(arrival) if free is None else max(int(arrival), free))
+            free = starts[-1] + int(delay)
+        state.update((free,))
+        yield pd.DataFrame({"host": key[0], "i": rows["i"], "start_ms": starts})
+
+    return arrivals.groupBy("host").applyInPandasWithState(run, PACED, "free long", "append", GroupStateTimeout.NoTimeout)
+
+
 def stamped(events: DataFrame, scan: str) -> DataFrame:
     """Events with the scan they belong to where they name none."""
     return events.withColumn("scan_id", F.coalesce("scan_id", F.lit(scan)))
@@ -37,35 +75,52 @@ def exact_stream(pages: DataFrame, delay: str | None = None) -> DataFrame:
 
 
 FATE = "scan_id string, sibling_key string, seq long, url string, fate string"
-_KIN = "hashes array<string>, urls array<string>, fingerprints array<bigint>"
+_KIN = "hashes array<string>, keys array<string>, urls array<string>, fingerprints array<bigint>"
 
 
-def greedy_stream(pages: DataFrame, mirror: int = 8) -> DataFrame:
-    """Fates (keep, exact, mirror) of pages (scan_id, sibling_key, seq, url, hash, fingerprint), decided among kin in
-    order of arrival; each group of kin keeps its own state."""
+def _distance(a: int, b: int) -> int:
+    return ((int(a) ^ int(b)) & 0xFFFFFFFFFFFFFFFF).bit_count()
+
+
+def greedy_stream(pages: DataFrame, mirror: int = 8, near: int = 0, quiet: str | None = None) -> DataFrame:
+    """Fates (keep, exact, mirror, near) of pages (scan_id, sibling_key, seq, url, hash, fingerprint), decided in order of
+    arrival. Kin of one path keep a state of their own; with ``near`` over 0 all pages of a scan are compared, so they
+    share one. A state holds 40 hex digits for each content and a few values for each kept page. After ``quiet``, a time
+    without pages of its group, a state is dropped."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hashes, urls, prints = (list(x) for x in (state.get if state.exists else ([], [], [])))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        hashes, keys, urls, prints = (list(x) for x in (state.get if state.exists else ([], [], [], [])))
         seen = set(hashes)
         rows = pd.concat(list(batches)).sort_values("seq")
         fates = []
-        for url, digest, fp in zip(rows["url"], rows["hash"], rows["fingerprint"], strict=True):
+        for own, url, digest, fp in zip(rows["sibling_key"], rows["url"], rows["hash"], rows["fingerprint"], strict=True):
             if digest in seen:
                 fates.append("exact")
                 continue
             seen.add(digest)
             hashes.append(digest)
-            near = ((u != url and ((int(f) ^ int(fp)) & 0xFFFFFFFFFFFFFFFF).bit_count() <= mirror) for u, f in zip(urls, prints, strict=True))
-            if any(near):
+            kept = zip(keys, urls, prints, strict=True)
+            if own and any(k == own and u != url and _distance(f, fp) <= mirror for k, u, f in kept):
                 fates.append("mirror")
-                continue
-            urls.append(url)
-            prints.append(int(fp))
-            fates.append("keep")
-        state.update((hashes, urls, prints))
-        yield pd.DataFrame({"scan_id": key[0], "sibling_key": key[1], "seq": rows["seq"], "url": rows["url"], "fate": fates})
-
-    return pages.groupBy("scan_id", "sibling_key").applyInPandasWithState(run, FATE, _KIN, "append", GroupStateTimeout.NoTimeout)
+            elif near > 0 and any(_distance(f, fp) <= near for f in prints):
+                fates.append("near")
+            else:
+                keys.append(own)
+                urls.append(url)
+                prints.append(int(fp))
+                fates.append("keep")
+        state.update((hashes, keys, urls, prints))
+        if quiet:
+            state.setTimeoutDuration(quiet_ms)
+        yield pd.DataFrame({"scan_id": key[0], "sibling_key": rows["sibling_key"], "seq": rows["seq"], "url": rows["url"], "fate": fates})
+
+    quiet_ms = int(pd.Timedelta(quiet).total_seconds() * 1000) if quiet else 0
+    by = ["scan_id"] if near > 0 else ["scan_id", "sibling_key"]
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if quiet else GroupStateTimeout.NoTimeout
+    return pages.groupBy(*by).applyInPandasWithState(run, FATE, _KIN, "append", timeout)
 
 
 def quiet_gaps(events: DataFrame, gap: str = "650 milliseconds", late: str = "5 seconds") -> DataFrame:
