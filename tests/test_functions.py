@@ -208,10 +208,38 @@ def test_markdown_structure():
     assert markdown.cleanup_lines("a  b\nEdit this page\n\n\n\n##\n](u)\nc") == "a b\n\nc"
 
 
-def test_atoms_and_fidelity():
+def test_atoms_and_fidelity(spark):
     md = "Costs $1,299 or 15%. Use `foo bar` and 'short one' at https://x.example/a.\n```\nlet value = 1;\n```\n1. item 42"
     kinds = {v: k for v, k in markdown.atoms(md)}
     assert kinds == {"let value = 1;": "code-line", "foo bar": "code", "https://x.example/a": "url", "short one": "string", "$1,299": "number", "15%": "number", "42": "number"}
-    n, missing = markdown.unverified(md, ["1299 and 15 % of foo   BAR, let value = 1;", "short one"], "https://x.example/a")
-    assert n == 7 and missing == ["42"]
-    assert markdown.unverified("no values", []) == (0, [])
+    rows = [
+        (1, md, ["1299 and 15 % of foo   BAR, let value = 1;", "short one"], "https://x.example/a"), (2, "no values", [], None), (3, None, None, None),
+        (4, "`a\\_b` and `a_c`", ["a_b"], ""), (5, "1 234 567 and 89 and 1.5", ["1,234.567", "1 . 5"], "89"),
+    ]
+    df = spark.createDataFrame(rows, "i int, md string, sources array<string>, allow string")
+    got = {r.i: (r["_total"], r["_unverified"]) for r in markdown.checked(df, F.col("md"), F.col("sources"), F.col("allow")).collect()}
+    assert got == {1: (7, ["42"]), 2: (0, []), 3: (0, []), 4: (2, ["a_c"]), 5: (4, [])}
+
+
+def test_hidden_text_and_controls(spark):
+    from weftline.functions import controls
+    from weftline.operators import metrics
+
+    body = "a text that is long enough to count as hidden " * 4
+    page = (
+        f"<main><p>shown</p><details><summary>More 12</summary><p>{body}</p></details><div id=p1 hidden>{body}<div style='display:none'>{body}</div></div>"
+        f"<div style='color:red; visibility : hidden'>short</div><div aria-hidden=true hidden>{body}</div><button aria-controls=p1 aria-expanded=false>Panel</button>"
+        "<button>Show all</button><button>Copy</button><div role=tab aria-selected=true>One</div><select><option>x</option></select><details open><summary>Open</summary>y</details></main>"
+    )
+    total, found = controls.hidden_blocks(page)
+    assert [n for n, _ in found] == [len(body.strip()), len((body + body).strip())] and total == sum(n for n, _ in found) and len(found[0][1]) == 140
+    got = [(c["kind"], c["signature"], c["expanded"], c["hidden_payload"] > 0) for c in controls.page_controls(page)]
+    assert got == [
+        ("accordion", "accordion|more #", "false", True), ("expander", "expander|panel", "false", True), ("loadmore", "loadmore|show all", "false", False),
+        ("tab", "tab|one", "true", False), ("dropdown", "dropdown|x", "false", False), ("accordion", "accordion|open", "true", False),
+    ]
+    assert controls.page_controls(None) == [] and controls.hidden_blocks("") == (0, []) and len(controls.page_controls("<button>show more</button>" * 400)) == 150
+    df = spark.createDataFrame([(1, page, body), (2, page, "")], "i int, html string, markdown string").withColumn("h", controls.hidden_of(F.col("html")))
+    df = df.select("i", "markdown", "h.*", controls.controls_of(F.col("html")).alias("c"))
+    # what another state has shown isn't lost
+    assert {r.i: (r.residual, len(r.c)) for r in metrics.truthful_residual(df).collect()} == {1: (0, 6), 2: (total, 6)}

@@ -19,8 +19,10 @@ PHRASES = (
     "|enable javascript and cookies to continue|unusual traffic|are you a robot|ddos protection by"
     "|please stand by, while we are checking"
 )
+#: How a page sends readers on, and what tasks about documentation say.
 META_REFRESH = r"""<meta[^>]+http-equiv\s*=\s*["']?refresh"""
 DOCS_TASK = r"\bdocs?\b|documenta|dokumenta|api[\s_-]*reference|\bsdk\b"
+#: What consent banners are about, and what their buttons say.
 CONSENT_TOPIC = "cookie|consent|gdpr|privacy|rgpd|dsgvo"
 REJECT = (
     "reject|decline|refuse|deny|necessary only|only necessary|rifiut|solo necessari|ablehn|nur notwendige|refuser"

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import normalised
 from .udfs import arrow
 
 _FENCE = re.compile(r"\s*(`{3,}|~{3,})")
@@ -234,6 +235,7 @@ def cleaned(markdown: Column) -> Column:
 
 # --- values that a text claims -----------------------------------------------------------------------------------
 
+#: What a value looks like, in the order in which texts are gone through.
 _STAGES = [
     ("code", re.compile(r"`([^`\n]+)`"), lambda b: len(b.strip()) >= 2 and len(b) <= 120),
     ("url", re.compile(r"(https?://[^\s<>\"'`)\]]+)"), None),
@@ -276,39 +278,32 @@ def atoms(markdown: str | None) -> list[tuple[str, str]]:
     return list(out.values())
 
 
-def unverified(markdown: str | None, sources: list[str], allow: str | None = "") -> tuple[int, list[str]]:
-    """How many values a text claims, and those that neither the sources nor the allowed text hold."""
-    claimed = atoms(markdown)
-    hay, allowed = folded("\n".join(x or "" for x in sources)), folded(allow)
-    plain = re.sub("[^0-9a-z]", "", hay)
-    missing = []
-    for value, kind in claimed:
-        n = folded(value)
-        digits = re.sub("[^0-9]", "", n)
-        forms = {n, re.sub(r"\\([\\`*_{}\[\]()#+\-.!|<>~])", r"\1", n)}
-        numeric = kind == "number" or bool(_NUMERIC.fullmatch(n))
-        if numeric and digits:
-            forms.add(digits)
-        known = any(f in hay or (allowed and f in allowed) for f in forms) or (numeric and digits in plain)
-        if not known:
-            missing.append(value)
-    return len(claimed), missing
-
-
 @arrow("array<struct<value:string,kind:string>>")
 def _atoms(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"value": v, "kind": k} for v, k in atoms(t)], na_action=None)
 
 
-@arrow("struct<total:int,unverified:array<string>>")
-def _checked(text: pd.Series, sources: pd.Series, allow: pd.Series) -> pd.DataFrame:
-    rows = [unverified(t, list(s) if s is not None else [], a) for t, s, a in zip(text, sources, allow, strict=True)]
-    return pd.DataFrame({"total": [n for n, _ in rows], "unverified": [m for _, m in rows]})
-
-
 def atom_list(markdown: Column) -> Column:
     return _atoms(markdown)
 
 
-def checked(markdown: Column, sources: Column, allow: Column | None = None) -> Column:
-    return _checked(markdown, sources, F.lit("") if allow is None else allow)
+#: What Markdown sets a backslash before.
+_ESCAPED = r"\\([\\`*_{}\[\]()#+\-.!|<>~])"
+
+
+def checked(df: DataFrame, markdown: Column, sources: Column, allow: Column) -> DataFrame:
+    """df with _total and _unverified: how many values a text claims, and those, in order, that neither its sources nor
+    the allowed text hold. Only finding the values needs Python; each is looked up in one folded text of its row."""
+    hay = normalised(F.array_join(F.coalesce(sources, F.array().cast("array<string>")), "\n"))
+    d = df.withColumn("_atoms", F.coalesce(atom_list(F.coalesce(markdown, F.lit(""))), F.array().cast("array<struct<value:string,kind:string>>")))
+    d = d.withColumn("_hay", hay).withColumn("_allowed", normalised(allow)).withColumn("_plain", F.regexp_replace("_hay", "[^0-9a-z]", ""))
+
+    def known(atom: Column) -> Column:
+        value = normalised(atom["value"])
+        digits = F.regexp_replace(value, "[^0-9]", "")
+        numeric = ((atom["kind"] == "number") | value.rlike(rf"^(?:{_NUMERIC.pattern})$")) & (digits != "")
+        holds = lambda form: F.contains(F.col("_hay"), form) | F.contains(F.col("_allowed"), form)
+        return holds(value) | holds(F.regexp_replace(value, _ESCAPED, "$1")) | (numeric & (holds(digits) | F.contains(F.col("_plain"), digits)))
+
+    missing = F.transform(F.filter("_atoms", lambda a: ~known(a)), lambda a: a["value"])
+    return d.select(*df.columns, F.size("_atoms").alias("_total"), missing.alias("_unverified"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: White space characters.
 SPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 SPACES = f"[{SPACE}]+"
+#: Patterns of Markdown that signatures and block classes are defined by, here and below.
 LINK_OR_IMAGE = r"!?\[[^\]]*\]\([^)]*\)"
 IMAGE = r"!\[[^\]]*\]\([^)]*\)"
 
