@@ -385,10 +385,65 @@ def context_pack(s, d):
     return retrieve.context_pack(*_packable(s, d)).select("request_id", "di", "partial", "mode", F.length("content").alias("size"))
 
 
-@query()
+def _claims_sql(table: str, key: str) -> str:
+    """(id, text): texts of a table with a fenced line, a code span, an address and prices, by their ids."""
+    return (
+        f"(SELECT {key} AS id, text || chr(10) || '```' || chr(10) || 'let value_' || {key} || ' = 1;' || chr(10) || '```' || chr(10) || 'See `f_' || ({key} % 7) || '` at https://x.example/' || {key} "
+        f"|| '. It costs $' || {key} || '.50 or 15 %, \"two words\".' || chr(10) || '1. done 4711' AS text FROM {table})"
+    )
+
+
+def _claims(key: Column) -> Column:
+    n = key.cast("string")
+    return F.concat(
+        F.col("text"), F.lit("\n```\nlet value_"), n, F.lit(" = 1;\n```\nSee `f_"), (key % 7).cast("string"), F.lit("` at https://x.example/"), n,
+        F.lit(". It costs $"), n, F.lit('.50 or 15 %, "two words".\n1. done 4711'),
+    )
+
+
+def _atoms_sql(source: str) -> str:
+    """``atoms`` (id, value, kind, folded): stage by stage, each without what the one before it took."""
+    fence, url_, one, two = r"```[^\n]*\n((?s:.*?))```", r"""https?://[^\s<>"''`)\]]+""", r"""''([^''\n]{2,80})''""", r'''"([^"\n]{2,80})"'''
+    number = r"[€$£]\s?[0-9][0-9.,]*|[0-9][0-9.,]*\s?%|\b[0-9]+(?:[.,][0-9]+)+\b|\b[0-9]{2,}\b"
+    lists, rules = r"(?m)^[ \t]*(?:[-*+]|[0-9]+[.)])[ \t]", r"(?m)^[ \t]*\|[\s:|-]*\|?[ \t]*$"
+    return f"""
+b AS (SELECT id, regexp_extract_all(text, '{fence}', 1) AS m0, regexp_replace(text, '{fence}', ' ', 'g') AS t FROM {source}),
+s1 AS (SELECT *, regexp_extract_all(t, '`([^`\n]+)`', 1) AS m1, regexp_replace(t, '`[^`\n]+`', ' ', 'g') AS t1 FROM b),
+s2 AS (SELECT *, regexp_extract_all(t1, '{url_}') AS m2, regexp_replace(t1, '{url_}', ' ', 'g') AS t2 FROM s1),
+s3 AS (SELECT *, regexp_extract_all(t2, '{one}', 1) AS m3, regexp_replace(t2, '{one}', ' ', 'g') AS t3 FROM s2),
+s4 AS (SELECT *, regexp_extract_all(t3, '{two}', 1) AS m4, regexp_replace(t3, '{two}', ' ', 'g') AS t4 FROM s3),
+s5 AS (SELECT *, regexp_extract_all(regexp_replace(regexp_replace(t4, '{lists}', ' ', 'g'), '{rules}', ' ', 'g'), '{number}') AS m5 FROM s4),
+found AS (SELECT id, list_concat(
+  list_transform(list_filter(flatten(list_transform(m0, lambda c: string_split(c, chr(10)))), lambda x: length(trim(x)) >= 10 AND regexp_matches(x, '[A-Za-z0-9]')), lambda x: {{'v': trim(x), 'k': 'code-line'}}),
+  list_transform(list_filter(m1, lambda x: length(trim(x)) >= 2 AND length(x) <= 120), lambda x: {{'v': trim(x), 'k': 'code'}}),
+  list_transform(m2, lambda x: {{'v': regexp_replace(x, '[.,;:!?]+$', ''), 'k': 'url'}}),
+  list_transform(list_filter(list_concat(m3, m4), lambda x: len(regexp_extract_all(x, '\\S+')) <= 4), lambda x: {{'v': trim(x), 'k': 'string'}}),
+  list_transform(m5, lambda x: {{'v': trim(x), 'k': 'number'}})) AS a FROM s5),
+each AS (SELECT id, unnest(a) AS x, generate_subscripts(a, 1) AS n FROM found),
+atoms AS (SELECT id, folded, arg_min(x.v, n) AS value, arg_min(x.k, n) AS kind FROM
+  (SELECT *, lower(trim(regexp_replace(x.v, '\\s+', ' ', 'g'))) AS folded FROM each) WHERE folded <> '' GROUP BY id, folded)"""
+
+
+@query(f"WITH {_atoms_sql(_claims_sql('documents', 'doc_id'))} SELECT id AS doc_id, value, kind FROM atoms")
+def value_atoms(s, d):
+    x = _t(s, d, "documents").select("doc_id", F.explode(markdown.atom_list(_claims(F.col("doc_id")))).alias("a"))
+    return x.select("doc_id", "a.value", "a.kind")
+
+
+@query(
+    f"WITH {_atoms_sql(_claims_sql('benchmark', 'item_id'))}, src AS (SELECT item_id AS id, lower('LET  value_' || item_id || ' = 1; ' || CASE WHEN item_id % 2 = 0 THEN 'f_' || (item_id % 7) ELSE '' END "
+    "|| chr(10) || CASE WHEN item_id % 3 = 0 THEN 'https://x.example/' || item_id ELSE '' END || ' ' || (item_id * 100 + 50)) AS hay, CASE WHEN item_id % 5 = 0 THEN 'two words' ELSE '15' END AS allowed FROM benchmark), "
+    "n AS (SELECT *, trim(regexp_replace(hay, '\\s+', ' ', 'g')) AS h, regexp_replace(hay, '[^0-9a-z]', '', 'g') AS plain FROM src), "
+    "j AS (SELECT a.id, (contains(h, folded) OR contains(allowed, folded) OR (kind = 'number' AND (contains(h, regexp_replace(folded, '[^0-9]', '', 'g')) OR contains(allowed, regexp_replace(folded, '[^0-9]', '', 'g')) "
+    "OR contains(plain, regexp_replace(folded, '[^0-9]', '', 'g'))))) AS ok FROM atoms a JOIN n USING (id)) "
+    "SELECT id AS item_id, count(*)::INTEGER AS total, count(*) FILTER (ok)::INTEGER AS verified, count(*) FILTER (ok) / count(*) AS ratio FROM j GROUP BY id"
+)
 def fidelity_check(s, d):
-    b = _t(s, d, "benchmark").select("item_id", F.concat("text", F.lit(" 4111 and `x_"), "item_id", F.lit("`")).alias("markdown"))
-    p = b.select("item_id", "markdown", F.array(F.lit("item 4111"), F.concat(F.lit("x_"), F.col("item_id") + F.col("item_id") % 2)).alias("sources"), F.lit("").alias("allow"))
+    i, n = F.col("item_id"), F.col("item_id").cast("string")
+    some = lambda every, x: F.when(i % every == 0, x).otherwise("")
+    first = F.concat(F.lit("LET  value_"), n, F.lit(" = 1; "), some(2, F.concat(F.lit("f_"), (i % 7).cast("string"))))
+    second = F.concat(some(3, F.concat(F.lit("https://x.example/"), n)), F.lit(" "), (i * 100 + 50).cast("string"))
+    p = _t(s, d, "benchmark").select("item_id", _claims(i).alias("markdown"), F.array(first, second).alias("sources"), F.when(i % 5 == 0, "two words").otherwise("15").alias("allow"))
     return retrieve.verify(p).select("item_id", "total", "verified", "ratio")
 
 
@@ -434,12 +489,6 @@ def doc_sections(s, d):
     return x.select("doc_id", F.posexplode("s").alias("index", "s")).select("doc_id", "index", "s.heading", F.length("s.text").alias("size"))
 
 
-@query()
-def value_atoms(s, d):
-    x = _t(s, d, "documents").select("doc_id", F.explode(markdown.atom_list(F.col("text"))).alias("a"))
-    return x.select("doc_id", "a.value", "a.kind")
-
-
 _STOP = ", ".join(f"'{w}'" for w in sorted(relevance.STOP_WORDS))
 
 
