@@ -196,22 +196,64 @@ def mode_behavior(s, d):
     return _t(s, d, "conversations").select("conv_id", "turn", guards.mode_behavior(mode, task).alias("b")).select("conv_id", "turn", "b.*")
 
 
-@query(
-    "WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) SELECT CASE WHEN regexp_matches(trim(line), '^#{1,6}\\s') THEN 'heading' "
-    "WHEN regexp_matches(trim(line), '^(```|~~~)') THEN 'code' WHEN regexp_matches(trim(line), '^([-*+]|\\d+[.)])\\s') THEN 'list' ELSE 'text' END AS type, count(*) AS lines FROM l GROUP BY 1"
+def _marked_up(c: str = "text") -> str:
+    """Documents' texts with headings of levels 1 to 4, some of them in fences: a line before each line, by its number."""
+    return (
+        f"SELECT doc_id, i, unnest(CASE i % 11 WHEN 3 THEN ['# Part ' || i || ' ##', line] WHEN 5 THEN ['```', '# in a fence', line, '```'] "
+        f"WHEN 7 THEN ['### Deep ' || i, '', line] WHEN 9 THEN ['#### deeper', line] ELSE [line] END) AS line FROM "
+        f"(SELECT doc_id, unnest(string_split({c}, chr(10))) AS line, generate_subscripts(string_split({c}, chr(10)), 1) - 1 AS i FROM documents)"
+    )
+
+
+def _marked(c: Column) -> Column:
+    """What ``_marked_up`` makes, in one text."""
+    nth = lambda i, *parts: F.array(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    def around(line: Column, i: Column) -> Column:
+        n = i.cast("string")
+        return (
+            F.when(i % 11 == 3, nth(i, F.concat(F.lit("# Part "), n, F.lit(" ##")), line))
+            .when(i % 11 == 5, nth(i, "```", "# in a fence", line, "```"))
+            .when(i % 11 == 7, nth(i, F.concat(F.lit("### Deep "), n), "", line))
+            .when(i % 11 == 9, nth(i, "#### deeper", line))
+            .otherwise(F.array(line))
+        )
+
+    return F.array_join(F.flatten(F.transform(F.split(c, "\n"), around)), "\n")
+
+
+_LINES = f"""l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS n, line FROM
+  (SELECT doc_id, i, line, row_number() OVER () AS k FROM ({_marked_up()}))),
+f AS (SELECT *, regexp_matches(line, '^\\s*(```|~~~)') AS fence, sum(CASE WHEN regexp_matches(line, '^\\s*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) % 2 = 1 AS inside FROM l),
+h AS (SELECT *, NOT fence AND NOT inside AND regexp_matches(line, '^#{{1,3}}\\s+\\S') AS head FROM f),
+s AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM h)"""
+
+
+_BLOCK_SQL = (
+    "CASE i % 7 WHEN 1 THEN '## ' || line WHEN 2 THEN '```' || chr(10) || line || chr(10) || '```' WHEN 3 THEN '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || line || ' | 1 |' "
+    "WHEN 4 THEN '- ' || line || chr(10) || '2. x' WHEN 5 THEN '![' || doc_id || '](i.png)' WHEN 6 THEN 'see ![x](i.png) ' || line || ' and more' ELSE line END"
 )
-def classify_lines(s, d):
-    lines = _t(s, d, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy(text.classify_block(F.col("line"))["type"].alias("type")).agg(F.count("*").alias("lines"))
 
 
 @query(
-    "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents), "
-    "f AS (SELECT doc_id, line_no, regexp_matches(line, '^\\s*(```|~~~)') AS fence, regexp_matches(line, '^#{1,3}\\s+') AS head FROM l) "
-    "SELECT doc_id, count(*) AS lines, count(*) FILTER (head AND NOT fence) AS headings FROM f GROUP BY doc_id"
+    "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents), "
+    f"b AS (SELECT {_BLOCK_SQL} AS t FROM l), "
+    "c AS (SELECT trim(t) AS t, regexp_matches(t, '!\\[[^\\]]*\\]\\([^)]*\\)') AS has_image FROM b) "
+    "SELECT CASE WHEN regexp_matches(t, '^#{1,6}\\s') THEN 'heading' WHEN regexp_matches(t, '^(```|~~~)') THEN 'code' WHEN contains(t, '|') AND regexp_matches(t, '\\n\\s*\\|?[\\s:|-]*-{2,}') THEN 'table' "
+    "WHEN regexp_matches(t, '(?m)^\\s*([-*+]|\\d+[.)])\\s') AND NOT has_image THEN 'list' "
+    "WHEN has_image AND length(regexp_replace(regexp_replace(t, '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '[\\s)\\]]', '', 'g')) < 3 THEN 'image' ELSE 'text' END AS type, has_image, count(*) AS blocks FROM c GROUP BY 1, 2"
 )
+def classify_lines(s, d):
+    """Blocks of every class, made of the documents' lines by their numbers."""
+    x = _t(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    x = x.select(F.expr(_BLOCK_SQL.replace("chr(10)", "'\\n'")).alias("t"))
+    kind = text.classify_block(F.col("t"))
+    return x.groupBy(kind["type"].alias("type"), kind["has_image"].alias("has_image")).agg(F.count("*").alias("blocks"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, count(*) AS lines, count(*) FILTER (head) AS headings FROM s GROUP BY doc_id")
 def section_numbers(s, d):
-    lines = _t(s, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    lines = _t(s, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split(_marked(F.col("text")), "\n")).alias("line_no", "text"))
     n = blocks.section_numbers(lines)
     return n.groupBy(F.col("doc").alias("doc_id")).agg(F.count("*").alias("lines"), F.max("section").alias("headings"))
 
@@ -447,39 +489,6 @@ def fidelity_check(s, d):
     return retrieve.verify(p).select("item_id", "total", "verified", "ratio")
 
 
-def _marked_up(c: str = "text") -> str:
-    """Documents' texts with headings of levels 1 to 4, some of them in fences: a line before each line, by its number."""
-    return (
-        f"SELECT doc_id, i, unnest(CASE i % 11 WHEN 3 THEN ['# Part ' || i || ' ##', line] WHEN 5 THEN ['```', '# in a fence', line, '```'] "
-        f"WHEN 7 THEN ['### Deep ' || i, '', line] WHEN 9 THEN ['#### deeper', line] ELSE [line] END) AS line FROM "
-        f"(SELECT doc_id, unnest(string_split({c}, chr(10))) AS line, generate_subscripts(string_split({c}, chr(10)), 1) - 1 AS i FROM documents)"
-    )
-
-
-def _marked(c: Column) -> Column:
-    """What ``_marked_up`` makes, in one text."""
-    nth = lambda i, *parts: F.array(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-    def around(line: Column, i: Column) -> Column:
-        n = i.cast("string")
-        return (
-            F.when(i % 11 == 3, nth(i, F.concat(F.lit("# Part "), n, F.lit(" ##")), line))
-            .when(i % 11 == 5, nth(i, "```", "# in a fence", line, "```"))
-            .when(i % 11 == 7, nth(i, F.concat(F.lit("### Deep "), n), "", line))
-            .when(i % 11 == 9, nth(i, "#### deeper", line))
-            .otherwise(F.array(line))
-        )
-
-    return F.array_join(F.flatten(F.transform(F.split(c, "\n"), around)), "\n")
-
-
-_LINES = f"""l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS n, line FROM
-  (SELECT doc_id, i, line, row_number() OVER () AS k FROM ({_marked_up()}))),
-f AS (SELECT *, regexp_matches(line, '^\\s*(```|~~~)') AS fence, sum(CASE WHEN regexp_matches(line, '^\\s*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) % 2 = 1 AS inside FROM l),
-h AS (SELECT *, NOT fence AND NOT inside AND regexp_matches(line, '^#{{1,3}}\\s+\\S') AS head FROM f),
-s AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM h)"""
-
-
 @query(
     f"WITH {_LINES}, t AS (SELECT doc_id, section, max(CASE WHEN head THEN line END) AS head, regexp_replace(string_agg(line, chr(10) ORDER BY n), '^\\s+|\\s+$', '', 'g') AS text FROM s GROUP BY doc_id, section) "
     "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1)::INTEGER AS index, coalesce(substr(trim(regexp_replace(head, '^#{1,3}\\s+', '')), 1, 120), '(intro)') AS heading, length(text)::INTEGER AS size FROM t WHERE text <> ''"
