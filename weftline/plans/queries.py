@@ -273,14 +273,41 @@ def _page_links(s, d):
     return p.select("page_id", "pos", F.col("l.href").alias("href"), F.col("l.label").alias("label"), F.lit("").alias("context"))
 
 
-@query()
+#: (page_id, pos, href, label) of the pages' links: their addresses begin at the site's root, and labels hold no tags.
+_LINKS = r"""(
+WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS l FROM pages),
+e AS (SELECT page_id, origin, unnest(h) AS h, unnest(l) AS l, generate_subscripts(h, 1) AS n FROM p),
+d AS (SELECT page_id, n, l, origin || array_to_string(list_transform(string_split(replace(h, '&amp;', '&'), ''), lambda x: CASE WHEN unicode(x) > 127 THEN url_encode(x) ELSE x END), '') AS href FROM e WHERE h NOT IN ('', '#')),
+f AS (SELECT page_id, href, min(n) AS n, arg_min(l, n) AS l FROM d GROUP BY page_id, href)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY n) - 1)::INTEGER AS pos, href, substr(trim(regexp_replace(replace(l, '&amp;', '&'), '\s+', ' ', 'g')), 1, 80) AS label FROM f)"""
+_STOP = ", ".join(f"'{w}'" for w in sorted(relevance.STOP_WORDS))
+
+
+def _tokens_sql(c: str) -> str:
+    words = f"regexp_extract_all(lower(strip_accents(regexp_replace({c}, '([\\p{{Ll}}\\p{{N}}])(\\p{{Lu}})', '\\1 \\2', 'g'))), '[\\p{{L}}\\p{{N}}]+')"
+    return f"list_filter({words}, lambda w: length(w) >= 2 AND NOT regexp_full_match(w, '[0-9]+') AND w NOT IN ({_STOP}))"
+
+
+@query(f"SELECT *, '' AS context FROM {_LINKS}")
 def page_links(s, d):
     return _page_links(s, d)
 
 
-@query()
+_LINK_TASK = "find the entire documentation about queta and thered"
+
+
+def _matched_sql(term: str) -> str:
+    return f"(len(list_filter(w, lambda x: x = '{term}' OR (length(x) >= 4 AND (starts_with(x, '{term}') OR starts_with('{term}', x))))) > 0)::INTEGER"
+
+
+@query(
+    f"WITH t AS (SELECT *, list_concat({_tokens_sql("url_decode(regexp_replace(href, '^https?://[^/]*', ''))")}, {_tokens_sql('label')}) AS w FROM {_LINKS}), "
+    f"x AS (SELECT page_id, pos, href, least(1.0, ({' + '.join(map(_matched_sql, relevance.task_terms(_LINK_TASK)))}) / 2.0)::DOUBLE AS score FROM t), "
+    "r AS (SELECT page_id, href, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos)::INTEGER AS rank FROM x) "
+    "SELECT *, ((rank - 1) // 160)::BIGINT AS batch FROM r"
+)
 def link_relevance(s, d):
-    return links.ranked(links.scored(_page_links(s, d), "find the entire documentation about queta and thered")).select("page_id", "href", "score", "rank", "batch")
+    return links.ranked(links.scored(_page_links(s, d), _LINK_TASK)).select("page_id", "href", "score", "rank", "batch")
 
 
 @query(
@@ -498,13 +525,7 @@ def doc_sections(s, d):
     return x.select("doc_id", F.posexplode("s").alias("index", "s")).select("doc_id", "index", "s.heading", F.length("s.text").alias("size"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in sorted(relevance.STOP_WORDS))
-
-
-@query(
-    r"SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(strip_accents(regexp_replace(text, '([\p{Ll}\p{N}])(\p{Lu})', '\1 \2', 'g'))), '[\p{L}\p{N}]+'), "
-    f"lambda w: length(w) >= 2 AND NOT regexp_full_match(w, '[0-9]+') AND w NOT IN ({_STOP})), ' ') AS tokens FROM conversations"
-)
+@query(f"SELECT conv_id, turn, array_to_string({_tokens_sql('text')}, ' ') AS tokens FROM conversations")
 def task_tokens(s, d):
     return _t(s, d, "conversations").select("conv_id", "turn", F.array_join(relevance.tokens(F.col("text")), " ").alias("tokens"))
 
