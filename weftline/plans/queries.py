@@ -229,6 +229,13 @@ h AS (SELECT *, NOT fence AND NOT inside AND regexp_matches(line, '^#{{1,3}}\\s+
 s AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM h)"""
 
 
+#: The class of a block t that has_image says of whether it holds an image.
+_CLASS_SQL = (
+    "CASE WHEN regexp_matches(t, '^#{1,6}\\s') THEN 'heading' WHEN regexp_matches(t, '^(```|~~~)') THEN 'code' WHEN contains(t, '|') AND regexp_matches(t, '\\n\\s*\\|?[\\s:|-]*-{2,}') THEN 'table' "
+    "WHEN regexp_matches(t, '(?m)^\\s*([-*+]|\\d+[.)])\\s') AND NOT has_image THEN 'list' "
+    "WHEN has_image AND length(regexp_replace(regexp_replace(t, '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '[\\s)\\]]', '', 'g')) < 3 THEN 'image'ELSE 'text' END"
+)
+_HAS_IMAGE_SQL = "regexp_matches(t, '!\\[[^\\]]*\\]\\([^)]*\\)')"
 _BLOCK_SQL = (
     "CASE i % 7 WHEN 1 THEN '## ' || line WHEN 2 THEN '```' || chr(10) || line || chr(10) || '```' WHEN 3 THEN '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || line || ' | 1 |' "
     "WHEN 4 THEN '- ' || line || chr(10) || '2. x' WHEN 5 THEN '![' || doc_id || '](i.png)' WHEN 6 THEN 'see ![x](i.png) ' || line || ' and more' ELSE line END"
@@ -239,9 +246,7 @@ _BLOCK_SQL = (
     "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents), "
     f"b AS (SELECT {_BLOCK_SQL} AS t FROM l), "
     "c AS (SELECT trim(t) AS t, regexp_matches(t, '!\\[[^\\]]*\\]\\([^)]*\\)') AS has_image FROM b) "
-    "SELECT CASE WHEN regexp_matches(t, '^#{1,6}\\s') THEN 'heading' WHEN regexp_matches(t, '^(```|~~~)') THEN 'code' WHEN contains(t, '|') AND regexp_matches(t, '\\n\\s*\\|?[\\s:|-]*-{2,}') THEN 'table' "
-    "WHEN regexp_matches(t, '(?m)^\\s*([-*+]|\\d+[.)])\\s') AND NOT has_image THEN 'list' "
-    "WHEN has_image AND length(regexp_replace(regexp_replace(t, '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '[\\s)\\]]', '', 'g')) < 3 THEN 'image' ELSE 'text' END AS type, has_image, count(*) AS blocks FROM c GROUP BY 1, 2"
+    f"SELECT {_CLASS_SQL} AS type, has_image, count(*) AS blocks FROM c GROUP BY 1, 2"
 )
 def classify_lines(s, d):
     """Blocks of every class, made of the documents' lines by their numbers."""
@@ -449,7 +454,25 @@ def _packable(s, d):
     return docs, req
 
 
-@query()
+def _term_sql(term: str) -> str:
+    hit = f"len(list_filter(w, lambda x: x = '{term}' OR (length(x) >= 4 AND {len(term)} >= 4 AND (starts_with(x, '{term}') OR starts_with('{term}', x))))) > 0"
+    return f"CASE WHEN {hit} THEN 3 ELSE 0 END + least(5, (length(low) - length(replace(low, '{term}', ''))) // {len(term)})"
+
+
+@query(
+    "WITH RECURSIVE d AS (SELECT source AS request_id, doc_id AS di, strlen(text) AS bytes, '# ' || substr(text, 1, 30) || chr(10) || text AS content FROM documents), "
+    "t AS (SELECT *, sum(length(content)) OVER (PARTITION BY request_id) <= 20000 AS fits, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS t FROM d), "
+    f"w AS (SELECT *, lower(t) AS low, {_tokens_sql("substr(trim(regexp_replace(string_split(t, chr(10))[1], '^#{1,3}\\s+', '')), 1, 120)")} AS w FROM t), "
+    f"s AS (SELECT *, {' + '.join(map(_term_sql, relevance.tokenize('prices of thered, and what is in d7.md')))} + CASE WHEN di = 7 OR bytes = 7 THEN 100 ELSE 0 END AS score FROM w), "
+    "k AS (SELECT *, length(t) AS size, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, di) AS n FROM s WHERE score > 0 AND NOT fits), "
+    "f AS (SELECT DISTINCT request_id, 0::BIGINT AS n, NULL::BIGINT AS di, 20000::BIGINT AS rest, 0::BIGINT AS take, 0 AS given FROM k "
+    "UNION ALL SELECT request_id, n, di, rest - take, take, given + (take > 0)::INTEGER FROM (SELECT k.request_id, k.n, k.di, f.rest, f.given, "
+    "CASE WHEN f.rest < 200 THEN 0 WHEN k.size <= f.rest THEN k.size WHEN f.given = 0 THEN f.rest ELSE 0 END AS take FROM f JOIN k ON k.request_id = f.request_id AND k.n = f.n + 1) x), "
+    "m AS (SELECT request_id, max(given) > 0 AS any_given FROM f GROUP BY request_id) "
+    "SELECT s.request_id, s.di, false AS partial, CASE WHEN fits THEN 'full' WHEN coalesce(any_given, false) THEN 'retrieval' ELSE 'head' END AS mode, "
+    "(CASE WHEN NOT fits AND coalesce(any_given, false) THEN take ELSE length(content) END)::INTEGER AS size "
+    "FROM s LEFT JOIN m USING (request_id) LEFT JOIN f ON f.request_id = s.request_id AND f.di = s.di WHERE fits OR NOT coalesce(any_given, false) OR take > 0"
+)
 def context_pack(s, d):
     return retrieve.context_pack(*_packable(s, d)).select("request_id", "di", "partial", "mode", F.length("content").alias("size"))
 
@@ -577,7 +600,10 @@ def assemble_scan(s, d):
     return a.select("scan_id", "filename", F.length(body).cast("long").alias("chars"), F.sha1(body).alias("hash"), F.size("pages").alias("sources"))
 
 
-@query()
+@query(
+    "WITH t AS (SELECT source AS scan_id, doc_id AS seq, doc_id % 40 AS n, row_number() OVER (PARTITION BY source, doc_id % 40 ORDER BY doc_id) AS k, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents WHERE trim(text) <> ''), "
+    "i AS (SELECT *, 'p-' || n || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS id FROM t) SELECT scan_id, seq, id, strlen(t)::INTEGER AS bytes, id || '.md' AS file FROM i"
+)
 def assemble_documents(s, d):
     return assemble.assemble_documents(_scan_pages(s, d)).select("scan_id", "seq", "id", "bytes", "file")
 
@@ -753,9 +779,21 @@ def error_pages(s, d):
     return pages.without_error_pages(p).select("doc_id", "kept")
 
 
-@query()
+@query(
+    f"WITH {_LINES}, m AS (SELECT doc_id, n, line, fence, inside OR fence AS kept, fence AND inside AS opens, fence AND NOT inside AS closes FROM f), "
+    "before AS (SELECT *, lag(closes) OVER w AS after_fence, NOT lag(kept) OVER w AND trim(lag(line) OVER w) = '' AS after_blank FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY n)), "
+    "g AS (SELECT *, sum(CASE WHEN opens OR coalesce(after_fence, false) OR coalesce(after_blank, false) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS b FROM before), "
+    "t AS (SELECT doc_id, b, regexp_replace(string_agg(line, chr(10) ORDER BY n) FILTER (kept OR trim(line) <> ''), '^\\s+|\\s+$', '', 'g') AS t FROM g GROUP BY doc_id, b), "
+    "o AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1)::INTEGER AS ord, t, length(regexp_extract(t, '^(#{1,6})\\s', 1)) AS level FROM t WHERE coalesce(t, '') <> ''), "
+    "heads AS (SELECT doc_id, ord, level FROM o WHERE level > 0), "
+    "p AS (SELECT o.doc_id, o.ord, count(*) AS depth FROM o JOIN heads h ON h.doc_id = o.doc_id AND h.ord < o.ord AND (o.level = 0 OR h.level < o.level) "
+    "WHERE NOT EXISTS (SELECT 1 FROM heads x WHERE x.doc_id = h.doc_id AND x.ord > h.ord AND x.ord < o.ord AND x.level <= h.level) GROUP BY ALL), "
+    f"c AS (SELECT *, {_HAS_IMAGE_SQL} AS has_image FROM o) "
+    f"SELECT doc_id AS page_id, ord, {_CLASS_SQL} AS type, has_image, coalesce(depth, 0)::INTEGER AS depth FROM c LEFT JOIN p USING (doc_id, ord)"
+)
 def enriched_blocks(s, d):
-    return pages.enriched_blocks(_extracted(s, d)).select("page_id", "ord", "type", "has_image", F.size("section_path").alias("depth"))
+    x = _t(s, d, "documents").select(F.col("doc_id").alias("page_id"), _marked(F.col("text")).alias("markdown"))
+    return pages.enriched_blocks(x).select("page_id", "ord", "type", "has_image", F.size("section_path").alias("depth"))
 
 
 @query(
