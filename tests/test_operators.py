@@ -139,6 +139,79 @@ def test_prune_and_verdicts(spark):
     assert got == {(1, 0): False, (1, 1): False, (1, 2): True, (2, 0): False, (3, 0): True, (4, 0): True}
 
 
+def test_batches(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(250)] + [(2, 0)], "page_id int, pos int")
+    for kind, size in (("links", 160), ("controls", 100), ("texts", 64)):
+        got = {(r.page_id, r.pos): (r.batch, r["index"]) for r in links.in_batches(rows, kind, "page_id", "pos").collect()}
+        assert got == {(1, i): (i // size, i % size) for i in range(250)} | {(2, 0): (0, 0)}
+
+
+def test_candidates_and_attempts(spark):
+    link = "page_id int, href string, label string, context string"
+    a, b = spark.createDataFrame([(1, "x", "A", "")], link), spark.createDataFrame([(1, "x", "B", ""), (1, "y", "C", "")], link)
+    assert {(r.href, r.label, r.source) for r in links.all_links(a, b).collect()} == {("x", "A", 0), ("y", "C", 1)}
+    urls = spark.createDataFrame([("https://s.example/a/",), ("https://s.example/a?utm_source=q",), ("https://o.example/",), ("mailto:a@b",)], "url string")
+    assert [r.url for r in links.in_scope_unique(urls, "https://s.example/").collect()] == ["https://s.example/a"]
+    tries = [("a", 0, 200, False), ("b", 0, 500, False), ("b", 1, 200, False), ("c", 0, 200, True), ("c", 1, 403, None), ("c", 2, 200, False)]
+    got = links.attempts(spark.createDataFrame(tries, "url string, attempt int, status int, challenged boolean")).collect()
+    assert {r.url: r.outcome for r in got} == {"a": "kept", "b": "retried", "c": "error"}
+    long = "<p>" + "words " * 300 + "</p>"
+    loads = [(1, long, True, "never"), (2, "<p>x</p>", True, "auto"), (3, None, True, "auto"), (4, long, True, "auto"), (5, long, True, "always"), (6, "x", False, "auto"), (7, None, False, "never")]
+    df = links.html_loads(spark.createDataFrame(loads, "i int, body string, browser boolean, mode string"), F.col("mode"))
+    assert {r.i: r.load for r in df.collect()} == {1: "static", 2: "browser", 3: "browser", 4: "static", 5: "browser", 6: "static", 7: "none"}
+
+
+def test_residuals_and_priorities(spark):
+    c = spark.createDataFrame([(1, "tab", 9000, "false"), (2, "accordion", 100, "false"), (3, "loadmore", None, "false"), (4, "tab", 50, "true")], "i int, kind string, hidden_payload int, expanded string")
+    got = {r.i: r.p for r in c.select("i", metrics.reveal_priority(F.col("kind"), F.col("hidden_payload"), F.col("expanded")).alias("p")).collect()}
+    assert got == {1: 400.0, 2: 202.0, 3: 100.0, 4: -999.0}
+
+
+def test_texts_without_noise(spark):
+    from weftline.functions import text
+
+    md = "[![i](a)](b) x ![y](z) <img src=q> [t](u) <https://v.example/>  \n\n\n\nend"
+    rows = spark.createDataFrame([(md, "---\na: 1\n---\n\nbody", "one\n\nfill feGaussianBlur x\n\ntwo", "a1b22")], "m string, f string, s string, d string")
+    r = rows.select(
+        text.apply_exclusions(F.col("m")).alias("none"), text.apply_exclusions(F.col("m"), images=True).alias("images"), text.apply_exclusions(F.col("m"), links=True).alias("links"),
+        text.strip_front_matter(F.col("f")).alias("front"), text.strip_svg_noise(F.col("s")).alias("svg"), text.mask_digits(F.col("d")).alias("masked"),
+        text.state_fingerprint(F.lit("1|2"), F.array(F.lit("a"), F.lit("b")), F.col("f")).alias("state"),
+    ).first()
+    assert r.none == md and "a)" not in r.images and "![y]" not in r.images and "<img" not in r.images and "[t](u)" in r.images
+    assert "https" not in r.links and "](u)" not in r.links and r.links.endswith(" t\n\nend")
+    assert r.front == "body" and r.svg == "one\n\ntwo" and r.masked == "a#b#" and len(r.state) == 16
+
+
+def test_json_of_a_reply(spark):
+    from weftline.functions import text
+
+    rows = [(1, 'say {no} then\n```json\n{"keep": [1]}\n```'), (2, 'x {"keep": [2, 3]} y'), (3, "nothing"), (4, None), (5, "```\nnot json\n``` {\"keep\": []}")]
+    df = spark.createDataFrame(rows, "i int, r string").select("i", text.first_json(F.col("r"), "keep array<int>")["keep"].alias("k"))
+    assert {r.i: r.k for r in df.collect()} == {1: [1], 2: [2, 3], 3: None, 4: None, 5: []}
+
+
+def test_index_and_document_files():
+    docs = [{"id": "a", "title": "A", "file": "a.md", "url": "https://s.example/a"}, {"id": "b", "title": "", "file": "b.md", "url": ""}]
+    index = assemble.index_file(docs, "T", "now")
+    assert "# T" in index and "- [A](documents/a.md) — https://s.example/a" in index and "- [b](documents/b.md)\n" in index
+    text = assemble.document_file("https://s.example/a", 'say "x"', "now", "body")
+    assert text.startswith("---\nurl: ") and '\\"x\\"' in text and text.endswith("---\n\nbody\n")
+
+
+def test_state_files(spark):
+    state = "array<struct<label:string,provenance:string,order:int,markdown:string>>"
+    rows = [("s", 1, [("", "baseline", 0, " a "), ("Tab", "tab:1", 1, "b"), ("", "menu", 2, None)]), ("s", 2, [("", "baseline", 0, "x")])]
+    got = assemble.assemble_states(spark.createDataFrame(rows, f"scan_id string, seq int, states {state}")).collect()
+    assert len(got) == 1 and [x for x in got[0].markdown.split("\n") if x.startswith("## ")] == ["## State: base", "## State: Tab", "## State: menu"]
+
+
+def test_semantic_scores(spark):
+    s = spark.createDataFrame([("r", 0, 0, [1.0, 0.0]), ("r", 0, 1, [0.0, 1.0]), ("q", 0, 0, [1.0, 1.0])], "request_id string, di int, si int, vector array<double>")
+    q = spark.createDataFrame([("r", [1.0, 0.0])], "request_id string, vector array<double>")
+    got = {(r.request_id, r.si): (r.score, r.c) for r in retrieve.semantic_scores(s, q).withColumn("c", retrieve.combined_score(F.when(F.col("score") > 0, F.col("score")), F.lit(0.25))).collect()}
+    assert got == {("r", 0): (1.0, 1.0), ("r", 1): (0.0, 0.25), ("q", 0): (0.0, 0.25)}
+
+
 def test_sections_kept(spark):
     s = spark.createDataFrame([(1, i, "x" * 700) for i in range(2)] + [(2, 0, "short")], "page_id int, index int, text string")
     v = spark.createDataFrame([(1, [1]), (2, [5])], "page_id int, keep array<int>")

@@ -10,8 +10,9 @@ from ..functions.relevance import link_score, link_tokens, task_terms
 from ..functions.url import in_scope, normalize_url
 from ..scratch import scratch_path
 
+#: How many are judged (or embedded) at once.
 LINK_BATCH, CONTROL_BATCH, TEXT_BATCH = 160, 100, 64
-MOST_LINKS, MOST_CONTROLS, MOST_ROUTES = 400, 150, 800
+BATCHES = {"links": LINK_BATCH, "controls": CONTROL_BATCH, "texts": TEXT_BATCH}
 
 
 def in_scope_unique(urls: DataFrame, base: str, include: str | None = None, exclude: str | None = None, url: str = "url") -> DataFrame:
@@ -58,6 +59,13 @@ def ranked(links: DataFrame, batch: int = LINK_BATCH) -> DataFrame:
     return links.withColumn("rank", F.row_number().over(w)).withColumn("batch", F.floor((F.col("rank") - 1) / batch))
 
 
+def in_batches(rows: DataFrame, kind: str, by: str, *order: str) -> DataFrame:
+    """rows with the batch they are judged in and their index there: links, controls or texts of each ``by`` in order."""
+    n = F.row_number().over(W.partitionBy(by).orderBy(*order)) - 1
+    size = BATCHES[kind]
+    return rows.withColumn("_n", n).withColumn("batch", F.floor(F.col("_n") / size).cast("int")).withColumn("index", (F.col("_n") % size).cast("int")).drop("_n")
+
+
 def verdicts_applied(links: DataFrame, verdicts: DataFrame) -> DataFrame:
     """links (page_id, batch, index) with ``follow``. verdicts: page_id, batch, keep (array of indexes, null if the
     reply could not be read). An empty list is a verdict; an unreadable one, or one all out of range, lets all through."""

@@ -608,7 +608,16 @@ def assemble_documents(s, d):
     return assemble.assemble_documents(_scan_pages(s, d)).select("scan_id", "seq", "id", "bytes", "file")
 
 
-@query()
+@query(
+    "WITH s AS (SELECT conv_id, turn, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS k FROM conversations), "
+    "f AS (SELECT *, row_number() OVER w AS n, first_value(k) OVER w AS k0, first_value(t) OVER (PARTITION BY conv_id, k ORDER BY turn) AS t1 FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), "
+    # the frame is what all states share; where others differ, the first one's own text is a variant too
+    "v AS (SELECT *, count(*) FILTER (k <> k0) OVER (PARTITION BY conv_id) AS variants FROM f), "
+    "q AS (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn), '') <> role AS named FROM v WHERE n = 1 OR k <> k0), "
+    "c AS (SELECT conv_id, sum(length(t1) + 2 + CASE WHEN named AND variants > 0 THEN length(role) + 7 ELSE 0 END) AS own FROM q GROUP BY conv_id) "
+    "SELECT conv_id AS page_id, (2 + count(DISTINCT k))::INTEGER AS size, (length('# Frame') + 2 + length('the end of it') + any_value(own))::INTEGER AS chars, count(DISTINCT k)::INTEGER AS states "
+    "FROM f JOIN c USING (conv_id) GROUP BY conv_id"
+)
 def block_render(s, d):
     st = _t(s, d, "conversations").select(
         F.col("conv_id").alias("page_id"), F.col("turn").cast("int").alias("state_idx"), F.col("role").alias("label"), F.lit("tab").alias("provenance"),

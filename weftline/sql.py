@@ -61,4 +61,4 @@ def register(spark: SparkSession) -> None:
     for name, (f, kind) in SCALARS.items():
         spark.udf.register(name, F.pandas_udf(_series(f), kind))
     for name, (handler, schema) in TABLES.items():
-        spark.udtf.register(name, F.udtf(handler, returnType=schema))
+        spark.udtf.register(name, F.udtf(handler, returnType=schema, useArrow=True))
