@@ -6,7 +6,8 @@ difference of its two compressed sizes is divided by their sum. The same is done
 with the text's shape (runs of letters as one letter, digits as 0) and with its
 rhythm (for each word how often running it was the one before), for which there are
 two further dictionaries each: words tell by the first, layout and signs by the
-second, repetition by the third. A logistic curve of the three differences is
+second, repetition by the third (in natural text words seldom follow themselves: the
+third view then is nearly the same for all texts, and the curve gives it little weight). A logistic curve of the three differences is
 the score. It is fitted on labelled rows whose pieces are in no dictionary (a
 fifth of the sample), so it is calibrated on text that the dictionaries haven't
 seen.

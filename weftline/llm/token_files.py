@@ -1,14 +1,15 @@
 """Token-ID output: flat unsigned integer files and 64-bit document offsets, memory-mapped.
 
-A folder holds, for each shard, ``NNNNN.ids`` (the ids, little-endian unsigned
+A folder holds, for each shard, ``NNNNN-A.ids`` (N the shard, A the attempt that wrote it; the ids, little-endian unsigned
 integers of the narrowest of 16 and 32 bits that holds the vocabulary),
-``NNNNN.off`` (n+1 unsigned 64-bit offsets into the shard, in ids) and
-``NNNNN.doc`` (n signed 64-bit document ids, those of null ids first, as 0).
+``NNNNN-A.off`` (n+1 unsigned 64-bit offsets into the shard, in ids) and
+``NNNNN-A.doc`` (n signed 64-bit document ids, those of null ids first, as 0).
 ``index.json`` lists the shards in ascending order of doc_id with their sizes,
 their numbers of null ids and their bases: the prefix sums of the sizes.
 
-A shard is written under a temporary name and renamed, so a task that runs
-again leaves one whole shard. Defined cases: a null text is an empty one (its
+Every attempt of a task writes files of its own, and the index, written last, names
+those of the attempts that succeeded: nothing is renamed, which stores of objects
+can't do at once, and a task that runs again does no harm. Defined cases: a null text is an empty one (its
 end id alone); rows of the same doc_id stay in the order of their texts, nulls
 first; an empty table gives an index without shards; other columns are ignored.
 """
@@ -16,7 +17,6 @@ first; an empty table gives an index without shards; other columns are ignored.
 from __future__ import annotations
 
 import json
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,6 @@ def write_token_files(
     """Encodes docs and writes them to ``path``, a folder that all executors share; returns the index."""
     path = _uri(path)
     dtype = "<u2" if max(end_id, BatchEncoder(vocabulary).size - 1) < 1 << 16 else "<u4"
-    run = uuid.uuid4().hex[:8]
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     d = d.repartitionByRange(d.doc_id).sortWithinPartitions(d.doc_id, d.text)
 
@@ -55,7 +54,7 @@ def write_token_files(
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         fs, root = _filesystem(path)
         fs.create_dir(root, recursive=True)
-        names = {k: f"{root}/{run}-{attempt}.{k}" for k in ("ids", "off", "doc")}
+        names = {k: f"{root}/{part:05d}-{attempt}.{k}" for k in ("ids", "off", "doc")}
         at, n_docs, n_null = 0, 0, 0
         encoder = BatchEncoder(vocabulary, dtype)
         files = {}
@@ -77,15 +76,13 @@ def write_token_files(
         for f in files.values():
             f.close()
         if files:
-            for k, n in names.items():
-                fs.move(n, f"{root}/{part:05d}.{k}")
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": pa.array([n_docs], pa.int64()), "nulls": pa.array([n_null], pa.int64()), "ids": pa.array([at], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "attempt": pa.array([attempt], pa.int64()), "docs": pa.array([n_docs], pa.int64()), "nulls": pa.array([n_null], pa.int64()), "ids": pa.array([at], pa.int64())})
 
     with small_batches(docs.sparkSession):
-        shards = sorted(tuple(r) for r in d.mapInArrow(write, "part int, docs long, nulls long, ids long").collect())
+        shards = sorted(tuple(r) for r in d.mapInArrow(write, "part int, attempt long, docs long, nulls long, ids long").collect())
     base, index = 0, {"dtype": dtype, "end_id": end_id, "shards": []}
-    for part, n, nulls, ids in shards:
-        index["shards"].append({"name": f"{part:05d}", "docs": n, "null_ids": nulls, "ids": ids, "base": base})
+    for part, attempt, n, nulls, ids in shards:
+        index["shards"].append({"name": f"{part:05d}-{attempt}", "docs": n, "null_ids": nulls, "ids": ids, "base": base})
         base += ids
     fs, root = _filesystem(path)
     fs.create_dir(root, recursive=True)
