@@ -243,3 +243,19 @@ def test_hidden_text_and_controls(spark):
     df = df.select("i", "markdown", "h.*", controls.controls_of(F.col("html")).alias("c"))
     # what another state has shown isn't lost
     assert {r.i: (r.residual, len(r.c)) for r in metrics.truthful_residual(df).collect()} == {1: (0, 6), 2: (total, 6)}
+
+
+def test_small_expressions(spark):
+    from weftline.sources import catalog
+
+    robots_txt = "User-agent: *\n sitemap : https://s.example/a.xml\nSitemap:https://s.example/b.xml"
+    page = """<script>var a = "/api/users", b = "/x.js"</script>"""
+    df = spark.createDataFrame([(robots_txt, page, "\n\n# A\nx", "Label", "Head", "https://s.example/some-page/b_c")], "r string, p string, m string, label string, context string, href string")
+    r = df.select(
+        catalog.robots_sitemaps(F.col("r")).alias("maps"), html.routes_of(F.col("p"), F.col("href")).alias("routes"), markdown.page_sections(F.col("m")).alias("sections"),
+        relevance.link_text(F.col("label"), F.col("context"), F.col("href")).alias("text"), relevance.link_text(F.lit(""), F.lit(None).cast("string"), F.col("href")).alias("path"),
+        simhash.is_near_dup(F.lit(0), F.lit(7), 3).alias("near"), simhash.is_near_dup(F.lit(0), F.lit(-1), 3).alias("far"),
+    ).first()
+    assert r.maps == ["https://s.example/a.xml", "https://s.example/b.xml"] and r.routes == ["https://s.example/api/users"]
+    assert [(x.heading, x.text) for x in r.sections] == [("(intro)", ""), ("A", "# A\nx")] and r.text == "Label — Head — some page b c" and r.path == "some page b c"
+    assert r.near and not r.far

@@ -62,6 +62,16 @@ def test_older_runs(spark, tmp_path):
     assert runs.read_activity(spark, str(tmp_path), "old").count() == 0
 
 
+def test_activity(spark, tmp_path):
+    from weftline.sources import bundle
+
+    events = spark.createDataFrame([("warn", "t0", "s", {"url": "u"}), ("page", "t1", "s", {})], "type string, ts string, scan_id string, payload map<string,string>")
+    for _ in range(2):
+        bundle.append_activity(events, str(tmp_path), "r1")
+    got = runs.read_activity(spark, str(tmp_path), "r1")
+    assert got.count() == 4 and {r.payload["url"] for r in got.filter("type = 'warn'").collect()} == {"u"}
+
+
 def test_targets_and_golden(spark, tmp_path):
     assert catalog.read_targets('﻿["a", {"url": "b", "task": "t"}, {"x": 1}]', "d") == [("a", "d"), ("b", "t")]
     assert catalog.read_targets(urls=["a", "b"], tasks=["t"]) == [("a", "t"), ("b", "t")]

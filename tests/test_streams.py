@@ -91,3 +91,18 @@ def test_counts_recent_and_fan_out(spark, tmp_path):
     assert seen == [30, -30]
     q = streams.type_counts(spark.readStream.format("rate").option("rowsPerSecond", 5).load().selectExpr("timestamp AS ts", "'x' AS type"))
     assert q.columns == ["start", "type", "n"] and q.isStreaming
+
+
+def test_journal_and_gaps_as_streams(spark, tmp_path):
+    import json
+
+    at = tmp_path / "journal"
+    at.mkdir()
+    (at / "0.json").write_text(json.dumps({"page": {"url": "https://s.example/a", "markdown": "m"}, "links": ["x"]}) + "\n{torn")
+    assert [r.page.url for r in _run(streams.journal_stream(spark, str(at)), "journal_out", spark).collect()] == ["https://s.example/a"]
+    at = tmp_path / "responses"
+    times = ["2024-01-01 00:00:00.0", "2024-01-01 00:00:00.4", "2024-01-01 00:00:02.0", "2024-01-01 01:00:00.0"]
+    df = spark.createDataFrame([("s", t) for t in times], "scan_id string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    df.coalesce(1).write.parquet(str(at))
+    got = _run(streams.quiet_gaps(spark.readStream.schema(df.schema).parquet(str(at))), "gaps_out", spark, "append")
+    assert sorted(r.n for r in got.collect()) == [1, 2]  # the last one may still go on

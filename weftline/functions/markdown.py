@@ -193,16 +193,6 @@ def _paths(blocks: pd.Series) -> pd.Series:
     return blocks.map(lambda b: section_paths(list(b) if b is not None else []), na_action=None)
 
 
-@arrow("string")
-def _repaired(text: pd.Series) -> pd.Series:
-    return text.map(repair_tables, na_action=None)
-
-
-@arrow("string")
-def _cleaned(text: pd.Series) -> pd.Series:
-    return text.map(cleanup_lines, na_action=None)
-
-
 def blocks(markdown: Column) -> Column:
     return _split_blocks(markdown)
 
@@ -225,14 +215,6 @@ def paths(block_texts: Column) -> Column:
     return _paths(block_texts)
 
 
-def repaired(markdown: Column) -> Column:
-    return _repaired(markdown)
-
-
-def cleaned(markdown: Column) -> Column:
-    return _cleaned(markdown)
-
-
 # --- values that a text claims -----------------------------------------------------------------------------------
 
 #: What a value looks like, in the order in which texts are gone through.

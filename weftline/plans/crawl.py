@@ -58,7 +58,12 @@ def crawl(
     pages go to the journal, from which ``restored`` takes a stopped crawl up: its pages aren't fetched again, but their
     links are followed.
     """
-    known = lambda df: df.select(url.normalize_url(F.col("url"), F.lit(base)).alias("url")).filter(F.col("url").isNotNull() & url.in_scope(F.col("url"), F.lit(base), options.include, options.exclude)).distinct()
+
+    def known(df: DataFrame) -> DataFrame:
+        """Distinct canonical addresses in scope."""
+        u = df.select(url.normalize_url(F.col("url"), F.lit(base)).alias("url"))
+        return u.filter(F.col("url").isNotNull() & url.in_scope(F.col("url"), F.lit(base), options.include, options.exclude)).distinct()
+
     queue = spark.createDataFrame([(u,) for u in seeds], "url string")
     done = spark.createDataFrame([], "url string")
     if restored is not None:
@@ -106,7 +111,6 @@ def crawl(
     return site.run(pages, base, options, generated_at, old), status
 
 
-
 def resume(spark: SparkSession, root: str, run_id: str, fetch: Fetch, generated_at: str, stop: Stop | None = None) -> list[tuple[str, site.Result, str]]:
     """(scan_id, result, status) of each target of a run that was stopped or has crashed."""
     run = runs.load_for_resume(spark, root, run_id)
