@@ -363,11 +363,18 @@ def near_corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("limits", [{}, {"LONG": 4, "LONGEST": 6, "REPORTED": 2}, {"LONG": 2, "LONGEST": 2, "REPORTED": 2}])
+FEW = {"LONG": 2, "LONGEST": 2}
+
+
+@pytest.mark.parametrize(
+    "limits",
+    # lists of two texts are long in the last three: nearly all classes are in clusters, which are cut into several blocks, without pivots, with one, and with three
+    [{}, {"LONG": 4, "LONGEST": 6}, {"MAX_LONG": 5}, {**FEW, "LEAST_SETS": 2, "PIVOTS": 0}, {**FEW, "LEAST_SETS": 2, "PIVOTS": 1}, {**FEW, "MAX_PIVOT_BYTES": 0}],
+)
 def test_near_duplicates_brute(spark, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(jaccard_join, k, v)
-    rows = near_corpus(len(limits)) + [(900 + k, t) for k, (_, t) in enumerate(ODD)] + [(None, "one two three four five six")]
+    rows = near_corpus(sum(limits.values()) % 7) + [(900 + k, t) for k, (_, t) in enumerate(ODD)] + [(None, "one two three four five six")]
     got = collections.Counter(map(tuple, jaccard_join.op4_query(docs_of(spark, rows)).collect()))
     assert got == brute_components(rows)
 

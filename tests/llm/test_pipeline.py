@@ -50,3 +50,26 @@ def test_packed(kept):
 
 def test_run(spark, sf, kept):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "start", "length", "ids_crc32").collect())) == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in kept["packing"])
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Nulls in any column, repeated rows and ids, empty and long texts, and an empty table."""
+    columns = spark.read.parquet(f"{sf}/documents.parquet").schema
+    text = "The words of this text are plain and many of them stand here for a while so that it is long enough. "
+    rows = [
+        (1, None, None, None, None), (2, "", "en", "s", 0), (3, text, "en", "s", 5), (3, text, "en", "s", 5), (3, text.upper() + " and more of it follows", None, "s", 1),
+        (None, text * 2, "en", None, None), (4, "!!! 123", "en", "s", 7), (5, text * 4000, "en", "s", 1), (6, "mail me at someone@host.example.org or token = \"9f86d081884c7d659a2feaa0c55ad015\" now", "en", "s", 1),
+    ]
+    docs = spark.createDataFrame(rows, columns)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        kept[name] = docs.collect()
+        docs = spark.createDataFrame(kept[name], docs.schema)
+    assert sorted((r.doc_id or 0) for r in kept["language_id"]) == [0, 3, 3, 3, 5, 6]
+    assert {r.doc_id for r in kept["pii"]} <= {None, 3, 5, 6} and any("[email]" in r.text for r in kept["pii"])
+    assert sum(r.length for r in kept["packing"]) == sum({(r.doc_id, r.doc_tokens): r.doc_tokens for r in kept["packing"]}.values())
+    docs = spark.createDataFrame([], columns)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    assert docs.count() == 0

@@ -65,8 +65,8 @@ ROUNDS = 2
 PIVOTS = 3
 #: Pivots are broadcast up to so many bytes in all; beyond it they are joined.
 MAX_PIVOT_BYTES = 32 << 20
-#: A block of a cluster: sets and shingles at most (one set may have more).
-BLOCK_SETS, BLOCK_SHINGLES = 2048, 500_000
+#: A block of a cluster: sets and shingles at most (one set may have more), and sets below which it isn't cut.
+BLOCK_SETS, BLOCK_SHINGLES, LEAST_SETS = 2048, 500_000, 128
 #: Tasks that search pairs of blocks.
 MOST_TASKS = 2000
 #: DivideSkip's weight of a long list's search against the merging of short ones.
@@ -394,7 +394,7 @@ def _cluster_links(sets: DataFrame, percent: int) -> DataFrame:
         near.withColumn("kind", F.lit(1)).unionByName(taken.withColumn("kind", F.lit(2))).unionByName(apart.withColumn("kind", F.lit(0))), "parts"
     )
     sizes = parts.groupBy("of", "kind").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
-    per = F.greatest(F.least(F.col("m") / 16, F.lit(float(BLOCK_SETS))), F.lit(128.0))
+    per = F.greatest(F.least(F.col("m") / 16, F.lit(float(BLOCK_SETS))), F.lit(float(LEAST_SETS)))
     sizes = sizes.select("of", "kind", F.greatest(F.ceil(F.col("m") / per), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     sizes = sizes.groupBy("of", F.least("kind", F.lit(1)).alias("apart")).agg(
         F.max(F.when(F.col("kind") < 2, F.col("blocks"))).alias("rows"), F.max(F.when(F.col("kind") != 1, F.col("blocks"))).alias("columns")
