@@ -200,4 +200,4 @@ def read_activity(spark: SparkSession, root: str, run_id: str, schema: str = "ty
     if files.read(spark, path) is None:
         return spark.createDataFrame([], schema)
     found = spark.read.schema(f"{schema}, _corrupt_record string").json(path)
-    return found.filter("_corrupt_record is null").drop("_corrupt_record")
+    return found.filter("_corrupt_record is null and type is not null").drop("_corrupt_record")
