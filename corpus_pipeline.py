@@ -24,7 +24,6 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     parser = language_id.Parser(samples, ranked)
     rest = [F.col(c).alias(f"_{c}") for c in docs.columns if c not in ("doc_id", "text", "lang")]
     found = language_id.identify(docs, parser, "doc_id", "text", *rest, keep_text=True).filter(F.col("lang_pred") != language_id.UNKNOWN)
-    found = materialise(found, "languages")
     names = {"doc_id": "doc_id", "text": "text", "lang": "lang_pred"}
     return found.select(*[F.col(names.get(c, f"_{c}")).alias(c) for c in docs.columns])
 
