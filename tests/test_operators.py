@@ -299,3 +299,11 @@ def test_llms(spark):
     docs = spark.createDataFrame([("https://x.example", body), ("https://y.example", "<!doctype html>" + body), ("https://z.example", "short")], "origin string, text string")
     got = [(r.url, r.title) for r in catalog.split_llms(docs).orderBy("pos").collect()]
     assert got == [("https://x.example/one", "One"), ("https://x.example/#two", "Two")]
+
+
+def test_near_pairs_never_broadcasts(spark):
+    """What is broadcast goes through the driver; keys are twenty times what their classes are, whatever size is guessed."""
+    df = spark.createDataFrame([(i, 7 * i) for i in range(50)], "id int, fingerprint long")
+    out = dedup.near_pairs(df)
+    assert out.count() > 0
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
