@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -259,3 +261,14 @@ def test_small_expressions(spark):
     assert r.maps == ["https://s.example/a.xml", "https://s.example/b.xml"] and r.routes == ["https://s.example/api/users"]
     assert [(x.heading, x.text) for x in r.sections] == [("(intro)", ""), ("A", "# A\nx")] and r.text == "Label — Head — some page b c" and r.path == "some page b c"
     assert r.near and not r.far
+
+
+def test_slug_of_long_texts(spark):
+    """Only what the slug is made of is rewritten; the rest of a text costs nothing."""
+    texts = ["x" * 80 + "-" * 9, "x" * 79 + " - y", "x" * 80 + " y", " " * 5000 + "A", "-" * 5000, "\u212a É" * 90, "a. " * 300]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.slug(F.col("t")).alias("s"))
+    for t, s in df.collect():
+        assert s == (re.sub("[^A-Za-z0-9_]+", "-", t.lower()).strip("-")[:80] or "section")
+    began = time.time()
+    long = spark.range(10).select(F.repeat(F.lit("word, "), 200_000).alias("t")).select(F.max(text.slug(F.concat("t", F.lit("!")))).alias("s"))
+    assert len(long.first().s) == 80 and time.time() - began < 8
