@@ -272,3 +272,27 @@ def test_slug_of_long_texts(spark):
     began = time.time()
     long = spark.range(10).select(F.repeat(F.lit("word, "), 200_000).alias("t")).select(F.max(text.slug(F.concat("t", F.lit("!")))).alias("s"))
     assert len(long.first().s) == 80 and time.time() - began < 8
+
+
+def test_signature_white_space(spark):
+    texts = ["a  b\u00a0\tc", " \u3000x\u2003 y ", "\ufeffA [l](u)  https://h/x\u2028z", "caf\u00e9 \u2013 ok", "\u1680\u205f", "![i](j)", "a\u202fb"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.page_signature(F.col("t")).alias("s"))
+    for t, s in df.collect():
+        t = re.sub(rf"https?://[^{text.SPACE}]+", "", re.sub(text.LINK_OR_IMAGE, "", t))
+        assert s == re.sub(text.SPACES, " ", t).strip(" ").lower()
+
+
+def test_fingerprints_against_the_definition():
+    """Feature by feature, for texts of one token, of short runs only, of many features and of letters that lower case changes."""
+    r = random.Random(8)
+    texts = ["", "a", "ab", "ab c de", "\u0130ab x1", "-".join(r.choice(["the", "of", "x", "9z", "k\u00e9y"]) for _ in range(2000))]
+    texts += ["".join(r.choice("ab1 Z.\u00e9\n") for _ in range(r.randint(0, 400))) for _ in range(50)]
+    for shingle in (1, 2, 3):
+        found = simhash.fingerprints(texts, shingle)
+        for t, got in zip(texts, found, strict=True):
+            w = re.findall("[a-z0-9]{2,}", t.lower())
+            features = [" ".join(w[i : i + shingle]) for i in range(len(w) - shingle + 1)] if len(w) >= shingle else w
+            # of one feature alone the fingerprint is its hash
+            bits = [int(simhash.fingerprints([f], len(f.split()))[0]) & (2**64 - 1) for f in features]
+            want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in bits) > len(bits))
+            assert int(got) & (2**64 - 1) == want
