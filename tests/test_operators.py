@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -307,3 +308,21 @@ def test_near_pairs_never_broadcasts(spark):
     out = dedup.near_pairs(df)
     assert out.count() > 0
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_greedy_pass_over_many_kin():
+    """A page is compared with all its kin at once: the time of a path with thousands of pages stays small."""
+    r = random.Random(9)
+    rows = [(i, f"u{i % 7}", f"h{i}", "/p", r.getrandbits(64) - (1 << 63)) for i in range(12_000)]
+    rows += [(12_000, "u1", "x", "/p", rows[5][4]), (12_001, "u0", "y", "/p", rows[7][4])]
+    began = time.time()
+    fates = dedup.decide(rows, 8, 0, None)
+    assert time.time() - began < 6
+    assert fates[-2:] == ["mirror", "keep"] and set(fates[:-2]) == {"keep"}
+
+
+def test_fingerprinted_reads_a_text_once(spark):
+    p = spark.createDataFrame([("s", 1, "https://a/x", "Some [t](https://x) https://y\n text")], "scan_id string, seq int, url string, markdown string")
+    out = dedup.fingerprinted(p)
+    assert out.first().fingerprint == fingerprint("some text")
+    assert "sha1(cast(_signature#" in out._jdf.queryExecution().executedPlan().toString()  # what hash and fingerprint share is made once
