@@ -2,10 +2,11 @@ import random
 import re
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions import guards, html, markdown, relevance, robots, simhash, text, url
+from weftline.functions import guards, html, markdown, relevance, robots, simhash, text, udfs, url
 
 
 @pytest.mark.parametrize(
@@ -296,3 +297,24 @@ def test_fingerprints_against_the_definition():
             bits = [int(simhash.fingerprints([f], len(f.split()))[0]) & (2**64 - 1) for f in features]
             want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in bits) > len(bits))
             assert int(got) & (2**64 - 1) == want
+
+
+def test_arrow_functions_see_pieces(spark):
+    """What a function makes of a batch is never held as a whole: it sees a megabyte or so at a time."""
+
+    @udfs.arrow("struct<rows:int,chars:int,t:string>")
+    def seen(t: pd.Series, n: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"rows": [len(t)] * len(t), "chars": [sum(map(len, t.dropna()))] * len(t), "t": [f"{x[0]}{k}" if x else None for x, k in zip(t, n, strict=True)]})
+
+    @udfs.arrow("array<string>")
+    def halves(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda p: [x[:1] for x in p] if p is not None else None, na_action=None)
+
+    text_of = F.when(F.col("id") % 7 == 3, None).otherwise(F.repeat(F.concat(F.col("id") % 10, F.lit("é")), 20_000))
+    df = spark.range(0, 300, 1, 1).select("id", text_of.alias("t"))
+    rows = df.select("id", seen(F.col("t"), F.col("id")).alias("x"), halves(F.array(F.lit("yy"), F.lit("zz"))).alias("h")).collect()
+    assert [r.id for r in rows] == list(range(300))
+    assert all(r.x.chars <= 1 << 20 and r.x.t == (None if r.id % 7 == 3 else f"{r.id % 10}{r.id}") for r in rows)
+    assert max(r.x.rows for r in rows) < 60 and all(r.h == ["y", "z"] for r in rows)
+    big = spark.range(1).select(halves(F.array(F.repeat(F.lit("ab"), 2_000_000), F.lit("q"))).alias("h"))
+    assert big.first().h == ["a", "q"]
