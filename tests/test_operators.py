@@ -1,12 +1,16 @@
+import hashlib
 import json
 import random
+import re
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions.simhash import fingerprint
 from weftline.operators import assemble, blocks, dedup, incremental, links, metrics, retrieve
+from weftline.plans.queries import ORACLES, QUERIES
 from weftline.sources import catalog
 
 
@@ -270,6 +274,30 @@ def test_assembly(spark):
     assert ids == ["a", "a-2"]
 
 
+def test_scan_texts(spark):
+    rows = [("s", 2, "", "https://x.example/b", "B", " # own\nb "), ("s", 1, "", "https://x.example/a", "A", "b\u00f6dy a\n"), ("s", 3, "", "https://x.example/a", "", "  "), ("u", 1, "", "https://y.example/", "Y", "y"), (None, 1, "t", "https://z.example/", "", "z"), ("v", 1, "", "", "", None)]
+    p = spark.createDataFrame(rows, "scan_id string, seq int, task string, url string, title string, markdown string").repartition(3)
+    whole = {r.scan_id: r for r in assemble.assemble_scan(p, "now").collect()}
+    got = {r.scan_id: r for r in assemble.scan_texts(p).collect()}
+    assert set(got) == set(whole) == {"s", "u", None}
+    for scan, r in whole.items():
+        text = re.sub(r"(?s)\A---\n.*?\n---\n\n|\n\Z", "", r.markdown)
+        assert (got[scan].filename, got[scan].sources) == (r.filename, len(r.pages))
+        assert (got[scan].chars, got[scan].sha1) == (len(text), hashlib.sha1(text.encode()).hexdigest())
+    given = {r.scan_id: r for r in assemble.scan_texts(p, as_given=True).collect()}
+    assert given["u"].chars == len("# Y\n\n_Source: https://y.example/_\n\ny") and given["v"].chars is None and given["v"].sources == 0
+
+
+def test_assemble_scan_of_odd_rows_is_the_sql(spark, tmp_path):
+    texts = ["", "   ", None, "# own head\nx", "\x0btab ", "x \u0085", " \u2028y", "\n\n z\n", "a b", "$1 \\ &"]
+    rows = [(i, t, f"src{i % 2}") for i, t in enumerate(texts)] + [(20, "alone", "src7"), (21, None, "src8"), (22, "no source", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found = [tuple(r) for r in QUERIES["assemble_scan"](spark, str(tmp_path)).collect()]
+    assert sorted(found, key=repr) == sorted(duck.execute(ORACLES["assemble_scan"]).fetchall(), key=repr)
+
+
 def test_catalog(spark, tmp_path):
     rec = lambda u: json.dumps({"page": {"url": u, "markdown": "x"}, "links": ["l"]})
     (tmp_path / "j.jsonl").write_text(rec("a") + "\n\n" + rec("b") + '\n{"page": {"url": "c", "mark')
