@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline import cli, sql
+from weftline.functions import html
 from weftline.functions.options import Options, api_base, new_run_id
 from weftline.operators import pages
 from weftline.plans import site
+from weftline.plans.queries import QUERIES
 from weftline.sources import bundle, catalog
 
 
@@ -86,3 +88,20 @@ def test_cli(spark, sf, tmp_path, capsys):
     assert cli.main(["corpus", str(tmp_path / "f"), "--base", "https://x.example/", "--out", str(tmp_path), "--run", "r9", "--generated-at", "now"]) == 0
     assert cli.main(["runs", "path", str(tmp_path), "r9"]) == 0 and cli.main(["query", "nonsense", sf]) == 2
     assert cli.main(["runs", "rm", str(tmp_path), "r9"]) == 0 and not (tmp_path / "r9").exists()
+
+
+def test_site_corpus_parses_each_page_once(spark, sf):
+    df = QUERIES["site_corpus"](spark, sf)
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+    html_pages = spark.read.parquet(f"{sf}/pages.parquet")
+    assert df.agg(F.sum("pages")).first()[0] == html_pages.count()
+
+
+def test_first_elements_come_from_one_pass():
+    root = html.tree("<title>t</title><div class='x content' id='main'><article>a</article></div><main role='main'><article>b</article><h1>h</h1></main><body><p id='content'>")
+    found = html._firsts(list(root.walk()))
+    assert all(found.get(s) is html._first(root, s) for s in html._WHOLE) and found["main article"].text() == "b"
+    n = html.tree("<p>ab <b>cd</b>\x1c e</p>")
+    assert n.brief(7) == n.text() == "ab cd e" and n.brief(6) is None
+    m = html._Measures(n, "")
+    assert m.length(0, len(n.raw())) == 7 and m.length(1, 4) == 3
