@@ -274,6 +274,23 @@ def test_assembly(spark):
     assert ids == ["a", "a-2"]
 
 
+def test_tiers_of_groups_that_span_batches(spark):
+    r = random.Random(9)
+    rows = [(r.choice(["s", None]), i, f"https://h{r.randint(0, 9)}/p", f"h{i}", r.choice(["/p", "/q", "", None]), r.choice([0, 3, 0xFFFF, 0xF0F0F0F0F0])) for i in range(80)]
+    p = spark.createDataFrame(rows, "scan_id string, seq int, url string, hash string, sibling_key string, fingerprint long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {x.seq: x.fate for x in dedup.tiers(p).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for scan in ("s", None):
+        own = [x for x in rows if x[0] == scan]
+        want |= dict(zip((x[1] for x in own), dedup.decide([x[1:] for x in own], 8, 0, None), strict=True))
+    assert got == want
+
+
 def test_scan_texts(spark):
     rows = [("s", 2, "", "https://x.example/b", "B", " # own\nb "), ("s", 1, "", "https://x.example/a", "A", "b\u00f6dy a\n"), ("s", 3, "", "https://x.example/a", "", "  "), ("u", 1, "", "https://y.example/", "Y", "y"), (None, 1, "t", "https://z.example/", "", "z"), ("v", 1, "", "", "", None)]
     p = spark.createDataFrame(rows, "scan_id string, seq int, task string, url string, title string, markdown string").repartition(3)

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from weftline import cli, sql
+from weftline import cli, scratch, sql
 from weftline.functions import html
 from weftline.functions.options import Options, api_base, new_run_id
 from weftline.operators import pages
@@ -105,3 +105,18 @@ def test_first_elements_come_from_one_pass():
     assert n.brief(7) == n.text() == "ab cd e" and n.brief(6) is None
     m = html._Measures(n, "")
     assert m.length(0, len(n.raw())) == 7 and m.length(1, 4) == 3
+
+
+def test_run_parses_each_page_once_and_streams_groups(spark, monkeypatch):
+    plans = {}
+
+    def kept(df, what, codec="snappy"):
+        plans[what] = df._jdf.queryExecution().executedPlan().toString()
+        return scratch.materialise(df, what, codec)
+
+    monkeypatch.setattr(site, "materialise", kept)
+    out = site.run(_fetched(spark), "https://x.example/", Options.of(), "now")
+    parses = [x for x in plans["extracted"].splitlines() if "ArrowEvalPython" in x and "(html#" in x]
+    assert len(parses) == 1 and "FlatMapGroupsInPandas" not in plans["fates"]
+    assert "Python" not in out.fates._jdf.queryExecution().executedPlan().toString()  # written: both its readers read that
+    assert {r.seq: r.fate for r in out.fates.collect()} == {1: "keep", 2: "exact", 6: "keep"}
